@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weft.llm.distinctive import enrichment, postings_entries, words_entries
 from weft.llm.leakage import leaked_items
+from weft.llm.main_content import clean_summaries, judge_pages, main_blocks
 from weft.llm.packing import pack_documents
 from weft.llm.ranking import ideal_point_ranking
 from weft.llm.shared_spans import shared_amounts, shared_spans
-from weft.session import read
+from weft.session import read, staged
 
 
 def p3_term_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -22,6 +24,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return enrichment(postings_entries(read(spark, d, "postings"))).where("df between 2 and 8 and tf >= 0.5 and score >= 0").select("field", "term", "doc_id")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of keywords, link lists or tags."""
+    return judge_pages(read(spark, d, "pages")).where("spam").select("doc_id").distinct()
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of main content, and results whose summary was made of it."""
+    judged = staged(judge_pages(read(spark, d, "pages")).where("not spam").drop("spam"), "judged")
+    blocks = main_blocks(judged, read(spark, d, "page_blocks")).select(F.lit("block").alias("place"), "doc_id", F.col("block_no").cast("bigint").alias("item_no"))
+    summaries = clean_summaries(judged, read(spark, d, "results").select("doc_id", "result_id", "summary"))
+    return blocks.unionByName(summaries.select(F.lit("summary").alias("place"), "doc_id", F.col("result_id").alias("item_no")).distinct())
+
+
 def p7_ranking(spark: SparkSession, d: str) -> DataFrame:
     """All answers by closeness to their query's ideal point."""
     return ideal_point_ranking(read(spark, d, "results"))
@@ -57,7 +72,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_term_scores, p3_found, p7_ranking, p7_found, p8_pack, p9_leaks, p9_found, p10_shared_amounts, p10_found)}
+QUERIES = {f.__name__: f for f in (p3_term_scores, p3_found, p4_found, p5_found, p7_ranking, p7_found, p8_pack, p9_leaks, p9_found, p10_shared_amounts, p10_found)}
 
 ORACLE = {
     "p3_found": """
