@@ -6,7 +6,7 @@ from math import lgamma
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -63,6 +63,17 @@ def _log_p(k: pd.Series, n: pd.Series, K: pd.Series, N: pd.Series) -> pd.Series:
     return pd.Series(log_upper_tail(k.to_numpy(), n.to_numpy(), K.to_numpy(), N.to_numpy()))
 
 
+def packed_id(doc_id: Column) -> Column:
+    """An id as bytes: a hash of 32 hexadecimal digits takes half the room, any other text stays as it is; the first byte tells which."""
+    return F.when(doc_id.rlike("^[0-9a-f]{32}$"), F.concat(F.lit(bytearray(b"\x01")), F.unhex(doc_id))).otherwise(F.concat(F.lit(bytearray(b"\x00")), F.encode(doc_id, "UTF-8")))
+
+
+def unpacked_id(packed: Column) -> Column:
+    """The id behind packed_id."""
+    rest = F.substring(packed, 2, 2_147_483_647)
+    return F.when(F.substring(packed, 1, 1) == F.lit(bytearray(b"\x01")), F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))
+
+
 def enrichment(entries: DataFrame) -> DataFrame:
     """Scores every (field, term, doc_id) of ``entries`` (field, term, doc_id, occ bigint, tf float).
 
@@ -71,12 +82,13 @@ def enrichment(entries: DataFrame) -> DataFrame:
     p-values of a record's terms are adjusted together by Benjamini and Hochberg's rule; score = -ln(adjusted p).
 
     Columns: field, term, doc_id, tf, occ, df (records with the term), log_p, score. Repeated rows count once (of unequal
-    ones the greatest occ and tf). Rows with null field, term or doc_id are left out; null or negative occ counts as 0
+    ones that with the greatest occ, then tf). Rows with null field, term or doc_id are left out; null or negative occ counts as 0
     and scores 0. Equal p-values get equal scores. An empty table gives no rows.
     """
     key, log_p = ["field", "term", "doc_id"], F.pandas_udf(_log_p, "double")
-    base = entries.where("field is not null and term is not null and doc_id is not null").groupBy(*key).agg(F.greatest(F.max("occ"), F.lit(0)).alias("occ"), F.max("tf").alias("tf"))
-    base = base.withColumn("occ", F.coalesce("occ", F.lit(0)).cast("bigint"))
+    rows = entries.where("field is not null and term is not null and doc_id is not null").withColumn("doc_id", packed_id(F.col("doc_id")))
+    # One aggregate that both uses below need whole: so they share its shuffle.
+    base = rows.groupBy(*key).agg(F.max(F.struct(F.coalesce(F.greatest("occ", F.lit(0)), F.lit(0)).cast("bigint").alias("occ"), "tf")).alias("x")).select(*key, "x.occ", "x.tf")
     per_term = base.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("occ").alias("_K"))
     totals = per_term.groupBy("field").agg(F.sum("_K").alias("_N"))
     # The dictionary is small beside the postings; Spark broadcasts it only when its measured size allows.
@@ -87,7 +99,7 @@ def enrichment(entries: DataFrame) -> DataFrame:
     m = F.count(F.lit(1)).over(record)
     rank = m - F.row_number().over(record.orderBy(F.desc("log_p"), "term")) + 1
     scored = scored.withColumn("_q", F.col("log_p") + F.log(m.cast("double")) - F.log(rank.cast("double")))
-    return scored.withColumn("score", F.greatest(-F.min("_q").over(down), F.lit(0.0))).select(*key, "tf", "occ", "df", "log_p", "score")
+    return scored.withColumn("score", F.greatest(-F.min("_q").over(down), F.lit(0.0))).select("field", "term", unpacked_id(F.col("doc_id")).alias("doc_id"), "tf", "occ", "df", "log_p", "score")
 
 
 def postings_entries(postings: DataFrame) -> DataFrame:
