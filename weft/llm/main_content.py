@@ -16,7 +16,11 @@ from weft.operators.skew import balanced_join
 def fit(pages: DataFrame, most: int = TRAIN_PAGES) -> Model:
     """The model of the labelled pages: at most ``most`` of them, of at most TRAIN_CHARS characters, chosen by a hash of doc_id."""
     labelled = pages.where(F.col("html").rlike("(?i)<main[\\s>]") & (F.length("html") <= TRAIN_CHARS)).select("doc_id", "url", "html")
-    rows = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "url").limit(most).collect()
+    total = labelled.count()
+    # Above the bound only pages below a threshold of the hash are looked at, so that all tasks together return about as many as are taken.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    sample = labelled if total <= most else labelled.where(place < int((1 << 30) * min(1.0, 1.2 * most / total)))
+    rows = sample.orderBy(place, "doc_id", "url").limit(most).collect()
     return train([(r["html"], r["url"]) for r in {r["doc_id"]: r for r in rows}.values()])
 
 
