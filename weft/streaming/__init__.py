@@ -1 +1 @@
-"""Part of weft; see the README for the map of modules."""
+"""Structured Streaming over a folder of page files."""
