@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,55 +19,61 @@ META_NAMES = frozenset(("description", "keywords", "author"))
 FIELDS = "doc_id string, url string, title string, body string, snippet_text string, meta array<string>, anchors array<struct<href:string,text:string>>, hrefs array<string>"
 
 
-class PageFields(HTMLParser):
+_RAW = re.compile(r"(<(script|style)\b[^>]*>).*?(?=</\2\s*>|\Z)", re.S | re.I)
+_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|([^<]+|<)", re.S)
+_ATTR = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+
+
+class PageFields:
     """Reads one page. Text belongs to the innermost element that is open; an end tag closes up to its start tag, if there is one."""
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str | None]] = []
+    def __init__(self, page: str) -> None:
         self.title, self.body, self.snippet, self.meta, self.anchors, self.hrefs = "", [], [], [], [], []
-        self.fresh_title = False
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        values = dict(reversed(attrs))
-        if tag == "meta" and values.get("name") in META_NAMES:
-            self.meta.append(values.get("content") or "")
-        if tag == "a" and values.get("href") is not None:
-            self.hrefs.append(values["href"])
-        if tag == "title":
-            self.fresh_title = True
-        if tag not in VOID:
-            self.open.append((tag, values.get("href")))
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-
-    def handle_data(self, data: str) -> None:
-        tag, href = self.open[-1] if self.open else ("", None)
-        text = data.strip()
-        if tag == "title" and self.fresh_title:
-            self.title, self.fresh_title = text, False
-        if not text:
-            return
-        if tag not in NO_BODY:
-            self.body.append(text)
-        if not any(t in NO_SNIPPET for t, _ in self.open):
-            self.snippet.append(text)
-        if tag == "a" and href is not None:
-            self.anchors.append((href, text))
+        tags: list[str] = []
+        hrefs: list[str | None] = []
+        hidden = 0  # open elements that snippets leave out
+        fresh_title = False
+        for close, tag, attrs, words in _PIECE.findall(_RAW.sub(r"\1", page)):
+            if words:
+                text = (html.unescape(words) if "&" in words else words).strip()
+                inner = tags[-1] if tags else ""
+                if inner == "title" and fresh_title:
+                    self.title, fresh_title = text, False
+                if not text:
+                    continue
+                if inner not in NO_BODY:
+                    self.body.append(text)
+                if not hidden:
+                    self.snippet.append(text)
+                if inner == "a" and hrefs[-1] is not None:
+                    self.anchors.append((hrefs[-1], text))
+            elif tag:
+                tag = tag.lower()
+                if close:
+                    if tag in tags:
+                        at = len(tags) - 1 - tags[::-1].index(tag)
+                        hidden -= sum(t in NO_SNIPPET for t in tags[at:])
+                        del tags[at:], hrefs[at:]
+                    continue
+                values: dict[str, str] = {}
+                if tag in ("a", "meta"):
+                    for name, x, y, z in _ATTR.findall(attrs):
+                        values.setdefault(name.lower(), html.unescape(x or y or z))
+                if tag == "meta" and values.get("name") in META_NAMES:
+                    self.meta.append(values.get("content", ""))
+                href = values.get("href")
+                if href is not None:
+                    self.hrefs.append(href)
+                if tag == "title":
+                    fresh_title = True
+                if tag not in VOID:
+                    tags.append(tag)
+                    hrefs.append(href)
+                    hidden += tag in NO_SNIPPET
 
 
 def fields_of(page: str) -> PageFields:
-    p = PageFields()
-    p.feed(page)
-    p.close()
-    return p
+    return PageFields(page)
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

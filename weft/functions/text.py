@@ -62,8 +62,8 @@ def laundry(text: Column, stops: Sequence[str] | None = None, stemming: bool = F
     """Index tokens of a text: words, stemmed if wanted, then without stop words. The stop list meets the stems, as it must stay comparable between both sides."""
     words = split_words(text)
     words = stemmed(words) if stemming else words
-    stop = F.array(*[F.lit(w) for w in (stop_words() if stops is None else stops)])
-    return F.filter(words, lambda w: ~F.array_contains(stop, w))
+    stop = stop_words() if stops is None else list(stops)
+    return F.filter(words, lambda w: ~w.isin(stop)) if stop else words
 
 
 def phrases_of(query: Column) -> Column:

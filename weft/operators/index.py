@@ -89,7 +89,7 @@ def term_weights(postings: DataFrame, n: int) -> DataFrame:
     Frequencies are counted with map-side combining; their table is far smaller than the postings, so Spark broadcasts it if it fits,
     and else splits a skewed term's postings."""
     idf = inverse_frequencies(document_frequencies(postings), n)
-    return postings.drop("weight").join(idf.select("field", "term", "idf"), ["field", "term"]).withColumn("weight", (F.col("tf") * F.col("idf")).cast("float")).drop("idf")
+    return postings.drop("weight").join(idf.select("field", "term", F.col("idf").alias("_idf")), ["field", "term"]).withColumn("weight", (F.col("tf") * F.col("_idf")).cast("float")).drop("_idf")
 
 
 def magnitudes(weighted: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def parent_index(writes: DataFrame, removals: DataFrame) -> DataFrame:
     """
     first = writes.where("doc_id is not null").groupBy(F.col("doc_id").alias("target")).agg(F.min("written_at").alias("first_written"))
     gone = removals.where("doc_id is not null and removed_at is not null").groupBy(F.col("doc_id").alias("target")).agg(F.max("removed_at").alias("removed_at"))
-    back = writes.withColumnRenamed("doc_id", "target").join(gone, "target").where("written_at > removed_at").groupBy("target").agg(F.min("written_at").alias("revived_at"))
+    back = writes.select(F.col("doc_id").alias("target"), "written_at").join(gone, "target").where("written_at > removed_at").groupBy("target").agg(F.min("written_at").alias("revived_at"))
     return first.join(gone.join(back, "target", "left"), "target", "full_outer")
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 def freshness(pages: DataFrame, indexed: DataFrame) -> DataFrame:
     """Pages (doc_id, last_modified) with ``action``: 'new' if not indexed or only linked to (null mod_date), 'update' if modified
     later than indexed (doc_id, mod_date), else 'keep'. A page without last_modified is kept if indexed."""
-    rows = pages.join(indexed.select("doc_id", "mod_date", F.lit(True).alias("_known")), "doc_id", "left")
-    action = F.when(F.col("_known").isNull() | F.col("mod_date").isNull(), "new").when(F.col("last_modified") > F.col("mod_date"), "update").otherwise("keep")
-    return rows.withColumn("action", action).drop("mod_date", "_known")
+    rows = pages.join(indexed.select("doc_id", F.col("mod_date").alias("_mod_date"), F.lit(True).alias("_known")), "doc_id", "left")
+    action = F.when(F.col("_known").isNull() | F.col("_mod_date").isNull(), "new").when(F.col("last_modified") > F.col("_mod_date"), "update").otherwise("keep")
+    return rows.withColumn("action", action).drop("_mod_date", "_known")
 
 
 def changed(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -104,6 +104,7 @@ def hydrate(winners: DataFrame, docs: DataFrame, terms: DataFrame | None = None,
     ``docs`` has one row per doc_id. The winners are few by construction (a query's top), so they, and the ids they name, are the small side of
     every join."""
     d = docs.select("doc_id", "url", "title", "mod_date", "page_size", "children", "parents", "words")
+    winners = winners.select("doc_id", *[c for c in winners.columns if c not in d.columns and c not in ("page_title", "words_mapping")])
     rows = winners.join(d, "doc_id", "left")
     rows = rows.withColumn("page_title", F.when(F.size(F.coalesce("title", F.array().cast("array<string>"))) > 0, F.array_join("title", " ")).otherwise(F.regexp_extract("url", r"^[a-z]+://([^/]*)", 1)))
     rows = rows.withColumn("_children", F.slice(F.filter("children", lambda c: c.isNotNull() & (c != "")), 1, k)).withColumn("_parents", F.slice(F.array_sort(F.map_keys("parents")), 1, k)).withColumn("_words", top_words(F.col("words"), k))

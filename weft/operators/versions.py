@@ -285,7 +285,7 @@ def run_deltas(table: VersionedTable) -> DataFrame:
         tags += [(f, v) for f in files if f not in seen]
         seen |= set(files)
     if not tags:
-        return table._empty().withColumn("_v", F.lit(0))
+        return table._empty().withColumn("_v", F.lit(None).cast("int"))
     rows = table._rows(dict.fromkeys(f for f, _ in tags))
     return rows.join(table.spark.createDataFrame(tags, "_file string, _v int"), "_file").drop("_file", "_pos")
 

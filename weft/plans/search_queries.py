@@ -10,7 +10,7 @@ from weft.functions.links import accepted, host_of, page_links
 from weft.functions.text import laundry, phrases_of, split_words, stemmed, stop_words, without_phrases
 from weft.operators import graph, index, reindex, search, topics
 from weft.plans.engine import build_index
-from weft.session import read, scratch_path
+from weft.session import read, scratch_path, spread, staged
 from weft.sources import codec, sinks
 from weft.sources.store import KEYS, SCHEMAS, KeyedTable
 from weft.streaming.reindex import latest
@@ -29,7 +29,7 @@ def _six(*names: str) -> list:
 
 
 def _docs_positions(spark: SparkSession, d: str) -> DataFrame:
-    return index.body_hits(read(spark, d, "documents"), F.col("text"))
+    return index.body_hits(spread(read(spark, d, "documents")), F.col("text"))
 
 
 def _docs_freqs(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +82,7 @@ def doc_magnitude(spark, d):
 
 
 def _search_docs(spark, d, query, **kw):
-    w = _docs_weighted(spark, d)
+    w = staged(_docs_weighted(spark, d), "weighted")
     return search.search(w, index.magnitudes(w), query, **kw).select("doc_id", *[F.round(c, 4).alias(c) for c in ("body_rank", "final_rank")])
 
 

@@ -45,6 +45,13 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A scanned table over at least as many partitions as there are cores: matters for small inputs only, where one file would keep
+    all Python work in one task. Not for plans with a shuffle, which asking for partitions would run."""
+    n = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(n) if table.rdd.getNumPartitions() < n else table
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Removes a path that this run wrote."""
     jvm = spark._jvm
