@@ -58,14 +58,14 @@ def main_blocks(judged: DataFrame, page_blocks: DataFrame) -> DataFrame:
 
 
 def clean_summaries(judged: DataFrame, results: DataFrame) -> DataFrame:
-    """The rows of ``results`` whose summary, apart from dots at its ends, stands word for word in its page's main text.
+    """(doc_id, result_id) of the ``results`` whose summary, apart from dots at its ends, stands word for word in its page's main text.
 
     Null, empty and merely dotted summaries are left out; blanks compare as one.
     """
     mains = judged.where("main_text <> ''").groupBy("doc_id").agg(F.concat(F.lit(" "), F.min("main_text"), F.lit(" ")).alias("_main"))
     s = F.regexp_replace(F.regexp_replace("summary", r"\s+", " "), r"^[. …]+|[. …]+$", "")
-    asked = results.where("summary is not null").withColumn("_s", s).where("_s <> ''")
+    asked = results.where("summary is not null and doc_id is not null").select("doc_id", "result_id", s.alias("_s")).where("_s <> ''")
     both = balanced_join(asked, mains, "doc_id", "inner")
     begins = F.concat(F.lit(" "), F.col("_s"))
     hit = F.contains("_main", F.concat(begins, F.lit(" "))) | F.contains("_main", F.concat(begins, F.lit("."))) | F.contains("_main", F.concat(begins, F.lit("…")))
-    return both.where(hit).drop("_s", "_main")
+    return both.where(hit).select("doc_id", "result_id").distinct()

@@ -11,7 +11,7 @@ from weft.llm.main_content import clean_summaries, judge_pages, main_blocks
 from weft.llm.packing import pack_documents
 from weft.llm.ranking import ideal_point_ranking
 from weft.llm.shared_spans import shared_amounts, shared_spans
-from weft.session import read, staged
+from weft.session import read, spread, staged
 
 
 def p3_term_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -26,15 +26,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pages of keywords, link lists or tags."""
-    return judge_pages(read(spark, d, "pages")).where("spam").select("doc_id").distinct()
+    return judge_pages(spread(read(spark, d, "pages"))).where("spam").select("doc_id").distinct()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of main content, and results whose summary was made of it."""
-    judged = staged(judge_pages(read(spark, d, "pages")).where("not spam").drop("spam"), "judged")
+    judged = staged(judge_pages(spread(read(spark, d, "pages"))).where("not spam").drop("spam"), "judged")
     blocks = main_blocks(judged, read(spark, d, "page_blocks")).select(F.lit("block").alias("place"), "doc_id", F.col("block_no").cast("bigint").alias("item_no"))
-    summaries = clean_summaries(judged, read(spark, d, "results").select("doc_id", "result_id", "summary"))
-    return blocks.unionByName(summaries.select(F.lit("summary").alias("place"), "doc_id", F.col("result_id").alias("item_no")).distinct())
+    summaries = clean_summaries(judged, read(spark, d, "results"))
+    return blocks.unionByName(summaries.select(F.lit("summary").alias("place"), "doc_id", F.col("result_id").alias("item_no")))
 
 
 def p7_ranking(spark: SparkSession, d: str) -> DataFrame:
