@@ -89,17 +89,17 @@ def enrichment(entries: DataFrame) -> DataFrame:
     rows = entries.where("field is not null and term is not null and doc_id is not null").withColumn("doc_id", packed_id(F.col("doc_id")))
     # One aggregate that both uses below need whole: so they share its shuffle.
     base = rows.groupBy(*key).agg(F.max(F.struct(F.coalesce(F.greatest("occ", F.lit(0)), F.lit(0)).cast("bigint").alias("occ"), "tf")).alias("x")).select(*key, "x.occ", "x.tf")
-    per_term = base.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("occ").alias("_K"))
-    totals = per_term.groupBy("field").agg(F.sum("_K").alias("_N"))
+    per_term = base.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("occ").alias("_of_term"))
+    totals = per_term.groupBy("field").agg(F.sum("_of_term").alias("_of_all"))
     # The dictionary is small beside the postings; Spark broadcasts it only when its measured size allows.
     joined = base.join(per_term.join(totals, "field"), ["field", "term"])
     record = Window.partitionBy("field", "doc_id")
-    scored = joined.withColumn("_n", F.sum("occ").over(record)).withColumn("log_p", log_p("occ", "_n", "_K", "_N"))
+    scored = joined.withColumn("_of_record", F.sum("occ").over(record)).withColumn("log_p", log_p("occ", "_of_record", "_of_term", "_of_all"))
     down = record.orderBy(F.desc("log_p"), "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     m = F.count(F.lit(1)).over(record)
     rank = m - F.row_number().over(record.orderBy(F.desc("log_p"), "term")) + 1
     scored = scored.withColumn("_q", F.col("log_p") + F.log(m.cast("double")) - F.log(rank.cast("double")))
-    return scored.withColumn("score", F.greatest(-F.min("_q").over(down), F.lit(0.0))).select("field", "term", unpacked_id(F.col("doc_id")).alias("doc_id"), "tf", "occ", "df", "log_p", "score")
+    return scored.withColumn("score", F.greatest(-F.min("_q").over(down), F.lit(0.0)) + F.lit(0.0)).select("field", "term", unpacked_id(F.col("doc_id")).alias("doc_id"), "tf", "occ", "df", "log_p", "score")
 
 
 def postings_entries(postings: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.boilerplate import TRAIN_CHARS, TRAIN_PAGES, Model, Page, train
 from weft.llm.spam import is_spam
-from weft.operators.skew import balanced_join
+from weft.operators.skew import balanced_join, heavy_hitters
 
 
 def fit(pages: DataFrame, most: int = TRAIN_PAGES) -> Model:
@@ -65,7 +65,8 @@ def clean_summaries(judged: DataFrame, results: DataFrame) -> DataFrame:
     mains = judged.where("main_text <> ''").groupBy("doc_id").agg(F.concat(F.lit(" "), F.min("main_text"), F.lit(" ")).alias("_main"))
     s = F.regexp_replace(F.regexp_replace("summary", r"\s+", " "), r"^[. …]+|[. …]+$", "")
     asked = results.where("summary is not null and doc_id is not null").select("doc_id", "result_id", s.alias("_s")).where("_s <> ''")
-    both = balanced_join(asked, mains, "doc_id", "inner")
+    # Texts are wide: at most 50 pages, those that hold a fiftieth of all results each, are broadcast.
+    both = balanced_join(asked, mains, "doc_id", "inner", heavy_hitters(asked, "doc_id", 0.02))
     begins = F.concat(F.lit(" "), F.col("_s"))
     hit = F.contains("_main", F.concat(begins, F.lit(" "))) | F.contains("_main", F.concat(begins, F.lit("."))) | F.contains("_main", F.concat(begins, F.lit("…")))
     return both.where(hit).select("doc_id", "result_id").distinct()
