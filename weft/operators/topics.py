@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def topic_name(url: Column) -> Column:
+    """The topic that a directory page's URL names: its path without slashes, '' if there is none."""
+    return F.replace(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit("/"), F.lit(""))
+
+
 def topic_term_freq(hits: DataFrame) -> DataFrame:
     """(topic, term, freq) of hits (topic, term); rows without a topic don't count."""
     return hits.where("topic is not null and term is not null").groupBy("topic", "term").agg(F.count(F.lit(1)).alias("freq"))

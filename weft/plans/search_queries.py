@@ -262,6 +262,10 @@ def _topic_meta(spark, d):
     return topics.topic_metadata(topics.topic_term_freq(_topic_hits(spark, d)), read(spark, d, "page_rank"))
 
 
+def topic_names(spark, d):
+    return read(spark, d, "portals").select("doc_id", topics.topic_name(F.col("url")).alias("name"))
+
+
 def topic_term_freq(spark, d):
     return topics.topic_term_freq(_topic_hits(spark, d))
 
@@ -381,7 +385,7 @@ QUERIES = {
         tokenize_documents, stopword_filter, term_freq_documents, term_positions, doc_max_freq, doc_freq, idf, tfidf_weights, doc_magnitude, keyword_search_top50, phrase_match, phrase_and_keyword_search,
         multi_phrase_concat, require_phrase_search, query_parse, stored_weights, stored_magnitudes, term_hashes, page_titles, link_filter, web_nodes, out_degree, in_degree, children_top5, parents_of,
         page_body_terms, page_title_terms, anchor_terms, page_title_postings, parents_anchor_map, page_search, page_search_snippets, pagerank_synthetic_edges, pagerank_topics, bfs_depth, crawl_budget, domain_filter,
-        word_list_prefix, word_list_page, top5_words_per_doc, topic_term_freq, topic_metadata, term_topics, topic_posterior, reindex_purge, freshness_filter, change_detection_md5, docs_last_version,
+        word_list_prefix, word_list_page, top5_words_per_doc, topic_names, topic_term_freq, topic_metadata, term_topics, topic_posterior, reindex_purge, freshness_filter, change_detection_md5, docs_last_version,
         upsert_and_delete, page_sizes, doc_json, results_json, document_report, result_cards, results_hydrated, final_rank, snippet_dynamic, snippet_static, snippet_phrase, stem_terms, stemmed_search,
     )},
     "page_links": page_links_query,
@@ -559,6 +563,7 @@ ORACLE = {
     "word_list_page": "SELECT DISTINCT term FROM postings ORDER BY term LIMIT 75 OFFSET 75",
     "top5_words_per_doc": f"""WITH {_LAST}, w AS (SELECT doc_id, unnest(map_entries(words)) AS x FROM last), r AS (SELECT doc_id, x.key AS h, x.value AS freq, row_number() OVER (PARTITION BY doc_id ORDER BY x.value DESC, x.key) AS n FROM w)
         SELECT doc_id, term, freq FROM r JOIN terms ON term_hash = h WHERE n <= 5""",
+    "topic_names": "SELECT doc_id, replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/', '') AS name FROM portals",
     "topic_term_freq": f"WITH {_TOPIC} SELECT topic, term, freq FROM tt",
     "topic_metadata": f"WITH {_TOPIC} SELECT topic, num_pages, word_count FROM tm",
     "term_topics": f"WITH {_TOPIC} SELECT term, string_agg(topic || ':' || freq, ' ' ORDER BY topic) AS topics FROM tt GROUP BY term",
