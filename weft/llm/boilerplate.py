@@ -23,7 +23,7 @@ DIM = 1 << 14
 TRAIN_PAGES = 1_500
 TRAIN_CHARS = 50_000
 #: Weight of a standing phrase beside the features of words and shape, whose values are at most 1.
-STANDING = 4.0
+STANDING = 8.0
 
 _WORD = re.compile(r"\w+")
 _DIGITS = re.compile(r"\d+")
@@ -83,6 +83,13 @@ class Page:
         crumb = 2 if ">" not in n.text and "»" not in n.text else int(bool(self.title) and not b[4] and n.text.endswith(self.title))
         return ("L", n.tag, _bucket(b[6]), b[3], _share(b[2], b[1]), b[5], b[4], crumb, 4 * n.block // max(1, total), _bucket(p[0]), _share(p[2], p[1]), _share(p[3], p[0]), min(p[4], 1), min(12, p[3] - b[3]))
 
+    def phrase(self, i: int) -> str:
+        """What makes the block's text alike on other sites: the masked text, or for path lines their form."""
+        text = self.nodes[i].text
+        if ">" in text or "»" in text:
+            return f"> {bool(self.title) and text.endswith(self.title)} {text.split()[0].lower()}"
+        return masked(text, self.site)
+
     def wording(self, i: int) -> list[int]:
         """Features of a block's words."""
         m = masked(self.nodes[i].text, self.site)
@@ -128,7 +135,7 @@ class Model:
                 if t is None:
                     f = page.wording(i)
                     t = sum([w[x] for x in f]) / math.sqrt(len(f)) if f else 0.0
-                    m = masked(n.text, page.site)
+                    m = page.phrase(i)
                     if m in self.standing:
                         t += STANDING * w[_h("=" + m)]
                     if key and len(memo) < 100_000:
@@ -215,7 +222,7 @@ def train(sample: list[tuple[str, str | None]], rounds: int = 400, ridge: float
     sites = defaultdict(set)
     for p in pages:
         for i in p.leaves:
-            sites[masked(p.nodes[i].text, p.site)].add(p.site)
+            sites[p.phrase(i)].add(p.site)
     standing = frozenset(t for t, s in sites.items() if len(s) >= 3)
     row, col, val, ys = [], [], [], []
     for p, y in zip(pages, labels):
@@ -229,7 +236,7 @@ def train(sample: list[tuple[str, str | None]], rounds: int = 400, ridge: float
                 row += [len(ys)] * len(f)
                 col += f
                 val += [1 / math.sqrt(max(1, len(f)))] * len(f)
-                m = masked(n.text, p.site)
+                m = p.phrase(i)
                 if m in standing:
                     row.append(len(ys))
                     col.append(_h("=" + m))

@@ -6,6 +6,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -97,21 +98,33 @@ def maximal_matches(doc: str, item: str, seeds: list[tuple[int, int]], q: int) -
     return out
 
 
-def tile(matches: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: the longest match first; what it covers on either side is cut off the others, until none of ``least`` is left."""
+def tile(matches: list[tuple[int, int, int]], least: int, size: int | None = None) -> list[tuple[int, int, int]]:
+    """Greedy string tiling: the longest match first; what it covers on either side is cut off the others, until none of ``least`` is left.
+
+    With ``size``, the item's letters, it ends as soon as too few of them are free. There are never more tiles than size / least, so each match is
+    held against few, and a repetitive text with a million matches takes no more than a sort."""
     tiles: list[tuple[int, int, int]] = []
-    todo = sorted(set(matches), key=lambda m: (-m[2], m[0], m[1]))
-    while todo:
-        p, i, n = todo.pop(0)
-        tiles.append((p, i, n))
-        cut = []
-        for a, b, m in todo:
+    heap = [(-n, p, i) for p, i, n in set(matches)]
+    heapify(heap)
+    free = size
+    while heap:
+        n, p, i = heappop(heap)
+        n = -n
+        parts = [(0, n)]
+        for a, b, m in tiles:
             # The parts of the match outside the tile, seen from both sides.
-            keep = [(0, m)]
-            for lo in (p - a, i - b):
-                keep = [(x, y) for s, e in keep for x, y in ((s, min(e, lo)), (max(s, lo + n), e)) if y - x >= least]
-            cut += [(a + s, b + s, e - s) for s, e in keep]
-        todo = sorted(set(cut), key=lambda m: (-m[2], m[0], m[1]))
+            for lo in (a - p, b - i):
+                if lo < n and lo + m > 0:
+                    parts = [(x, y) for s, e in parts for x, y in ((s, min(e, lo)), (max(s, lo + m), e)) if y - x >= least]
+        if parts == [(0, n)]:
+            tiles.append((p, i, n))
+            if free is not None:
+                free -= n
+                if free < least:
+                    break
+        else:
+            for s, e in parts:
+                heappush(heap, (s - e, p + s, i + s))
     return tiles
 
 
@@ -143,7 +156,7 @@ def _scan(shared, least_tile: int):
                     if not matches:
                         continue
                     words = max(items.run_words(k, i, i + n) for _, i, n in matches)
-                    tiles = tile(matches, least_tile)
+                    tiles = tile(matches, least_tile, len(own))
                     out.append((ids[lo + d], items.ids[k], words, len(tiles), sum(t[2] for t in tiles) / len(own)))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "run_words", "tiles", "coverage"])
 

@@ -23,5 +23,5 @@ def encoder(vocabulary: str = VOCABULARY):
 
 
 def count_tokens(text: str | None, vocabulary: str = VOCABULARY) -> int:
-    """Tokens of a text; null has none. Long texts are cut before letters that follow white space, where no token crosses."""
+    """Tokens of a text; null has none."""
     return 0 if not text else len(encoder(vocabulary).encode_ordinary(text))
