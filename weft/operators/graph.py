@@ -67,12 +67,12 @@ def pagerank(node_ids: DataFrame, links: DataFrame, n: float | None = None, d: f
     if not count:
         return start
     edges = distinct_edges(links)
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
+    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg")).persist()
     edges = edges.join(degree, "src").repartition("src").persist()
     rank = staged(start, "rank")
     try:
         for k in range(max_iter):
-            shares = rank.join(edges.select("src", "deg").distinct(), rank.doc_id == F.col("src"))
+            shares = rank.join(degree, rank.doc_id == degree.src)
             by = ["topic"] if topic_sizes else []
             passed = {r["topic"] if by else None: r["s"] for r in shares.groupBy(*by).agg(F.sum(d * F.col("rank") / F.col("deg")).alias("s")).collect()}
             inflow = edges.join(rank.withColumnRenamed("doc_id", "src"), "src").groupBy(F.col("dst").alias("doc_id"), *by).agg(F.sum(d * F.col("rank") / F.col("deg")).alias("_in"))
@@ -88,6 +88,7 @@ def pagerank(node_ids: DataFrame, links: DataFrame, n: float | None = None, d: f
                 break
     finally:
         edges.unpersist()
+        degree.unpersist()
     return rank
 
 

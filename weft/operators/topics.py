@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.operators.index import title_hits
+
 
 def topic_name(url: Column) -> Column:
     """The topic that a directory page's URL names: its path without slashes, '' if there is none."""
@@ -16,6 +20,11 @@ def topic_term_freq(hits: DataFrame) -> DataFrame:
     return hits.where("topic is not null and term is not null").groupBy("topic", "term").agg(F.count(F.lit(1)).alias("freq"))
 
 
+def directory_hits(fields: DataFrame, topics: DataFrame, stops: Sequence[str] | None = None, stemming: bool = False) -> DataFrame:
+    """(topic, doc_id, term): title and meta hits of extracted pages by the topics (doc_id, topic) they are listed under, as often as they occur."""
+    return title_hits(fields, stops, stemming).select("doc_id", "term").join(topics.where("topic is not null").select("doc_id", "topic").distinct(), "doc_id")
+
+
 def topic_metadata(freqs: DataFrame, pages: DataFrame) -> DataFrame:
     """(topic, num_pages, word_count): pages (topic, doc_id) and different words of each topic."""
     words = freqs.groupBy("topic").agg(F.count(F.lit(1)).alias("word_count"))

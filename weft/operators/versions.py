@@ -265,11 +265,12 @@ def first_run_that_sees(docs: DataFrame, runs: DataFrame) -> tuple[DataFrame, li
 def publish_runs(docs: DataFrame, runs: DataFrame, table: VersionedTable) -> list:
     """Writes ``docs`` as the versioned table that the ok runs saw: version i holds what run i sees.
 
-    The rows are written once, grouped by version; then each run's manifest is committed with the files so far.
+    The rows are written once, grouped by version and balanced by size, so that a version with most of the rows gets most of the tasks;
+    then each run's manifest is committed with the files so far.
     Returns the ok runs' ids in order of their versions.
     """
     tagged, ok = first_run_that_sees(docs, runs)
-    files = table.write_files(tagged.repartition("_v", F.pmod(F.hash("seq"), F.lit(4))), "_v")
+    files = table.write_files(tagged.hint("rebalance", "_v"), "_v")
     base = table.manifest()
     for i, run in enumerate(ok):
         base = table.commit(base, base.files | dict.fromkeys(files.get(str(i + 1), [])), {"run_id": run})

@@ -11,6 +11,7 @@ from weft.functions.html import extract_fields
 from weft.functions.links import page_links
 from weft.operators.graph import nodes, pagerank
 from weft.operators.index import anchor_hits, body_hits, build_postings, magnitudes, term_weights, title_hits, title_postings
+from weft.operators.reindex import purge
 from weft.operators.search import search, snippet, split_query, word_list
 from weft.session import staged
 
@@ -36,6 +37,23 @@ class Engine:
         return word_list(self.postings, prefix)
 
 
+def update_index(engine: Engine, pages: DataFrame) -> Engine:
+    """The index after ``pages`` (doc_id, url, html; one row per page) came in, new or changed.
+
+    Pages whose content is the same as before should be left out by the caller (see operators.reindex). Postings of the pages are purged and made anew; anchor
+    texts of changed pages count for the pages they point to, so title postings of those are made anew, too. Weights are computed for all, since every frequency
+    and the number of nodes may have changed.
+    """
+    new = staged(extract_fields(pages), "fields")
+    gone = new.select("doc_id")
+    fields = staged(engine.fields.join(gone, "doc_id", "left_anti").unionByName(new), "fields")
+    links = page_links(fields)
+    body = purge(engine.postings.where("field = 'body'").drop("weight"), gone).unionByName(build_postings(body_hits(new, F.col("body"), engine.stops, engine.stemming)))
+    title = title_postings(title_hits(fields, engine.stops, engine.stemming), anchor_hits(fields, engine.stops, engine.stemming))
+    weighted = staged(term_weights(staged(body.unionByName(title), "counted"), nodes(links, fields).count()), "postings")
+    return Engine(weighted, magnitudes(weighted), fields, links, engine.ranks, engine.stops, engine.stemming)
+
+
 def build_index(pages: DataFrame, links: DataFrame | None = None, topic_sizes: dict[str, float] | None = None, stops: Sequence[str] | None = None, stemming: bool = False, with_ranks: bool = False) -> Engine:
     """An index of ``pages`` (doc_id, url, html; one row per page). ``links`` default to those on the pages.
 
@@ -47,6 +65,7 @@ def build_index(pages: DataFrame, links: DataFrame | None = None, topic_sizes: d
     n = ids.count()
     body = build_postings(body_hits(fields, F.col("body"), stops, stemming))
     title = title_postings(title_hits(fields, stops, stemming), anchor_hits(fields, stops, stemming))
-    weighted = staged(term_weights(body.unionByName(title), n), "postings")
+    # Written before they are weighted: frequencies and weights both read them, and making them twice would cost more.
+    weighted = staged(term_weights(staged(body.unionByName(title), "counted"), n), "postings")
     ranks = pagerank(ids, links, topic_sizes=topic_sizes) if with_ranks else None
     return Engine(weighted, magnitudes(weighted), fields, links, ranks, stops, stemming)

@@ -37,7 +37,7 @@ def _docs_freqs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _docs_weighted(spark: SparkSession, d: str) -> DataFrame:
-    return index.term_weights(index.build_postings(_docs_positions(spark, d)), read(spark, d, "documents").count())
+    return index.term_weights(staged(index.build_postings(_docs_positions(spark, d)), "counted"), read(spark, d, "documents").count())
 
 
 def _fields(spark: SparkSession, d: str) -> DataFrame:
@@ -322,7 +322,7 @@ def doc_json(spark, d):
     """Dates of records as text and back."""
     docs = search.last_versions(read(spark, d, "docs"))
     back = codec.from_json(codec.to_json(docs))
-    return back.join(docs.select("doc_id", codec.rfc1123(F.col("mod_date")).alias("written")), "doc_id").select("doc_id", "written", "url", F.col("mod_date").alias("read_back"), F.size("parents").alias("n_parents"))
+    return back.join(docs.select("doc_id", codec.rfc1123(F.col("mod_date")).alias("written")), "doc_id").select("doc_id", "written", "url", F.date_format("mod_date", "yyyy-MM-dd HH:mm:ss").alias("read_back"), F.size("parents").alias("n_parents"))
 
 
 def results_json(spark, d):
@@ -576,7 +576,7 @@ ORACLE = {
     "docs_last_version": f"WITH {_LAST} SELECT doc_id, seq, url, page_size FROM last",
     "upsert_and_delete": f"WITH {_LAST} SELECT doc_id, url, page_size FROM last WHERE doc_id NOT IN (SELECT doc_id FROM removals)",
     "page_sizes": f"WITH {_PAGES} SELECT doc_id, coalesce(content_length, strlen(html), 0) AS page_size FROM pg",
-    "doc_json": f"""WITH {_LAST} SELECT doc_id, strftime(mod_date, '%a, %d %b %Y %H:%M:%S UTC') AS written, url, date_trunc('second', mod_date) AS read_back, cardinality(parents) AS n_parents FROM last""",
+    "doc_json": f"""WITH {_LAST} SELECT doc_id, strftime(mod_date, '%a, %d %b %Y %H:%M:%S UTC') AS written, url, strftime(mod_date, '%Y-%m-%d %H:%M:%S') AS read_back, cardinality(parents) AS n_parents FROM last""",
     "results_json": """SELECT '{"result_id":' || result_id || coalesce(',"query_id":' || query_id, '') || coalesce(',"doc_id":"' || doc_id || '"', '') || coalesce(',"url":"' || url || '"', '') || '}' AS value FROM results""",
     "result_cards": "SELECT result_id, strftime(mod_date, '%Y-%m-%d') AS mod_day, round(final_rank, 0) AS points FROM results WHERE final_rank IS NOT NULL AND NOT isnan(final_rank) AND url <> ''",
     "results_hydrated": f"""WITH {_LAST}, b AS (SELECT result_id, doc_id FROM results WHERE final_rank IS NOT NULL AND NOT isnan(final_rank) ORDER BY result_id LIMIT 50),
