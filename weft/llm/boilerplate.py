@@ -224,29 +224,30 @@ def train(sample: list[tuple[str, str | None]], rounds: int = 400, ridge: float
         for i in p.leaves:
             sites[p.phrase(i)].add(p.site)
     standing = frozenset(t for t, s in sites.items() if len(s) >= 3)
-    row, col, val, ys = [], [], [], []
+    # Like nodes (menus, notices) are one row that counts as often as they occur.
+    like: dict[tuple, list[int]] = {}
     for p, y in zip(pages, labels):
         for i, n in enumerate(p.nodes):
-            f = surface_features(p.surface(i))
-            row += [len(ys)] * len(f)
-            col += f
-            val += [1.0] * len(f)
-            if n.block >= 0:
-                f = p.wording(i)
-                row += [len(ys)] * len(f)
-                col += f
-                val += [1 / math.sqrt(max(1, len(f)))] * len(f)
-                m = p.phrase(i)
-                if m in standing:
-                    row.append(len(ys))
-                    col.append(_h("=" + m))
-                    val.append(STANDING)
-            ys.append(y[i])
-    r, c, v, t = np.array(row), np.array(col), np.array(val), np.array(ys, "float64")
+            words, phrase = (tuple(p.wording(i)), p.phrase(i)) if n.block >= 0 else ((), None)
+            like.setdefault((p.surface(i), words, phrase if phrase in standing else None), [0, 0])[y[i]] += 1
+    row, col, val = [], [], []
+    for k, (surface, words, phrase) in enumerate(like):
+        f = surface_features(surface)
+        col += [*f, *words]
+        val += [1.0] * len(f) + [1 / math.sqrt(max(1, len(words)))] * len(words)
+        row += [k] * (len(f) + len(words))
+        if phrase is not None:
+            row.append(k)
+            col.append(_h("=" + phrase))
+            val.append(STANDING)
+    r, c, v = np.array(row), np.array(col), np.array(val)
+    counts = np.array(list(like.values()), "float64")
+    often = counts.sum(1)
+    t, often = counts[:, 1] / often, often / often.sum()
     w, first, second = np.zeros(DIM), np.zeros(DIM), np.zeros(DIM)
     for k in range(1, rounds + 1):
         s = np.bincount(r, v * w[c], len(t))
-        g = np.bincount(c, v * (1 / (1 + np.exp(-np.clip(s, -50, 50))) - t)[r], DIM) / len(t) + ridge * w
+        g = np.bincount(c, v * (often * (1 / (1 + np.exp(-np.clip(s, -50, 50))) - t))[r], DIM) + ridge * w
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         w = w - 0.15 * (1 - k / (rounds + 1)) * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-9)
     ties = {True: Counter(), False: Counter()}
