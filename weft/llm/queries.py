@@ -16,7 +16,8 @@ from weft.session import read, spread, staged
 
 def p3_term_scores(spark: SparkSession, d: str) -> DataFrame:
     """Scores of all terms of all records, from postings and from docs.words."""
-    return enrichment(postings_entries(read(spark, d, "postings")).unionByName(words_entries(read(spark, d, "docs"))))
+    scored = enrichment(postings_entries(read(spark, d, "postings")).unionByName(words_entries(read(spark, d, "docs"))))
+    return scored.select("field", "term", "doc_id", "occ", "df", F.round("score", 3).alias("score"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +40,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_ranking(spark: SparkSession, d: str) -> DataFrame:
     """All answers by closeness to their query's ideal point."""
-    return ideal_point_ranking(read(spark, d, "results"))
+    ranked = ideal_point_ranking(read(spark, d, "results"))
+    return ranked.select("query_id", "doc_id", "n", F.round("closeness", 6).alias("closeness"), "rank", "stands_high")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +76,29 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_term_scores, p3_found, p4_found, p5_found, p7_ranking, p7_found, p8_pack, p9_leaks, p9_found, p10_shared_amounts, p10_found)}
 
+_SPANS = """
+        d AS (SELECT DISTINCT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 300),
+        w AS (SELECT doc_id, i, md5(substring(text, i + 1, 300)) AS h FROM d, LATERAL (SELECT unnest(range(n - 299)) AS i)),
+        s AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+        m AS (SELECT DISTINCT doc_id, i FROM w WHERE h IN (SELECT h FROM s)),
+        g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 300 THEN 0 ELSE 1 END AS new FROM m),
+        k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+        sp AS (SELECT doc_id, min(i) AS span_start, max(i) + 300 AS span_end FROM k GROUP BY doc_id, k)"""
+
 ORACLE = {
+    "p3_term_scores": """
+        WITH last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY written_at DESC, seq DESC) AS k FROM docs WHERE doc_id IS NOT NULL) WHERE k = 1),
+        e AS (SELECT field, term, doc_id, CAST(len(positions) AS BIGINT) AS occ FROM postings
+              UNION ALL SELECT 'words', x.key, doc_id, x.value FROM (SELECT doc_id, unnest(map_entries(words)) AS x FROM last)),
+        b AS (SELECT field, term, doc_id, max(occ) AS occ FROM e GROUP BY ALL),
+        t AS (SELECT field, term, count(*) AS df, sum(occ)::DOUBLE AS kk FROM b GROUP BY ALL), r AS (SELECT field, doc_id, sum(occ)::DOUBLE AS n FROM b GROUP BY ALL), f AS (SELECT field, sum(occ)::DOUBLE AS nn FROM b GROUP BY ALL),
+        j AS (SELECT b.*, df, kk, n, nn FROM b JOIN t USING (field, term) JOIN r USING (field, doc_id) JOIN f USING (field)),
+        u AS (SELECT DISTINCT occ, kk, n, nn FROM j),
+        p AS (SELECT occ, kk, n, nn, ln(least(1.0, sum(exp(lgamma(kk + 1) - lgamma(i + 1) - lgamma(kk - i + 1) + lgamma(nn - kk + 1) - lgamma(n - i + 1) - lgamma(nn - kk - n + i + 1) - lgamma(nn + 1) + lgamma(n + 1) + lgamma(nn - n + 1))))) AS log_p
+              FROM u, LATERAL (SELECT unnest(range(occ, CAST(least(kk, n) AS BIGINT) + 1)) AS i) GROUP BY ALL),
+        s AS (SELECT j.field, j.term, j.doc_id, j.occ, j.df, log_p, log_p + ln(count(*) OVER (PARTITION BY j.field, j.doc_id)) - ln(count(*) OVER (PARTITION BY j.field, j.doc_id ORDER BY log_p RANGE UNBOUNDED PRECEDING)) AS q
+              FROM j JOIN p USING (occ, kk, n, nn))
+        SELECT field, term, doc_id, occ, df, round(greatest(0.0, -min(q) OVER (PARTITION BY field, doc_id ORDER BY log_p DESC RANGE UNBOUNDED PRECEDING)), 3) AS score FROM s""",
     "p3_found": """
         WITH b AS (SELECT field, term, doc_id, max(tf) AS tf FROM postings GROUP BY ALL),
         n AS (SELECT field, term FROM b GROUP BY ALL HAVING count(*) BETWEEN 2 AND 8)
@@ -89,4 +113,28 @@ ORACLE = {
           AND (SELECT count(*) FROM a x WHERE x.query_id = a.query_id AND x.p > a.p) * 10 < n
           AND (SELECT count(*) FROM a x WHERE x.query_id = a.query_id AND x.t > a.t) * 10 < n
           AND (SELECT count(*) FROM a x WHERE x.query_id = a.query_id AND x.b > a.b) * 10 < n""",
+    "p7_ranking": """
+        WITH f AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY result_id) AS k FROM results),
+        a AS (SELECT query_id, doc_id, CASE WHEN isnan(page_rank) THEN NULL ELSE page_rank END AS p,
+                     CASE WHEN isnan(title_rank) THEN NULL ELSE title_rank END AS t,
+                     CASE WHEN isnan(body_rank) THEN NULL ELSE body_rank END AS b FROM f WHERE k = 1),
+        q AS (SELECT query_id, count(*) AS n, quantile_disc(p, [0.05, 0.95]) AS qp, quantile_disc(t, [0.05, 0.95]) AS qt, quantile_disc(b, [0.05, 0.95]) AS qb FROM a GROUP BY query_id),
+        v AS (SELECT a.*, n, coalesce(least(greatest(coalesce(p, qp[1]), qp[1]), qp[2]), 0) AS vp, coalesce(least(greatest(coalesce(t, qt[1]), qt[1]), qt[2]), 0) AS vt,
+                     coalesce(least(greatest(coalesce(b, qb[1]), qb[1]), qb[2]), 0) AS vb FROM a JOIN q USING (query_id)),
+        s AS (SELECT query_id, nullif(sqrt(sum(vp * vp)), 0) AS sp, nullif(sqrt(sum(vt * vt)), 0) AS st, nullif(sqrt(sum(vb * vb)), 0) AS sb,
+                     max(vp) AS hp, max(vt) AS ht, max(vb) AS hb, min(vp) AS lp, min(vt) AS lt, min(vb) AS lb FROM v GROUP BY query_id),
+        z AS (SELECT v.*, sqrt(coalesce(((vp - hp) / sp) ** 2, 0) + coalesce(((vt - ht) / st) ** 2, 0) + coalesce(((vb - hb) / sb) ** 2, 0)) AS best,
+                     sqrt(coalesce(((vp - lp) / sp) ** 2, 0) + coalesce(((vt - lt) / st) ** 2, 0) + coalesce(((vb - lb) / sb) ** 2, 0)) AS worst FROM v JOIN s USING (query_id)),
+        c AS (SELECT *, coalesce(worst / nullif(best + worst, 0), 0.5) AS c FROM z)
+        SELECT query_id, doc_id, n, round(c, 6) AS closeness, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, doc_id) AS rank,
+               p IS NOT NULL AND t IS NOT NULL AND b IS NOT NULL
+               AND (SELECT count(*) FROM a x WHERE x.query_id = c.query_id AND x.p > c.p) * 10 < n
+               AND (SELECT count(*) FROM a x WHERE x.query_id = c.query_id AND x.t > c.t) * 10 < n
+               AND (SELECT count(*) FROM a x WHERE x.query_id = c.query_id AND x.b > c.b) * 10 < n AS stands_high FROM c""",
+    "p10_found": f"WITH {_SPANS} SELECT doc_id, span_start, span_end FROM sp",
+    "p10_shared_amounts": f"""
+        WITH {_SPANS}, t AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(span_end - span_start) AS BIGINT) AS shared_chars FROM sp GROUP BY doc_id),
+        a AS (SELECT doc_id, coalesce(max(length(text)), 0) AS n_chars FROM documents GROUP BY doc_id)
+        SELECT doc_id, n_chars, coalesce(n_spans, 0) AS n_spans, coalesce(shared_chars, 0) AS shared_chars,
+               coalesce(coalesce(shared_chars, 0)::DOUBLE / nullif(n_chars, 0), 0) AS shared_share FROM a LEFT JOIN t USING (doc_id)""",
 }
