@@ -50,11 +50,12 @@ def first_parents(links: DataFrame, k: int = 5) -> DataFrame:
     return few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("dst", "src", "n")
 
 
-def pagerank(node_ids: DataFrame, links: DataFrame, n: float | None = None, d: float = 0.75, max_iter: int = 100, tol: float = 1e-12, topic_sizes: dict[str, float] | None = None) -> DataFrame:
+def pagerank(node_ids: DataFrame, links: DataFrame, n: float | None = None, d: float = 0.75, max_iter: int = 100, tol: float = 1e-12, topic_sizes: dict[str, float] | None = None, bias: DataFrame | None = None) -> DataFrame:
     """(doc_id, [topic,] rank) by power iteration; stops when the ranks change by no more than ``tol`` in sum, or after ``max_iter`` rounds.
 
     Each round hands d * rank / out-degree to every target, adds 1 - d to every node and divides by what was passed on, counted once per
     parent, plus (1 - d) times the number of nodes. Nodes without targets keep nothing back. All start from 1 / n, and the first round's sums do, too.
+    With ``bias`` (doc_id, with topics also topic) the same sum of teleports goes to these nodes only, in equal shares.
     With ``topic_sizes`` (topic -> n) all topics run together as one more column. Only two numbers per round reach the driver.
     The ranks are written to the shared folder each round; the edges stay hashed by source, so a round shuffles ranks and partial sums only.
     """
@@ -70,6 +71,11 @@ def pagerank(node_ids: DataFrame, links: DataFrame, n: float | None = None, d: f
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg")).persist()
     edges = edges.join(degree, "src").repartition("src").persist()
     rank = staged(start, "rank")
+    if bias is not None:
+        own = bias.join(ids, "doc_id", "left_semi").select(*key).distinct()
+        sizes = own.groupBy(*key[1:]).agg(F.count(F.lit(1)).alias("_size"))
+        shares_of = own.join(sizes, "topic") if topic_sizes else own.withColumn("_size", F.lit(own.count()))
+        bias = staged(shares_of.select(*key, (F.lit((1 - d) * count) / F.col("_size")).alias("_teleport")), "bias")
     try:
         for k in range(max_iter):
             shares = rank.join(degree, rank.doc_id == degree.src)
@@ -80,7 +86,9 @@ def pagerank(node_ids: DataFrame, links: DataFrame, n: float | None = None, d: f
             totals = {t: (passed.get(t) or 0.0) + (1 - d) * count for t in topics}
             total = F.lit(totals[None]) if not by else F.element_at(F.create_map(*[x for t in topics for x in (F.lit(t), F.lit(totals[t]))]), F.col("topic"))
             base = F.col("rank") if k == 0 else F.lit(0.0)
-            new = rank.join(inflow, key, "left").select(*key, ((base + F.coalesce("_in", F.lit(0.0)) + (1 - d)) / total).alias("rank"), F.col("rank").alias("_old"))
+            both = rank.join(inflow, key, "left")
+            both = both.withColumn("_teleport", F.lit(1 - d)) if bias is None else both.join(bias, key, "left")
+            new = both.select(*key, ((base + F.coalesce("_in", F.lit(0.0)) + F.coalesce("_teleport", F.lit(0.0))) / total).alias("rank"), F.col("rank").alias("_old"))
             new = staged(new, "rank")
             delta = new.agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0]
             rank = new.drop("_old")

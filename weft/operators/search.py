@@ -18,13 +18,14 @@ BLEND = (0.33, 0.38, 0.29)
 TOP = 50
 
 
-def parse_query(spark: SparkSession, query: str, stops: Sequence[str] | None = None, stemming: bool = False) -> DataFrame:
-    """(kind 'word' or 'phrase', k, term): the query's tokens by the same definition as indexed text.
+def parse_query(spark: SparkSession, query: str, stops: Sequence[str] | None = None, stemming: bool = False, separate: bool = False) -> DataFrame:
+    """(kind 'word' or 'phrase', n, k, term): the query's tokens by the same definition as indexed text.
 
-    All quoted phrases make one phrase, in order; k is the place within each kind."""
+    All quoted phrases make one phrase, in order, or, if ``separate``, one each, numbered by n from 0; k is the place within words or phrase."""
     row = spark.range(1).select(F.lit(query).alias("q"))
-    words = row.select(F.lit("word").alias("kind"), F.posexplode(laundry(without_phrases(F.col("q")), stops, stemming)).alias("k", "term"))
-    phrase = row.select(F.lit("phrase").alias("kind"), F.posexplode(laundry(F.array_join(phrases_of(F.col("q")), " "), stops, stemming)).alias("k", "term"))
+    words = row.select(F.lit("word").alias("kind"), F.lit(0).alias("n"), F.posexplode(laundry(without_phrases(F.col("q")), stops, stemming)).alias("k", "term"))
+    quoted = phrases_of(F.col("q")) if separate else F.array(F.array_join(phrases_of(F.col("q")), " "))
+    phrase = row.select(F.posexplode(quoted).alias("n", "p")).select(F.lit("phrase").alias("kind"), "n", F.posexplode(laundry(F.col("p"), stops, stemming)).alias("k", "term"))
     return words.unionByName(phrase).where(F.col("k") < MAX_QUERY_TOKENS)
 
 
@@ -71,24 +72,29 @@ def score(hits: DataFrame, magnitudes: DataFrame, query_length: int, ranks: Data
     return rows.select("doc_id", "page_rank", "title_rank", "body_rank", final_rank(F.col("page_rank"), F.col("title_rank"), F.col("body_rank")).alias("final_rank"))
 
 
-def search(weighted: DataFrame, magnitudes: DataFrame, query: str, k: int = TOP, stops: Sequence[str] | None = None, stemming: bool = False, require_phrase: bool = False, ranks: DataFrame | None = None, topic_probs: dict[str, float] | None = None) -> DataFrame:
+def search(weighted: DataFrame, magnitudes: DataFrame, query: str, k: int = TOP, stops: Sequence[str] | None = None, stemming: bool = False, require_phrase: bool = False, ranks: DataFrame | None = None, topic_probs: dict[str, float] | None = None, separate: bool = False) -> DataFrame:
     """The ``k`` best records for a query, best first, ties by doc_id.
 
-    Words and the phrase add up: a record needs only one of them, or, with ``require_phrase``, must have the phrase. Postings are filtered by the
+    Words and the phrase add up: a record needs only one of them, or, with ``require_phrase``, must have the phrase. Several phrases are joined into one, or, if
+    ``separate``, looked for one by one; ``require_phrase`` then asks for each. Postings are filtered by the
     query's terms in the scan; details are joined to the winners only. A query without tokens gives no rows.
     """
     spark = weighted.sparkSession
-    tokens = parse_query(spark, query, stops, stemming)
+    tokens = parse_query(spark, query, stops, stemming, separate)
     rows = tokens.collect()
-    words, phrase = [r for r in rows if r["kind"] == "word"], [r for r in rows if r["kind"] == "phrase"]
+    words, phrases = [r for r in rows if r["kind"] == "word"], {}
+    for r in rows:
+        if r["kind"] == "phrase":
+            phrases[r["n"]] = phrases.get(r["n"], 0) + 1
     wanted = weighted.where(F.col("term").isin(sorted({r["term"] for r in rows}))) if rows else weighted.limit(0)
     hits = keyword_hits(wanted, tokens.where("kind = 'word'"))
-    if phrase:
-        matched = phrase_hits(wanted, tokens.where("kind = 'phrase'"), len(phrase))
-        if require_phrase:
-            hits = hits.join(matched.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = [phrase_hits(wanted, tokens.where((F.col("kind") == "phrase") & (F.col("n") == i)), size) for i, size in sorted(phrases.items())]
+    for matched in found:
         hits = hits.unionByName(matched)
-    scored = score(hits, magnitudes, len(words) + len(phrase), ranks, topic_probs)
+    if require_phrase:
+        for matched in found:
+            hits = hits.join(matched.select("doc_id").distinct(), "doc_id", "left_semi")
+    scored = score(hits, magnitudes, len(words) + sum(phrases.values()), ranks, topic_probs)
     return scored.orderBy(F.desc(F.round("final_rank", 9)), "doc_id").limit(k)
 
 
