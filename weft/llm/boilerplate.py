@@ -11,12 +11,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
 
 from weft.llm.pages import Node, parse, site_name, title_of
+from weft.llm.prose import EXPECTED, fit_compression
 
 DIM = 1 << 14
 #: Bound of the labelled sample: pages, and characters of one page.
@@ -118,6 +119,8 @@ class Model:
     standing: frozenset[str]
     block_tie: tuple[tuple[float, float], tuple[float, float]]
     element_tie: tuple[tuple[float, float], tuple[float, float]]
+    #: What honest prose compresses to, by language.
+    prose: dict[str, tuple[float, float]] = field(default_factory=lambda: dict(EXPECTED))
 
     def __post_init__(self) -> None:
         self.lists = self.weights.tolist()
@@ -260,4 +263,5 @@ def train(sample: list[tuple[str, str | None]], rounds: int = 400, ridge: float
         joint /= joint.sum()
         return tuple(tuple(float(x) for x in q) for q in np.log(joint / joint.sum(1, keepdims=True) / joint.sum(0, keepdims=True)))
 
-    return Model(w, standing, tie(ties[True]), tie(ties[False]))
+    honest = (p.nodes[i].text for p, y in zip(pages, labels) for i in p.leaves if y[i])
+    return Model(w, standing, tie(ties[True]), tie(ties[False]), fit_compression(honest))

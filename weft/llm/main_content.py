@@ -32,7 +32,7 @@ def _judge(shared):
             for d, u, h in zip(b["doc_id"].tolist(), b["url"].tolist(), b["html"].tolist()):
                 page = Page(h, u)
                 marginals = model.marginals(page, memo)
-                spam = is_spam(page, marginals)
+                spam = is_spam(page, marginals, model.prose)
                 keep = [] if spam else [i for i in page.leaves if marginals[i] > 0.5]
                 out.append((d, spam, [page.nodes[i].block for i in keep], " ".join(page.nodes[i].text for i in keep)))
             yield pd.DataFrame(out, columns=["doc_id", "spam", "blocks", "main_text"])

@@ -7,45 +7,11 @@ spam if the greater part of its words stands in such blocks.
 
 from __future__ import annotations
 
-import math
 import re
-import zlib
 from collections import Counter
 
 from weft.llm.boilerplate import Page
-
-# The commonest function words of the languages that a text is tried against.
-FUNCTION_WORDS = {
-    "en": "a after although an and are as at be because before between but by can every for from had has have he her his how if in into is it its neither no nobody nor not of on once one only or our she so than that the their then there they this to was were what when where which while who will with without would yet you your".split(),
-    "de": "aber als am an auch auf aus bei das dass dem den der des die doch ein eine einem einen einer er es für gegen hat hinter ich ihr im in ist jede jeden kein mehr mit nach neben nicht niemand noch nur obwohl oder ohne seit sich sie sind so über um und von war wenn wie wir wird zu zum zur".split(),
-    "fr": "à au aux avec ce ces cette chaque comme dans de depuis des devant du elle en entre est et il ils je la le les leur lorsque mais ne nous on ou où par pas personne plus pour quand que qui sa sans se ses si son sous sur un une vous".split(),
-    "es": "a al ante como con cuando de del desde después detrás donde el ella en entre es esta está este hasta la las lo los mas más mientras muy nadie ni no o para pero por que quien se según si sin sobre su sus tras un una y ya".split(),
-}
-_SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-_STOP = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*(?=\s|$)")
-
-
-def language(words: list[str]) -> tuple[str, float]:
-    """The language whose function words are most frequent among ``words`` (lower case), and their share."""
-    if not words:
-        return "en", 0.0
-    return max(((k, sum(w in s for w in words) / len(words)) for k, s in _SETS.items()), key=lambda x: x[1])
-
-
-def compression(text: str) -> float:
-    """Compressed over plain size, without the fixed cost of an empty text."""
-    raw = text.encode()
-    return max(0.0, (len(zlib.compress(raw, 6)) - 8) / max(1, len(raw)))
-
-
-#: What honest prose of 30 to 400 bytes compresses to, as a + b * ln(bytes), by language: a fit, beyond 2,000 bytes constant.
-EXPECTED = {"en": (1.65, -0.183), "de": (1.65, -0.178), "fr": (1.63, -0.180), "es": (1.63, -0.180)}
-
-
-def expected(size: int, lang: str) -> float:
-    a, b = EXPECTED[lang]
-    return a + b * math.log(min(max(size, 20), 2_000))
+from weft.llm.prose import _SETS, _STOP, _WORD, compression, expected, language
 
 
 #: Normalised compression below which a block is extremely redundant; words per sentence mark from which marks are few;
@@ -55,7 +21,7 @@ REDUNDANT, FEW_MARKS, FUNCTION, KEYWORD = 0.75, 40, 0.2, 2
 LEAST_WORDS = 20
 
 
-def stuffed(text: str) -> tuple[int, bool]:
+def stuffed(text: str, fits: dict[str, tuple[float, float]] | None = None) -> tuple[int, bool]:
     """The words of a block, and whether it is stuffing rather than sentences.
 
     Suspicious is a block that compresses far better than prose of its length and language, that repeats one word again and again within a sentence,
@@ -73,11 +39,11 @@ def stuffed(text: str) -> tuple[int, bool]:
     keyword = top >= 3 and top >= KEYWORD * max(1, stops)
     few_marks = stops == 0 or len(words) > FEW_MARKS * stops
     size = len(text.encode())
-    redundant = len(words) >= 8 and compression(text) < REDUNDANT * expected(size, lang)
+    redundant = len(words) >= 8 and compression(text) < REDUNDANT * expected(size, lang, fits)
     return len(words), (few_marks and (redundant or keyword or function < FUNCTION)) or (keyword and function < 0.5)
 
 
-def is_spam(page: Page, marginals: list[float]) -> bool:
+def is_spam(page: Page, marginals: list[float], fits: dict[str, tuple[float, float]] | None = None) -> bool:
     """Whether the greater part of the page's own content is stuffing; headings don't count.
 
     Own are the blocks that the page model takes for main content. Where it leaves (almost) none, long unlinked blocks that
@@ -91,7 +57,7 @@ def is_spam(page: Page, marginals: list[float]) -> bool:
         n = page.nodes[i]
         if re.fullmatch(r"h[1-6]", n.tag) or n.text == page.title:
             continue
-        words, stuffing = stuffed(n.text)
+        words, stuffing = stuffed(n.text, fits)
         total += words
         bad += words * stuffing
     return bad >= LEAST_WORDS and 2 * bad > total
