@@ -74,6 +74,19 @@ def test_empty_and_common_terms(spark):
     assert got["own1", "d1"] > 5 and got["common", "d1"] < 0.7 and exp(-got["common", "d1"]) <= 1
 
 
+def test_records_may_span_batches(spark):
+    rng = np.random.default_rng(8)
+    rows = [("body", f"t{i}", f"d{int(rng.integers(6))}", int(rng.integers(1, 5)), 0.5, 1, "s") for i in range(30) for _ in range(4)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {(r.term, r.doc_id): r.score for r in enrichment(df).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = {(r.term, r.doc_id): r.score for r in enrichment(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and len(want) > 60
+
+
 def test_words_of_the_last_version(spark):
     docs = spark.createDataFrame([(1, 1, "a", {"t": 1}), (2, 2, "a", {"t": 4, "s": 2}), (3, 1, "b", None), (4, 1, None, {"t": 1}), (5, 1, "c", {})], "seq bigint, w int, doc_id string, words map<string,bigint>").selectExpr("*", "timestamp_seconds(w) AS written_at")
     assert sorted((r.term, r.doc_id, r.occ, r.tf) for r in words_entries(docs).collect()) == [("s", "a", 2, 0.5), ("t", "a", 4, 1.0)]

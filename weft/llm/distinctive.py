@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import lgamma
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 _SMALL = np.array([lgamma(i + 1.0) for i in range(64)])
 
@@ -59,8 +59,50 @@ def log_pmf_at(i: np.ndarray, n: np.ndarray, K: np.ndarray, N: np.ndarray) -> np
     return choose(K, i) + choose(N - K, n - i) - choose(N, n)
 
 
-def _log_p(k: pd.Series, n: pd.Series, K: pd.Series, N: pd.Series) -> pd.Series:
-    return pd.Series(log_upper_tail(k.to_numpy(), n.to_numpy(), K.to_numpy(), N.to_numpy()))
+SCORED = "field string, term string, doc_id binary, tf float, occ bigint, df bigint, log_p double, score double"
+
+
+def _score_rows(df: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+    """Scores whole records, which begin at ``starts``."""
+    occ = df["occ"].to_numpy("float64")
+    sizes = np.diff([*starts, len(df)])
+    record = np.repeat(np.arange(len(starts)), sizes)
+    log_p = log_upper_tail(occ, np.add.reduceat(occ, starts)[record], df["_of_term"].to_numpy("float64"), df["_of_all"].to_numpy("float64"))
+    order = np.lexsort((log_p, record))
+    rank = np.arange(len(df)) - starts[record] + 1
+    q = log_p[order] + np.log(sizes[record]) - np.log(rank)
+    for a, n in zip(starts.tolist(), sizes.tolist()):
+        q[a : a + n] = np.minimum.accumulate(q[a : a + n][::-1])[::-1]
+    score = np.empty(len(df))
+    score[order] = np.maximum(-q, 0.0) + 0.0
+    return df[["field", "term", "doc_id", "tf", "occ", "df"]].assign(log_p=log_p, score=score)
+
+
+def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of one record follow each other; a record that goes on into the next batch waits for it."""
+    waiting: list[pd.DataFrame] = []
+    last = None
+    for b in batches:
+        if not len(b):
+            continue
+        f, d = b["field"].to_numpy(), b["doc_id"].to_numpy()
+        new = np.ones(len(b), bool)
+        new[1:] = (f[1:] != f[:-1]) | (d[1:] != d[:-1])
+        new[0] = last != (f[0], d[0])
+        starts = np.flatnonzero(new)
+        last = (f[-1], d[-1])
+        if not len(starts):
+            waiting.append(b)
+            continue
+        cut = int(starts[-1])
+        whole = pd.concat([*waiting, b.iloc[:cut]], ignore_index=True) if waiting else b.iloc[:cut]
+        if len(whole):
+            shift = sum(map(len, waiting))
+            yield _score_rows(whole, np.array([*([0] if waiting else []), *(starts[:-1] + shift)], "int64"))
+        waiting = [b.iloc[cut:]]
+    if waiting:
+        whole = pd.concat(waiting, ignore_index=True)
+        yield _score_rows(whole, np.zeros(1, "int64"))
 
 
 def packed_id(doc_id: Column) -> Column:
@@ -85,7 +127,7 @@ def enrichment(entries: DataFrame) -> DataFrame:
     ones that with the greatest occ, then tf). Rows with null field, term or doc_id are left out; null or negative occ counts as 0
     and scores 0. Equal p-values get equal scores. An empty table gives no rows.
     """
-    key, log_p = ["field", "term", "doc_id"], F.pandas_udf(_log_p, "double")
+    key = ["field", "term", "doc_id"]
     rows = entries.where("field is not null and term is not null and doc_id is not null").withColumn("doc_id", packed_id(F.col("doc_id")))
     # One aggregate that both uses below need whole: so they share its shuffle.
     base = rows.groupBy(*key).agg(F.max(F.struct(F.coalesce(F.greatest("occ", F.lit(0)), F.lit(0)).cast("bigint").alias("occ"), "tf")).alias("x")).select(*key, "x.occ", "x.tf")
@@ -93,13 +135,9 @@ def enrichment(entries: DataFrame) -> DataFrame:
     totals = per_term.groupBy("field").agg(F.sum("_of_term").alias("_of_all"))
     # The dictionary is small beside the postings; Spark broadcasts it only when its measured size allows.
     joined = base.join(per_term.join(totals, "field"), ["field", "term"])
-    record = Window.partitionBy("field", "doc_id")
-    scored = joined.withColumn("_of_record", F.sum("occ").over(record)).withColumn("log_p", log_p("occ", "_of_record", "_of_term", "_of_all"))
-    down = record.orderBy(F.desc("log_p"), "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    m = F.count(F.lit(1)).over(record)
-    rank = m - F.row_number().over(record.orderBy(F.desc("log_p"), "term")) + 1
-    scored = scored.withColumn("_q", F.col("log_p") + F.log(m.cast("double")) - F.log(rank.cast("double")))
-    return scored.withColumn("score", F.greatest(-F.min("_q").over(down), F.lit(0.0)) + F.lit(0.0)).select("field", "term", unpacked_id(F.col("doc_id")).alias("doc_id"), "tf", "occ", "df", "log_p", "score")
+    # Chance and adjustment both need the whole record: one shuffle brings it together, one pass of Arrow batches does both.
+    scored = joined.select(*key, "tf", "occ", "df", "_of_term", "_of_all").repartition("field", "doc_id").sortWithinPartitions("field", "doc_id").mapInPandas(_score, SCORED)
+    return scored.select("field", "term", unpacked_id(F.col("doc_id")).alias("doc_id"), "tf", "occ", "df", "log_p", "score")
 
 
 def postings_entries(postings: DataFrame) -> DataFrame:
