@@ -77,6 +77,31 @@ def test_reordered_passages_are_covered(spark):
     assert got[1].run_words == 13 and got[2].coverage < 0.6 and got[2].tiles == 1
 
 
+def test_shuffled_short_pieces_are_covered(spark):
+    """No piece of the item has 12 words; wherever the pieces stand, all of them are tiles."""
+    rng = random.Random(5)
+    pieces = [[f"{w}{k}x{i}" for i in range(rng.randrange(5, 9))] for k, w in enumerate(["first", "second", "third", "fourth", "fifth"])]
+    item, short = " ".join(w for p in pieces for w in p), "a brief but telling question of nine words only"
+    docs = [(n, "z" * n + " " + " y ".join(" ".join(p) for p in (pieces[3], pieces[0], pieces[4], pieces[2], pieces[1])) + " q " + short) for n in range(30)]
+    d, i = frames(spark, docs, [(7, item), (8, short)])
+    got = {(r.doc_id, r.item_id): (r.run_words, r.tiles, r.coverage) for r in leaked_items(d, i).collect()}
+    assert got == {(n, k): x for n in range(30) for k, x in ((7, (max(map(len, pieces)), 5, 1.0)), (8, (9, 1, 1.0)))}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab", max_size=25), max_size=4), st.lists(st.text("ab ", max_size=25), max_size=4), st.integers(2, 5))
+def test_all_maximal_matches_are_found(docs, texts, least):
+    items = leakage.Items(list(enumerate(texts)), 12, least)
+    w, a, n = items.matches(leakage.codes_of("\x00" + "".join(t + "\x00" for t in docs)))
+    begins = [1 + sum(len(t) + 1 for t in docs[:k]) for k in range(len(docs))]
+    want = set()
+    for begin, doc in zip(begins, docs, strict=True):
+        for k, own in ((k, letters(texts[item])) for k, item in enumerate(items.ids)):
+            seeds = [(x, y) for x in range(len(doc) - least + 1) for y in range(len(own) - least + 1) if doc[x : x + least] == own[y : y + least]]
+            want |= {(begin + x, int(items.begins[k]) + y, m) for x, y, m in maximal_matches(doc, own, seeds, least)}
+    assert {m for m in zip(w.tolist(), a.tolist(), n.tolist(), strict=True) if m[2] >= least} == want
+
+
 def test_empty(spark):
     d, i = frames(spark, [(1, "x")], [(1, "y")])
     assert leaked_items(d.limit(0), i).count() == 0 and leaked_items(d, i.limit(0)).count() == 0

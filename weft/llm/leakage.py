@@ -37,48 +37,101 @@ def letters(text: str | None) -> str:
 
 
 class Items:
-    """A block of items prepared for matching: letters, word ends, and seed tables by length class."""
+    """A block of items prepared for matching: their letters in one line, word ends, and tables of grams.
 
-    def __init__(self, rows: list[tuple[int, str]], words: int):
-        self.words = words
-        self.ids, self.text, self.starts, self.ends = [], [], [], []
-        classes: dict[int, list[tuple[int, int, int]]] = {}
+    The first table holds every gram of ``least`` letters, so it finds every match that can be a tile, and with it every window of ``words`` words that is
+    as long. Shorter windows get tables of their own, by length class. Items that can have neither tile nor window are left out."""
+
+    def __init__(self, rows: list[tuple[int, str]], words: int, least: int):
+        self.ids, self.sizes, texts, starts, ends = [], [], [], [], []
+        classes: dict[int, dict[int, int]] = {}
+        at = 1
         for item, raw in rows:
             parts = [letters(w) for w in (raw or "").split()]
-            if len(parts) < words:
+            end = np.cumsum([len(p) for p in parts], dtype="int64")
+            start = end - np.array([len(p) for p in parts], "int64")
+            windows = end[words - 1 :] - start[: len(parts) - words + 1] if len(parts) >= words else end[:0]
+            windows = windows[windows > 0]
+            size = int(end[-1]) if parts else 0
+            if size < least and not len(windows):
                 continue
-            end = np.cumsum([len(p) for p in parts])
-            start = end - [len(p) for p in parts]
             k = len(self.ids)
+            for n in windows[windows < least].tolist():
+                # Windows of like length share a table: classes by doubling.
+                own = classes.setdefault(n.bit_length(), {})
+                own[k] = min(own.get(k, n), n)
             self.ids.append(item)
-            self.text.append("".join(parts))
-            self.starts.append(start)
-            self.ends.append(end)
-            for i in range(len(parts) - words + 1):
-                size = int(end[i + words - 1] - start[i])
-                if size:
-                    # Windows of like length share seeds: classes by doubling.
-                    classes.setdefault(size.bit_length(), []).append((k, int(start[i]), size))
-        self.tables = []
-        for windows in classes.values():
-            least = min(w[2] for w in windows)
-            q = max(1, (2 * least + 2) // 3)
-            stride = least - q + 1
-            # Every match as long as a window holds a gram at a multiple of stride in the document; so all grams of the window are seeds.
-            own: dict[int, set[int]] = {}
-            for k, a, size in windows:
-                own.setdefault(k, set()).update(range(a, a + size - q + 1))
-            item = np.concatenate([np.full(len(v), k) for k, v in own.items()])
-            at = np.concatenate([np.fromiter(sorted(v), "int64") for v in own.values()])
-            hashes = np.concatenate([gram_hashes(codes_of(self.text[k]), q)[sorted(v)] for k, v in own.items()])
-            order = np.argsort(hashes, kind="stable")
-            bits = np.zeros(1 << 22, bool)
-            bits[hashes >> np.uint64(42)] = True
-            self.tables.append((q, stride, hashes[order], item[order], at[order], bits))
-
-    def run_words(self, k: int, a: int, e: int) -> int:
-        """Whole successive words of item k within its letters a to e."""
-        return int(np.searchsorted(self.ends[k], e, "right") - np.searchsorted(self.starts[k], a, "left"))
+            self.sizes.append(size)
+            texts.append("".join(parts))
+            starts.append(start + at)
+            ends.append(end + at)
+            at += size + 1
+        # A sign that no letters hold stands before, between and after the items, so that no match goes on beyond one.
+        self.codes = codes_of("\x01" + "".join(t + "\x01" for t in texts))
+        self.sizes = np.array(self.sizes, "int64")
+        self.begins = 1 + np.cumsum(self.sizes + 1) - self.sizes - 1
+        self.starts, self.ends = (np.concatenate([np.zeros(0, "int64"), *x]) for x in (starts, ends))
+        self.tables = [self._table(least, range(len(self.ids))), *(self._table(min(own.values()), sorted(own)) for own in classes.values())]
+
+    def _table(self, q: int, of) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """All grams of ``q`` letters of some items: q, hashes in order, their places, and a sieve."""
+        at = np.concatenate([np.zeros(0, "int64"), *(np.arange(self.begins[k], self.begins[k] + self.sizes[k] - q + 1) for k in of)])
+        hashes = gram_hashes(self.codes, q)[at]
+        order = np.argsort(hashes, kind="stable")
+        bits = np.zeros(1 << 22, bool)
+        bits[hashes >> np.uint64(42)] = True
+        return q, hashes[order], at[order], bits
+
+    def run_words(self, a: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Whole successive words within the letters a to e, places in the line."""
+        return np.searchsorted(self.ends, e, "right") - np.searchsorted(self.starts, a, "left")
+
+    def matches(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places in codes, places in the line, lengths) of all maximal equal runs of a table's gram length or more.
+
+        ``codes`` begins and ends with a sign that no item holds. A pair of equal grams begins a run if the letters before differ and ends one if those behind
+        do; along a diagonal the n-th beginning belongs to the n-th end."""
+        found = [self._runs(codes, *table) for table in self.tables if len(codes) > table[0]]
+        return tuple(np.concatenate([np.zeros(0, "int64"), *x]) for x in zip(*found, strict=True)) if found else (np.zeros(0, "int64"),) * 3
+
+    def _runs(self, codes: np.ndarray, q: int, hashes: np.ndarray, at: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h = gram_hashes(codes, q)
+        where = np.flatnonzero(bits[h >> np.uint64(42)])
+        first = np.searchsorted(hashes, h[where], "left")
+        count = np.searchsorted(hashes, h[where], "right") - first
+        where, first, count = where[count > 0], first[count > 0], count[count > 0]
+        sides: tuple[list, list] = ([], [])
+        for lo, hi in _slices(count):
+            n = count[lo:hi]
+            w = np.repeat(where[lo:hi], n)
+            a = at[np.arange(len(w)) + np.repeat(first[lo:hi] - np.cumsum(n) + n, n)]
+            for side, step in zip(sides, (-1, q), strict=True):
+                edge = codes[w + step] != self.codes[a + step]
+                side.append(self._equal(codes, w[edge], a[edge], q))
+        (w, a), (v, b) = (self._ordered(side) for side in sides)
+        return w, a, v + q - w
+
+    def _equal(self, codes: np.ndarray, w: np.ndarray, a: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs whose grams are equal letter by letter, not by hash only."""
+        same = np.ones(len(w), bool)
+        for i in range(q):
+            same &= codes[w + i] == self.codes[a + i]
+        return w[same], a[same]
+
+    @staticmethod
+    def _ordered(side: list) -> tuple[np.ndarray, np.ndarray]:
+        w, a = (np.concatenate([np.zeros(0, "int64"), *x]) for x in (zip(*side, strict=True) if side else ((), ())))
+        order = np.lexsort((w, w - a))
+        return w[order], a[order]
+
+
+def _slices(count: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Index ranges whose counts add up to about ``most``, at least one index each."""
+    total, lo = np.cumsum(count), 0
+    while lo < len(count):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
 
 
 def maximal_matches(doc: str, item: str, seeds: list[tuple[int, int]], q: int) -> list[tuple[int, int, int]]:
@@ -106,7 +159,7 @@ def tile(matches: list[tuple[int, int, int]], least: int, size: int | None = Non
     tiles: list[tuple[int, int, int]] = []
     heap = [(-n, p, i) for p, i, n in set(matches)]
     heapify(heap)
-    free = size
+    free, shortest = size, min([least, *(m[2] for m in matches)])
     while heap:
         n, p, i = heappop(heap)
         n = -n
@@ -120,7 +173,7 @@ def tile(matches: list[tuple[int, int, int]], least: int, size: int | None = Non
             tiles.append((p, i, n))
             if free is not None:
                 free -= n
-                if free < least:
+                if free < shortest:
                     break
         else:
             for s, e in parts:
@@ -128,7 +181,7 @@ def tile(matches: list[tuple[int, int, int]], least: int, size: int | None = Non
     return tiles
 
 
-def _scan(shared, least_tile: int):
+def _scan(shared, words: int, least_tile: int, coverage: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items: Items = shared.value
         for b in batches:
@@ -136,28 +189,23 @@ def _scan(shared, least_tile: int):
             out = []
             for lo, hi in batches_by_chars(texts):
                 sizes = np.array([len(t) for t in texts[lo:hi]], "int64")
-                ends = np.cumsum(sizes)
-                codes = codes_of("".join(texts[lo:hi]))
-                found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-                for q, stride, hashes, item, at, bits in items.tables:
-                    if len(codes) < q:
-                        continue
-                    h = gram_hashes(codes, q)
-                    where = np.concatenate([np.arange(e - n, e - q + 1, stride) for e, n in zip(ends, sizes) if n >= q] or [np.zeros(0, "int64")]).astype("int64")
-                    where = where[bits[h[where] >> np.uint64(42)]]
-                    first, last = np.searchsorted(hashes, h[where], "left"), np.searchsorted(hashes, h[where], "right")
-                    doc = np.searchsorted(ends, where, "right")
-                    for w, d, x, y in zip(where.tolist(), doc.tolist(), first.tolist(), last.tolist()):
-                        for s in range(x, y):
-                            found.setdefault((d, int(item[s])), []).append((w - int(ends[d] - sizes[d]), int(at[s]), q))
-                for (d, k), seeds in found.items():
-                    text, own = texts[lo + d], items.text[k]
-                    matches = [m for q in {s[2] for s in seeds} for m in maximal_matches(text, own, [s[:2] for s in seeds if s[2] == q], q)]
-                    if not matches:
+                begins = 1 + np.cumsum(sizes + 1) - sizes - 1
+                p, i, n = items.matches(codes_of("\x00" + "".join(t + "\x00" for t in texts[lo:hi])))
+                runs = items.run_words(i, i + n)
+                own = (n >= least_tile) | (runs >= words)
+                p, i, n, runs = p[own], i[own], n[own], runs[own]
+                doc, item = np.searchsorted(begins, p, "right") - 1, np.searchsorted(items.begins, i, "right") - 1
+                order = np.lexsort((item, doc))
+                p, i, n, runs, doc, item = (x[order] for x in (p, i, n, runs, doc, item))
+                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])) if len(doc) else np.zeros(0, "int64")
+                for x, y in zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=False):
+                    d, k, most = int(doc[x]), int(item[x]), int(runs[x:y].max())
+                    size = int(items.sizes[k])
+                    # Tiles cover no more than all matches together.
+                    if most < words and n[x:y].sum() / size < coverage:
                         continue
-                    words = max(items.run_words(k, i, i + n) for _, i, n in matches)
-                    tiles = tile(matches, least_tile, len(own))
-                    out.append((ids[lo + d], items.ids[k], words, len(tiles), sum(t[2] for t in tiles) / len(own)))
+                    tiles = tile(list(zip((p[x:y] - begins[d]).tolist(), (i[x:y] - items.begins[k]).tolist(), n[x:y].tolist(), strict=True)), least_tile, size)
+                    out.append((ids[lo + d], items.ids[k], most, len(tiles), sum(t[2] for t in tiles) / size))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "run_words", "tiles", "coverage"])
 
     return run
@@ -167,12 +215,13 @@ def leaked_items(documents: DataFrame, items: DataFrame, words: int = 12, least_
     """Pairs of a document and an item of which passages occur in it.
 
     Columns: doc_id, item_id, run_words (most successive whole words of the item in one match), tiles (matches that do not
-    overlap, longest first), coverage (share of the item's letters under tiles). A pair is given if run_words is at least
-    ``words``, or if coverage is at least ``coverage``, which catches items whose passages stand in another order; for the
-    latter at least one seed of a ``words`` window must be found. Every document is matched whole; the items go to the
-    executors in blocks of at most BLOCK_ITEMS items and BLOCK_CHARS characters, one pass over the documents each.
+    overlap, longest first), coverage (share of the item's letters under tiles). Matches are all maximal equal runs of at least
+    ``least_tile`` letters or ``words`` whole words, wherever they stand. A pair is given if run_words is at least ``words``, or if
+    coverage is at least ``coverage``, which catches items whose passages stand in another order, however short the item.
+    Every document is matched whole; the items go to the executors in blocks of at most BLOCK_ITEMS items and BLOCK_CHARS
+    characters, one pass over the documents each.
 
-    Items with fewer than ``words`` words, or without letters, match nothing; null texts match nothing. Repeated rows count
+    Items with fewer than ``words`` words and fewer than ``least_tile`` letters, or without letters, match nothing; null texts match nothing. Repeated rows count
     once. Empty tables give no rows.
     """
     spark = documents.sparkSession
@@ -180,9 +229,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, words: int = 12, least_
     parts, block, chars = [], [], 0
 
     def flush() -> None:
-        prepared = spark.sparkContext.broadcast(Items(block, words))
+        prepared = spark.sparkContext.broadcast(Items(block, words, least_tile))
         if prepared.value.ids:
-            parts.append(documents.select("doc_id", "text").mapInPandas(_scan(prepared, least_tile), "doc_id bigint, item_id bigint, run_words int, tiles int, coverage double"))
+            parts.append(documents.select("doc_id", "text").mapInPandas(_scan(prepared, words, least_tile, coverage), "doc_id bigint, item_id bigint, run_words int, tiles int, coverage double"))
 
     for r in rows.toLocalIterator():
         if block and (len(block) >= BLOCK_ITEMS or chars + len(r["text"]) > BLOCK_CHARS):
