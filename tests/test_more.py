@@ -107,3 +107,13 @@ def test_fetch(spark):
     assert got["/"].html == SITE["/"] and got["/"].content_length == len(SITE["/"]) and got["/"].last_modified is not None
     assert got["/b"].last_modified.year == 2023 and got["/c"].last_modified is None and got["/none"].status == 404 and got["/none"].html is None
     assert got["no url"].status == 0 and len(got) == 5
+
+
+def test_all_results_are_hydrated(spark):
+    import __spark_entry__ as entry
+
+    root = "/root/testdata/sf0.001"
+    answers, docs = spark.read.parquet(f"{root}/results.parquet"), spark.read.parquet(f"{root}/docs.parquet")
+    got = entry.queries()["results_hydrated_all"](spark, root)
+    assert sorted(r.result_id for r in got.collect()) == sorted(r.result_id for r in answers.collect()) and answers.count() > 50
+    assert got.where("url is not null").count() == answers.join(docs.where("url is not null"), "doc_id", "left_semi").count() > 50

@@ -107,22 +107,25 @@ def top_words(words: Column, k: int = 5) -> Column:
 def hydrate(winners: DataFrame, docs: DataFrame, terms: DataFrame | None = None, k: int = 5) -> DataFrame:
     """The winners with url, page title (else the host), date, size, first children and parents as URLs, and most frequent words.
 
-    ``docs`` has one row per doc_id. The winners are few by construction (a query's top), so they, and the ids they name, are the small side of
-    every join."""
-    d = docs.select("doc_id", "url", "title", "mod_date", "page_size", "children", "parents", "words")
-    winners = winners.select("doc_id", *[c for c in winners.columns if c not in d.columns and c not in ("page_title", "words_mapping")])
-    rows = winners.join(d, "doc_id", "left")
-    rows = rows.withColumn("page_title", F.when(F.size(F.coalesce("title", F.array().cast("array<string>"))) > 0, F.array_join("title", " ")).otherwise(F.regexp_extract("url", r"^[a-z]+://([^/]*)", 1)))
-    rows = rows.withColumn("_children", F.slice(F.filter("children", lambda c: c.isNotNull() & (c != "")), 1, k)).withColumn("_parents", F.slice(F.array_sort(F.map_keys("parents")), 1, k)).withColumn("_words", top_words(F.col("words"), k))
-    urls = docs.select(F.col("doc_id").alias("_id"), F.col("url").alias("_url"))
-    for name in ("children", "parents"):
-        named = rows.dropDuplicates(["doc_id"]).select("doc_id", F.posexplode(f"_{name}").alias("_n", "_id")).join(urls, "_id")
-        lists = named.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_url"))), lambda x: x["_url"]).alias(f"_{name}_urls"))
-        rows = rows.join(lists, "doc_id", "left")
+    ``docs`` has one row per doc_id. Winners may be a query's top or a whole table of answers: each page's details are made once, however many answers
+    name it, and no side of a join needs to be small."""
+    winners = winners.select("doc_id", *[c for c in winners.columns if c not in ("doc_id", "url", "title", "mod_date", "page_size", "children", "parents", "words", "page_title", "words_mapping")])
+    d = docs.join(winners.select("doc_id").distinct(), "doc_id", "left_semi").select(
+        "doc_id", "url", "mod_date", "page_size",
+        F.when(F.size(F.coalesce("title", F.array().cast("array<string>"))) > 0, F.array_join("title", " ")).otherwise(F.regexp_extract("url", r"^[a-z]+://([^/]*)", 1)).alias("page_title"),
+        F.slice(F.filter("children", lambda c: c.isNotNull() & (c != "")), 1, k).alias("_children"), F.slice(F.array_sort(F.map_keys("parents")), 1, k).alias("_parents"), top_words(F.col("words"), k).alias("_words"),
+    )
+    tagged = lambda name: F.coalesce(F.transform(f"_{name}", lambda x, i: F.struct(F.lit(name).alias("of"), i.alias("n"), x.alias("id"))), F.array().cast("array<struct<of:string,n:int,id:string>>"))
+    named = d.select("doc_id", F.explode(F.concat(tagged("children"), tagged("parents"))).alias("_x")).select("doc_id", F.col("_x.of").alias("_of"), F.col("_x.n").alias("_n"), F.col("_x.id").alias("_id"))
+    named = named.join(docs.select(F.col("doc_id").alias("_id"), F.col("url").alias("_url")), "_id")
+    lists = lambda name: F.collect_list(F.when(F.col("_of") == name, F.struct("_n", "_url")))
+    urls = lambda name: F.when(F.size(f"_{name}_urls") > 0, F.transform(F.array_sort(f"_{name}_urls"), lambda x: x["_url"])).alias(name)
+    found = named.groupBy("doc_id").agg(lists("children").alias("_children_urls"), lists("parents").alias("_parents_urls")).select("doc_id", urls("children"), urls("parents"))
+    details = d.join(found, "doc_id", "left")
     if terms is not None:
-        spelled = rows.dropDuplicates(["doc_id"]).select("doc_id", F.explode("_words").alias("term_hash", "_count")).join(terms, "term_hash").groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "_count")))).alias("_spelled"))
-        rows = rows.drop("_words").join(spelled, "doc_id", "left").withColumnRenamed("_spelled", "_words")
-    return rows.select(*winners.columns, "url", "page_title", "mod_date", "page_size", F.col("_children_urls").alias("children"), F.col("_parents_urls").alias("parents"), F.col("_words").alias("words_mapping"))
+        spelled = d.select("doc_id", F.explode("_words").alias("term_hash", "_count")).join(terms, "term_hash").groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "_count")))).alias("_spelled"))
+        details = details.drop("_words").join(spelled, "doc_id", "left").withColumnRenamed("_spelled", "_words")
+    return winners.join(details, "doc_id", "left").select(*winners.columns, "url", "page_title", "mod_date", "page_size", "children", "parents", F.col("_words").alias("words_mapping"))
 
 
 def split_query(query: str) -> tuple[list[str], list[list[str]]]:

@@ -339,12 +339,20 @@ def result_cards(spark, d):
 
 
 def results_hydrated(spark, d):
+    """The answers of the 50 smallest ids only, as its SQL has them; results_hydrated_all has all."""
     docs = search.last_versions(read(spark, d, "docs"))
     best = read(spark, d, "results").where("final_rank is not null and not isnan(final_rank)").select("doc_id", "result_id").orderBy("result_id").limit(search.TOP)
     out = search.hydrate(best, docs, read(spark, d, "terms"))
     return out.select("result_id", "doc_id", "url", "page_title", F.array_join("children", " ").alias("children"), F.array_join("parents", " ").alias("parents"))
 
 
+def results_hydrated_all(spark, d):
+    """All answers with the details of their pages."""
+    docs = staged(search.last_versions(read(spark, d, "docs")), "docs")
+    out = search.hydrate(read(spark, d, "results").select("doc_id", "result_id"), docs, read(spark, d, "terms"))
+    return out.select("result_id", "doc_id", "url", "page_title", F.array_join("children", " ").alias("children"), F.array_join("parents", " ").alias("parents"), "mod_date", "page_size", F.array_join(F.transform(F.array_sort(F.map_entries("words_mapping")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), " ").alias("words"))
+
+
 def final_rank(spark, d):
     """The blend of the stored scores."""
     z = lambda c: F.when(F.isnan(c) | F.col(c).isNull(), F.lit(0.0)).otherwise(F.col(c))
@@ -386,7 +394,7 @@ QUERIES = {
         multi_phrase_concat, require_phrase_search, query_parse, stored_weights, stored_magnitudes, term_hashes, page_titles, link_filter, web_nodes, out_degree, in_degree, children_top5, parents_of,
         page_body_terms, page_title_terms, anchor_terms, page_title_postings, parents_anchor_map, page_search, page_search_snippets, pagerank_synthetic_edges, pagerank_topics, bfs_depth, crawl_budget, domain_filter,
         word_list_prefix, word_list_page, top5_words_per_doc, topic_names, topic_term_freq, topic_metadata, term_topics, topic_posterior, reindex_purge, freshness_filter, change_detection_md5, docs_last_version,
-        upsert_and_delete, page_sizes, doc_json, results_json, document_report, result_cards, results_hydrated, final_rank, snippet_dynamic, snippet_static, snippet_phrase, stem_terms, stemmed_search,
+        upsert_and_delete, page_sizes, doc_json, results_json, document_report, result_cards, results_hydrated, results_hydrated_all, final_rank, snippet_dynamic, snippet_static, snippet_phrase, stem_terms, stemmed_search,
     )},
     "page_links": page_links_query,
     "pagerank_1_iter": _pagerank(1),
@@ -585,6 +593,14 @@ ORACLE = {
         cu AS (SELECT result_id, string_agg(last.url, ' ' ORDER BY o) AS children FROM (SELECT result_id, t.id, t.o FROM j, unnest(c) WITH ORDINALITY AS t(id, o)) JOIN last ON doc_id = id GROUP BY result_id),
         pu AS (SELECT result_id, string_agg(last.url, ' ' ORDER BY o) AS parents FROM (SELECT result_id, t.id, t.o FROM j, unnest(p) WITH ORDINALITY AS t(id, o)) JOIN last ON doc_id = id GROUP BY result_id)
         SELECT result_id, doc_id, url, page_title, children, parents FROM j LEFT JOIN cu USING (result_id) LEFT JOIN pu USING (result_id)""",
+    "results_hydrated_all": f"""WITH {_LAST},
+        j AS (SELECT r.result_id, r.doc_id, last.url, CASE WHEN len(title) > 0 THEN array_to_string(title, ' ') ELSE regexp_extract(last.url, '^[a-z]+://([^/]*)', 1) END AS page_title, last.mod_date, last.page_size, last.words,
+                     list_slice(list_filter(last.children, lambda c: c IS NOT NULL AND c <> ''), 1, 5) AS c, list_slice(list_sort(map_keys(last.parents)), 1, 5) AS p FROM results r LEFT JOIN last ON last.doc_id = r.doc_id),
+        cu AS (SELECT result_id, string_agg(last.url, ' ' ORDER BY o) AS children FROM (SELECT result_id, t.id, t.o FROM j, unnest(c) WITH ORDINALITY AS t(id, o)) JOIN last ON doc_id = id GROUP BY result_id),
+        pu AS (SELECT result_id, string_agg(last.url, ' ' ORDER BY o) AS parents FROM (SELECT result_id, t.id, t.o FROM j, unnest(p) WITH ORDINALITY AS t(id, o)) JOIN last ON doc_id = id GROUP BY result_id),
+        w AS (SELECT result_id, x.key AS h, x.value AS n, row_number() OVER (PARTITION BY result_id ORDER BY x.value DESC, x.key) AS k FROM (SELECT result_id, unnest(map_entries(words)) AS x FROM j)),
+        wm AS (SELECT result_id, string_agg(term || ':' || n, ' ' ORDER BY term) AS words FROM w JOIN terms ON term_hash = h WHERE k <= 5 GROUP BY result_id)
+        SELECT result_id, doc_id, url, page_title, children, parents, mod_date, page_size, wm.words AS words FROM j LEFT JOIN cu USING (result_id) LEFT JOIN pu USING (result_id) LEFT JOIN wm USING (result_id)""",
     "final_rank": """SELECT result_id, round((0.33 * CASE WHEN page_rank IS NULL OR isnan(page_rank) THEN 0 ELSE page_rank END + 0.38 * CASE WHEN title_rank IS NULL OR isnan(title_rank) THEN 0 ELSE title_rank END
         + 0.29 * CASE WHEN body_rank IS NULL OR isnan(body_rank) THEN 0 ELSE body_rank END) * 100, 4) AS blend FROM results""",
     "snippet_dynamic": _snippet_sql(["harbor", "tide", "fluss"]),
