@@ -162,3 +162,11 @@ def test_levels_stay_in_budget_and_domain(spark):
     assert sorted(map(tuple, graph.levels(links, seeds, budget=2).collect())) == [("a", 0), ("b", 1)]
     hosts = spark.createDataFrame([("b", "evilx.org"), ("c", "y.net"), ("d", "x.org")], "doc_id string, host string")
     assert sorted(map(tuple, graph.levels(links, seeds, domain="x.org", urls=hosts).collect())) == [("a", 0), ("b", 1), ("d", 2)]
+
+
+def test_levels_go_on_until_one_is_empty(spark):
+    """A chain longer than any bound that there was, with a way back; ``max_depth`` still cuts it where it is asked for."""
+    links = spark.createDataFrame([(f"{n:02}", f"{n + 1:02}") for n in range(34)] + [("34", "00")], "src string, dst string")
+    seeds = spark.createDataFrame([("00",)], "doc_id string")
+    assert sorted(map(tuple, graph.levels(links, seeds).collect())) == [(f"{n:02}", n) for n in range(35)]
+    assert graph.levels(links, seeds, max_depth=3).count() == 4

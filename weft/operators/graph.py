@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -100,8 +101,8 @@ def pagerank(node_ids: DataFrame, links: DataFrame, n: float | None = None, d: f
     return rank
 
 
-def levels(links: DataFrame, seeds: DataFrame, max_depth: int = 20, budget: int | None = None, domain: str | None = None, urls: DataFrame | None = None) -> DataFrame:
-    """(doc_id, depth): pages reached from ``seeds`` (doc_id), level by level, none twice.
+def levels(links: DataFrame, seeds: DataFrame, max_depth: int | None = None, budget: int | None = None, domain: str | None = None, urls: DataFrame | None = None) -> DataFrame:
+    """(doc_id, depth): pages reached from ``seeds`` (doc_id), level by level, none twice, until a level is empty or ``max_depth`` is reached.
 
     With ``budget`` the crawl stops at that many pages, nearest first, then by id. With ``domain`` and ``urls`` (doc_id, host) only
     hosts that end in it are entered. Each level is written once; only counts reach the driver.
@@ -111,8 +112,8 @@ def levels(links: DataFrame, seeds: DataFrame, max_depth: int = 20, budget: int
     front, total = seen, seen.count()
     allowed = None if domain is None or urls is None else urls.where(F.col("host").endswith(domain)).select("doc_id").distinct()
     try:
-        for depth in range(1, max_depth + 1):
-            if budget is not None and total >= budget:
+        for depth in itertools.count(1):
+            if (budget is not None and total >= budget) or (max_depth is not None and depth > max_depth):
                 break
             found = edges.join(front.select(F.col("doc_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("doc_id")).distinct()
             found = found.join(seen, "doc_id", "left_anti")
@@ -124,7 +125,8 @@ def levels(links: DataFrame, seeds: DataFrame, max_depth: int = 20, budget: int
             if not n:
                 break
             total += n
-            seen = seen.unionByName(front)
+            # Now and then the levels become one table again, or a deep graph's plan would grow with its depth.
+            seen = seen.unionByName(front) if depth % 16 else staged(seen.unionByName(front), "seen")
     finally:
         edges.unpersist()
     return seen

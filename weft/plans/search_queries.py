@@ -226,9 +226,15 @@ def _seed(spark, d):
 
 
 def bfs_depth(spark, d):
+    """The first four levels only, as its SQL has them; bfs_depth_all has all."""
     return graph.levels(read(spark, d, "links"), _seed(spark, d), max_depth=4)
 
 
+def bfs_depth_all(spark, d):
+    """All pages that can be reached, until a level is empty."""
+    return graph.levels(read(spark, d, "links"), _seed(spark, d))
+
+
 def crawl_budget(spark, d):
     return graph.levels(read(spark, d, "links"), _seed(spark, d), budget=100)
 
@@ -392,7 +398,7 @@ QUERIES = {
     **{f.__name__: f for f in (
         tokenize_documents, stopword_filter, term_freq_documents, term_positions, doc_max_freq, doc_freq, idf, tfidf_weights, doc_magnitude, keyword_search_top50, phrase_match, phrase_and_keyword_search,
         multi_phrase_concat, require_phrase_search, query_parse, stored_weights, stored_magnitudes, term_hashes, page_titles, link_filter, web_nodes, out_degree, in_degree, children_top5, parents_of,
-        page_body_terms, page_title_terms, anchor_terms, page_title_postings, parents_anchor_map, page_search, page_search_snippets, pagerank_synthetic_edges, pagerank_topics, bfs_depth, crawl_budget, domain_filter,
+        page_body_terms, page_title_terms, anchor_terms, page_title_postings, parents_anchor_map, page_search, page_search_snippets, pagerank_synthetic_edges, pagerank_topics, bfs_depth, bfs_depth_all, crawl_budget, domain_filter,
         word_list_prefix, word_list_page, top5_words_per_doc, topic_names, topic_term_freq, topic_metadata, term_topics, topic_posterior, reindex_purge, freshness_filter, change_detection_md5, docs_last_version,
         upsert_and_delete, page_sizes, doc_json, results_json, document_report, result_cards, results_hydrated, results_hydrated_all, final_rank, snippet_dynamic, snippet_static, snippet_phrase, stem_terms, stemmed_search,
     )},
@@ -564,6 +570,8 @@ ORACLE = {
     ),
     "bfs_depth": """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM links), b(doc_id, depth) AS (
         (SELECT src, 0 FROM e GROUP BY src ORDER BY count(*) DESC, src LIMIT 1) UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.doc_id WHERE b.depth < 4) SELECT doc_id, min(depth) AS depth FROM b GROUP BY doc_id""",
+    "bfs_depth_all": """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM links WHERE src IS NOT NULL AND dst IS NOT NULL), b(doc_id, depth) USING KEY (doc_id) AS (
+        (SELECT src, 0 FROM e GROUP BY src ORDER BY count(*) DESC, src LIMIT 1) UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.doc_id WHERE e.dst NOT IN (SELECT doc_id FROM recurring.b)) SELECT doc_id, depth FROM b""",
     "crawl_budget": """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM links), b(doc_id, depth) AS (
         (SELECT src, 0 FROM e GROUP BY src ORDER BY count(*) DESC, src LIMIT 1) UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.doc_id WHERE b.depth < 6) SELECT doc_id, min(depth) AS depth FROM b GROUP BY doc_id ORDER BY depth, doc_id LIMIT 100""",
     "domain_filter": f"WITH {_PAGES} SELECT doc_id, regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) AS host FROM pg WHERE host LIKE '%.example'",
