@@ -117,3 +117,17 @@ def test_all_results_are_hydrated(spark):
     got = entry.queries()["results_hydrated_all"](spark, root)
     assert sorted(r.result_id for r in got.collect()) == sorted(r.result_id for r in answers.collect()) and answers.count() > 50
     assert got.where("url is not null").count() == answers.join(docs.where("url is not null"), "doc_id", "left_semi").count() > 50
+
+
+def test_every_topic_is_ranked_to_convergence(spark):
+    import __spark_entry__ as entry
+    from weft.operators import graph
+
+    root = "/root/testdata/sf0.001"
+    links = spark.read.parquet(f"{root}/links.parquet")
+    want = {r.doc_id: r["rank"] for r in graph.pagerank(graph.nodes(links), links, max_iter=1000, tol=1e-15).collect()}
+    got = entry.queries()["pagerank_topics_all"](spark, root).collect()
+    names = {r.topic for r in spark.read.parquet(f"{root}/page_rank.parquet").where("topic is not null").collect()}
+    # Converged, the ranks no longer depend on where a topic began.
+    assert {(r.doc_id, r.topic) for r in got} == {(i, t) for i in want for t in names} and len(got) == len(want) * len(names) and len(names) == 8
+    assert all(abs(r["rank"] - want[r.doc_id]) < 1e-9 for r in got)

@@ -25,11 +25,15 @@ def directory_hits(fields: DataFrame, topics: DataFrame, stops: Sequence[str] |
     return title_hits(fields, stops, stemming).select("doc_id", "term").join(topics.where("topic is not null").select("doc_id", "topic").distinct(), "doc_id")
 
 
+def topic_pages(pages: DataFrame) -> DataFrame:
+    """(topic, num_pages): the different pages (topic, doc_id) of each topic."""
+    return pages.where("topic is not null").groupBy("topic").agg(F.countDistinct("doc_id").alias("num_pages"))
+
+
 def topic_metadata(freqs: DataFrame, pages: DataFrame) -> DataFrame:
     """(topic, num_pages, word_count): pages (topic, doc_id) and different words of each topic."""
     words = freqs.groupBy("topic").agg(F.count(F.lit(1)).alias("word_count"))
-    count = pages.where("topic is not null").groupBy("topic").agg(F.countDistinct("doc_id").alias("num_pages"))
-    return count.join(words, "topic", "full_outer").na.fill(0, ["num_pages", "word_count"])
+    return topic_pages(pages).join(words, "topic", "full_outer").na.fill(0, ["num_pages", "word_count"])
 
 
 def term_topics(freqs: DataFrame) -> DataFrame:

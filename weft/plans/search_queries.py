@@ -216,10 +216,18 @@ def pagerank_synthetic_edges(spark, d):
 
 
 def pagerank_topics(spark, d):
+    """Two rounds of two topics only, as its SQL has them; pagerank_topics_all has all topics, to convergence."""
     links = read(spark, d, "links")
     return graph.pagerank(graph.nodes(links), links, max_iter=2, tol=0.0, topic_sizes={"science": 100.0, "arts": 250.0}).select("doc_id", "topic", F.round("rank", 9).alias("rank"))
 
 
+def pagerank_topics_all(spark, d):
+    """Every topic of page_rank, with its number of pages, until the ranks don't change any more."""
+    links = read(spark, d, "links")
+    sizes = {r["topic"]: float(r["num_pages"]) for r in topics.topic_pages(read(spark, d, "page_rank")).where("num_pages > 0").collect()}
+    return graph.pagerank(graph.nodes(links), links, max_iter=1000, topic_sizes=sizes).select("doc_id", "topic", F.round("rank", 9).alias("rank"))
+
+
 def _seed(spark, d):
     """The page with the most different links, of equals the smallest id."""
     return graph.out_degrees(read(spark, d, "links")).agg(F.min_by("doc_id", F.struct(-F.col("out_degree"), "doc_id")).alias("doc_id"))
@@ -398,7 +406,7 @@ QUERIES = {
     **{f.__name__: f for f in (
         tokenize_documents, stopword_filter, term_freq_documents, term_positions, doc_max_freq, doc_freq, idf, tfidf_weights, doc_magnitude, keyword_search_top50, phrase_match, phrase_and_keyword_search,
         multi_phrase_concat, require_phrase_search, query_parse, stored_weights, stored_magnitudes, term_hashes, page_titles, link_filter, web_nodes, out_degree, in_degree, children_top5, parents_of,
-        page_body_terms, page_title_terms, anchor_terms, page_title_postings, parents_anchor_map, page_search, page_search_snippets, pagerank_synthetic_edges, pagerank_topics, bfs_depth, bfs_depth_all, crawl_budget, domain_filter,
+        page_body_terms, page_title_terms, anchor_terms, page_title_postings, parents_anchor_map, page_search, page_search_snippets, pagerank_synthetic_edges, pagerank_topics, pagerank_topics_all, bfs_depth, bfs_depth_all, crawl_budget, domain_filter,
         word_list_prefix, word_list_page, top5_words_per_doc, topic_names, topic_term_freq, topic_metadata, term_topics, topic_posterior, reindex_purge, freshness_filter, change_detection_md5, docs_last_version,
         upsert_and_delete, page_sizes, doc_json, results_json, document_report, result_cards, results_hydrated, results_hydrated_all, final_rank, snippet_dynamic, snippet_static, snippet_phrase, stem_terms, stemmed_search,
     )},
@@ -493,6 +501,18 @@ def _pagerank_sql(k: int, nodes: str, edges: str, n: str = "(SELECT count(*) FRO
     return "WITH " + ", ".join(parts) + f" SELECT doc_id, round(rank, 9) AS rank FROM r{k}"
 
 
+def _pagerank_topics_sql(k: int) -> str:
+    """All topics of page_rank by ``k`` rounds, so many that they don't change any more."""
+    parts = ["nd AS (SELECT src AS doc_id FROM links WHERE src IS NOT NULL UNION SELECT dst FROM links WHERE dst IS NOT NULL)", _EDGES, "sz AS (SELECT topic, count(DISTINCT doc_id)::DOUBLE AS n FROM page_rank WHERE topic IS NOT NULL GROUP BY topic HAVING count(DISTINCT doc_id) > 0)"]
+    parts.append("r0 AS MATERIALIZED (SELECT doc_id, topic, 1.0::DOUBLE / n AS rank FROM nd, sz)")
+    for i in range(1, k + 1):
+        p = f"r{i - 1}"
+        parts.append(f"t{i} AS (SELECT topic, coalesce(sum(0.75::DOUBLE * rank / deg), 0) + 0.25 * (SELECT count(*) FROM nd) AS total FROM {p} LEFT JOIN deg ON doc_id = src GROUP BY topic)")
+        parts.append(f"i{i} AS (SELECT dst, topic, sum(0.75::DOUBLE * rank / deg) AS s FROM e JOIN deg USING (src) JOIN {p} ON doc_id = src GROUP BY ALL)")
+        parts.append(f"r{i} AS MATERIALIZED (SELECT doc_id, {p}.topic, ({'rank' if i == 1 else '0'} + coalesce(s, 0) + 0.25::DOUBLE) / total AS rank FROM {p} LEFT JOIN i{i} ON dst = doc_id AND i{i}.topic = {p}.topic JOIN t{i} ON t{i}.topic = {p}.topic)")
+    return "WITH " + ", ".join(parts) + f" SELECT doc_id, topic, round(rank, 9) AS rank FROM r{k}"
+
+
 def _snippet_sql(words: list[str]) -> str:
     listed = "[" + ", ".join(f"'{w}'" for w in words) + "]"
     return f"""WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents),
@@ -568,6 +588,7 @@ ORACLE = {
     "pagerank_topics": " UNION ALL ".join(
         f"SELECT doc_id, '{t}' AS topic, rank FROM ({_pagerank_sql(2, 'nd AS (SELECT src AS doc_id FROM links UNION SELECT dst FROM links)', _EDGES, n)})" for t, n in (("science", "100.0::DOUBLE"), ("arts", "250.0::DOUBLE"))
     ),
+    "pagerank_topics_all": _pagerank_topics_sql(15),
     "bfs_depth": """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM links), b(doc_id, depth) AS (
         (SELECT src, 0 FROM e GROUP BY src ORDER BY count(*) DESC, src LIMIT 1) UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.doc_id WHERE b.depth < 4) SELECT doc_id, min(depth) AS depth FROM b GROUP BY doc_id""",
     "bfs_depth_all": """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM links WHERE src IS NOT NULL AND dst IS NOT NULL), b(doc_id, depth) USING KEY (doc_id) AS (
