@@ -151,3 +151,10 @@ def test_tables_of_pages(spark):
 def test_the_sample_is_bounded(spark):
     pages = spark.createDataFrame([(d, u, h, 1, "x") for d, u, h in corpus()], SCHEMA)
     assert fit(pages, 10).standing is not None
+
+
+def test_all_words_of_a_block_are_evidence():
+    start = " ".join(f"w{chr(97 + n // 26)}{chr(97 + n % 26)}" for n in range(70))
+    plain, ended = (Page(f"<p>{start}{end}</p>", "http://a.b/") for end in ("", " copyright reserved"))
+    (i,), (j,) = plain.leaves, ended.leaves
+    assert len(ended.wording(j)) == len(plain.wording(i)) + 2 == 72 and set(plain.wording(i)) < set(ended.wording(j))

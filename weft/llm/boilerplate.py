@@ -92,9 +92,9 @@ class Page:
         return masked(text, self.site)
 
     def wording(self, i: int) -> list[int]:
-        """Features of a block's words."""
+        """Features of all of a block's words."""
         m = masked(self.nodes[i].text, self.site)
-        return [_h("_" + w) for w in sorted({*_WORD.findall(m.replace("§", " sitename "))[:60]})]
+        return [_h("_" + w) for w in sorted({*_WORD.findall(m.replace("§", " sitename "))})]
 
 
 def surface_features(key: tuple) -> list[int]:
