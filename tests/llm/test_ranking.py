@@ -58,3 +58,11 @@ def test_edge_cases(spark):
     assert set(got) == {(1, "a"), (1, "b"), (2, "a")}
     assert got[1, "a"].closeness == 0.5 and got[1, "a"]["rank"] == 1 and not got[1, "a"].stands_high
     assert got[2, "a"].stands_high and got[2, "a"].page_rank == 1.0 and len(SCORES) == 3
+
+
+def test_bounds_are_exact_in_a_large_query(spark):
+    n = 60_000
+    rows = spark.range(n, numPartitions=7).selectExpr("id as result_id", "1L as query_id", "cast(id as string) as doc_id", "cast(pow((id * 7919) % 60000, 3) as double) as page_rank")
+    got = ideal_point_ranking(rows, ["page_rank"])
+    # All values differ: 5 in 100 are drawn in to the lower bound, which is one of them, and 5 in 100 to the upper bound, beside it.
+    assert (got.where("closeness = 0").count(), got.where("closeness = 1").count()) == (n // 20, n // 20 + 1)

@@ -22,17 +22,24 @@ def answers_of(results: DataFrame, scores: Sequence[str] = SCORES) -> DataFrame:
     return first.select("query_id", "doc_id", "s.*")
 
 
-def high_marks(answers: DataFrame, scores: Sequence[str], share: int) -> DataFrame:
-    """(query_id, high_<score> ...): the least value of each score that fewer than n / share answers exceed.
+def marks_of(answers: DataFrame, scores: Sequence[str], trim: float, share: int) -> DataFrame:
+    """(query_id, n, high_<score> ..., low_bound_<score>, high_bound_<score> ...): the query's answers; the least value of each score that fewer than n / share
+    answers exceed; and the ``trim`` and 1 - ``trim`` quantiles of the score's values, each the least value that so large a part doesn't exceed.
 
     Exact, also with ties, for queries of any size: equal values are counted together, then counted on in order.
     """
-    size = answers.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    size = answers.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"_n_{c}") for c in scores])
     long = answers.select("query_id", F.explode(F.array(*[F.struct(F.lit(c).alias("score"), F.col(c).alias("value")) for c in scores])).alias("x"))
     counts = long.select("query_id", "x.*").where("value is not null").groupBy("query_id", "score", "value").agg(F.count(F.lit(1)).alias("w"))
     above = running_total(counts, ["query_id", "score"], [F.desc("value")], F.col("w"), "above")
-    marks = balanced_join(above, size, "query_id", "inner").where(F.col("above") * share < F.col("n"))
-    return marks.groupBy("query_id").agg(*[F.min(F.when(F.col("score") == c, F.col("value"))).alias(f"high_{c}") for c in scores])
+    values = balanced_join(above, size, "query_id", "inner")
+    least = lambda c, ok: F.min(F.when((F.col("score") == c) & ok, F.col("value")))
+    # Rounded first, so that 0.05 * 60 is 3 whatever the floating point makes of it.
+    within = lambda c, part: F.col(f"_n_{c}") - F.col("above") >= F.ceil(F.round(F.col(f"_n_{c}") * part, 6))
+    marks = values.groupBy("query_id").agg(*[x for c in scores for x in (
+        least(c, F.col("above") * share < F.col("n")).alias(f"high_{c}"), least(c, within(c, trim)).alias(f"low_bound_{c}"), least(c, within(c, 1 - trim)).alias(f"high_bound_{c}"),
+    )])
+    return size.select("query_id", "n").join(marks, "query_id", "left")
 
 
 def ideal_point_ranking(results: DataFrame, scores: Sequence[str] = SCORES, weights: Sequence[float] | None = None, trim: float = 0.05, share: int = 10) -> DataFrame:
@@ -49,16 +56,14 @@ def ideal_point_ranking(results: DataFrame, scores: Sequence[str] = SCORES, weig
     """
     weights = list(weights or [1.0 / len(scores)] * len(scores))
     answers = staged(answers_of(results, scores), "answers")  # read by every step below
-    qs = F.array(F.lit(trim), F.lit(1 - trim))
-    bounds = answers.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, qs, 10_000).alias(f"_b_{c}") for c in scores])
+    bounds = marks_of(answers, scores, trim, share)
     a = balanced_join(answers, bounds, "query_id", "inner")
     for c in scores:  # an absent score takes the lower bound; a query that lacks a score altogether has 0 for all
-        low, high = F.col(f"_b_{c}")[0], F.col(f"_b_{c}")[1]
+        low, high = F.col(f"low_bound_{c}"), F.col(f"high_bound_{c}")
         a = a.withColumn(f"_v_{c}", F.coalesce(F.least(F.greatest(F.coalesce(F.col(c), low), low), high), F.lit(0.0)))
     v = [f"_v_{c}" for c in scores]
     frame = a.groupBy("query_id").agg(*[f(x).alias(f"_{k}{x}") for x in v for k, f in (("s", lambda y: F.sqrt(F.sum(F.col(y) * F.col(y)))), ("hi", F.max), ("lo", F.min))])
-    marks = high_marks(answers, scores, share)
-    a = balanced_join(a, frame.join(marks, "query_id", "left"), "query_id", "inner")
+    a = balanced_join(a, frame, "query_id", "inner")
 
     def distance(to: str):
         total = F.lit(0.0)
