@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.operators.orphans import track_orphans
 from weft.operators.skew import key_profile
-from weft.operators.versions import VersionedTable, new_page_versions, publish_runs, run_deltas
+from weft.operators.versions import VersionedTable, publish_runs, replay_runs
 from weft.session import read, scratch_path
 
 
@@ -23,10 +23,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """The page versions that each ok run must process, from the manifests of the table versions that the runs saw."""
-    table = VersionedTable(spark, scratch_path(spark, "docs"))
-    ids = publish_runs(read(spark, d, "docs").select("seq", "written_at", "doc_id", "url", "mod_date"), read(spark, d, "index_runs"), table)
-    return new_page_versions(run_deltas(table), ids).select("run_id", "seq")
+    """The page versions that each ok run must process: a job over the versions of the table of whole records, its processed version saved with its output."""
+    source, sink = VersionedTable(spark, scratch_path(spark, "docs")), VersionedTable(spark, scratch_path(spark, "page_versions"))
+    log = publish_runs(read(spark, d, "docs"), read(spark, d, "index_runs"), source)
+    return replay_runs(source, sink, log).select("run_id", "seq")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

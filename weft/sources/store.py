@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.operators.versions import VersionedTable
+from weft.operators.versions import Conflict, VersionedTable
 
 # The tables of the index, with their key first.
 SCHEMAS = {
@@ -49,15 +49,27 @@ class KeyedTable:
         return df.select(*[F.col(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in want.items()])
 
     def _append(self, df: DataFrame, gone: bool) -> None:
-        seq = self.log.manifest().version + 1
-        self.log.append(self._checked(df).withColumn("_seq", F.lit(seq).cast("bigint")).withColumn("_gone", F.lit(gone)))
+        rows = self._checked(df).withColumn("_gone", F.lit(gone))
+        while True:
+            # Rows carry the number of the version they make, so a writer that was second writes them anew.
+            base = self.log.manifest()
+            try:
+                self.log.append(rows.withColumn("_seq", F.lit(base.version + 1).cast("bigint")).select(self.log.schema.names), base=base)
+                return
+            except Conflict:
+                continue
+
+    def _last(self, rows: DataFrame) -> DataFrame:
+        """The last row of each key, unless that is a deletion."""
+        rest = [c for c in self.schema.names if c not in self.key]
+        last = rows.groupBy(*self.key).agg(F.max_by(F.struct(*rest, "_gone"), "_seq").alias("r"))
+        return last.where("not r._gone").select(*self.key, *[F.col(f"r.{c}") for c in rest]).select(*self.schema.names)
 
     def set(self, df: DataFrame) -> None:
-        """Upserts rows; of rows with one key in a batch the greatest in column order stays."""
-        rest = [c for c in self.schema.names if c not in self.key and not isinstance(self.schema[c].dataType, T.MapType)]
-        whole = self._checked(df)
-        once = whole.groupBy(*self.key).agg(F.max_by(F.struct(*[c for c in self.schema.names if c not in self.key]), F.struct(*rest) if rest else F.lit(1)).alias("r"))
-        self._append(once.select(*self.key, "r.*"), False)
+        """Upserts rows; of rows with one key in a batch the last stays, in the order in which the frame hands them on."""
+        rest = [c for c in self.schema.names if c not in self.key]
+        numbered = self._checked(df).withColumn("_n", F.monotonically_increasing_id())
+        self._append(numbered.groupBy(*self.key).agg(F.max_by(F.struct(*rest), "_n").alias("r")).select(*self.key, "r.*"), False)
 
     def delete(self, keys: DataFrame) -> None:
         """Takes out the rows with these keys; keys that the table lacks change nothing."""
@@ -65,13 +77,11 @@ class KeyedTable:
 
     def drop(self) -> None:
         """Empties the table; older versions stay readable."""
-        self.log.commit(self.log.manifest(), {})
+        self.log.clear()
 
     def scan(self, version: int | None = None) -> DataFrame:
         """All rows, in no order."""
-        rest = [c for c in self.schema.names if c not in self.key]
-        rows = self.log.read(version).groupBy(*self.key).agg(F.max_by(F.struct(*rest, "_gone"), "_seq").alias("r"))
-        return rows.where("not r._gone").select(*self.key, *[F.col(f"r.{c}") for c in rest]).select(*self.schema.names)
+        return self._last(self.log.read(version))
 
     def get(self, *key) -> dict | None:
         """The row with this key, or None. The key reaches the scan; for many keys use get_many."""
@@ -84,22 +94,26 @@ class KeyedTable:
     def has(self, *key) -> bool:
         return self.get(*key) is not None
 
-    def get_many(self, keys: DataFrame) -> DataFrame:
-        """The rows with any of these keys."""
-        return self.scan().join(keys.select(*self.key).distinct(), self.key, "left_semi")
+    def get_many(self, keys: DataFrame, *columns: str) -> DataFrame:
+        """The rows with any of these keys, or only ``columns`` of them beside the key. Only rows of the keys are compared, and only those columns are read."""
+        wanted = keys.select(*self.key).distinct()
+        rows = self.log.read().join(wanted, self.key, "left_semi")
+        if not columns:
+            return self._last(rows)
+        last = rows.groupBy(*self.key).agg(F.max_by(F.struct(*columns, "_gone"), "_seq").alias("r"))
+        return last.where("not r._gone").select(*self.key, *[F.col(f"r.{c}") for c in columns])
 
     def scan_prefix(self, prefix: str) -> DataFrame:
         """Rows whose first key column begins with ``prefix``; it reaches the scan."""
-        c = F.col(self.key[0])
-        rest = [x for x in self.schema.names if x not in self.key]
-        rows = self.log.read().where(c.startswith(prefix)).groupBy(*self.key).agg(F.max_by(F.struct(*rest, "_gone"), "_seq").alias("r"))
-        return rows.where("not r._gone").select(*self.key, *[F.col(f"r.{x}") for x in rest])
+        return self._last(self.log.read().where(F.col(self.key[0]).startswith(prefix)))
 
-    def compact(self) -> None:
-        """Rewrites the table without superseded and deleted rows."""
+    def compact(self, vacuum: bool = False) -> None:
+        """Rewrites the table without superseded and deleted rows; with ``vacuum`` the files that only older versions need are deleted."""
         base = self.log.manifest()
         rows = self.scan().withColumn("_seq", F.lit(base.version + 1).cast("bigint")).withColumn("_gone", F.lit(False))
-        self.log.commit(base, dict.fromkeys(p for ps in self.log.write_files(rows).values() for p in ps), {"rewrite": True})
+        new = self.log.commit(base, dict.fromkeys(p for ps in self.log.write_files(rows).values() for p in ps), op="rewrite")
+        if vacuum:
+            self.log.vacuum(new.version)
 
     def batch(self) -> "Batch":
         return Batch(self)

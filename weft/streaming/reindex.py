@@ -24,7 +24,7 @@ def stream_pages(spark: SparkSession, folder: str, table: KeyedTable, checkpoint
 
     def take(batch: DataFrame, _: int) -> None:
         new = latest(batch)
-        known = table.get_many(new).select("doc_id", F.col("last_modified").alias("_seen"), F.md5("html").alias("_digest"))
+        known = table.get_many(new, "last_modified", "html").select("doc_id", F.col("last_modified").alias("_seen"), F.md5("html").alias("_digest"))
         fresh = new.join(known, "doc_id", "left").where("_digest is null or ((_seen is null or last_modified > _seen) and md5(html) <> _digest)").drop("_seen", "_digest").persist()
         try:
             if not fresh.isEmpty():
