@@ -410,11 +410,12 @@ def first_run_that_sees(docs: DataFrame, times: Sequence[int]) -> DataFrame:
 def publish_runs(docs: DataFrame, runs: DataFrame, table: VersionedTable) -> list[tuple[int, bool]]:
     """Ingests ``docs``, whole records, as the versioned table in which the log had grown when each run started, whatever became of the run.
 
-    Version i is what run i sees. Rows are written once, by the version that first holds them and balanced by size, so that a version with most of the rows gets
-    most of the tasks; each manifest names the files that came. Returns (run_id, ended well) of the runs, in order of their versions.
+    Version i is what run i sees. Each task writes its rows once, by the version that first holds them; whole records are not shuffled. A log that is stored about in order
+    of time gives few files a task; one in no order gives a file per task and version at most, and a version with most of the rows comes from all tasks. Each
+    manifest names the files that came. Returns (run_id, ended well) of the runs, in order of their versions.
     """
     log = run_log(runs)
-    files = table.write_files(first_run_that_sees(docs, [t for _, t, _ in log]).hint("rebalance", "_v"), "_v")
+    files = table.write_files(first_run_that_sees(docs, [t for _, t, _ in log]), "_v")
     base = table.manifest()
     for i in range(len(log)):
         base = table.commit(base, base.files | dict.fromkeys(files.get(str(i + 1), [])))
