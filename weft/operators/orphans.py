@@ -1,20 +1,36 @@
 """References to records that do not exist, kept up to date as references, records and removals arrive.
 
-The keyed state is four tables: the references by target, the writes and removals by page (together the parent index) and the
-open orphans. A step takes a batch of each kind, in any order of arrival. New references probe the
-index; arriving pages resolve the orphans that waited for them; removals reopen references. Only targets that the batch
-touches are looked at again. The state lives in the shared folder: three logs that only grow, and the open orphans.
+The keyed state has four parts, each in buckets by hash of the target: the references and the writes that came so far, the parent index with one row per
+target, and the open orphans. A step takes a batch of each kind, in any order of arrival, and reads only buckets that the batch
+touches: new references probe the index; the index rows of written and removed pages are merged; where that changes what is known of a page, its
+waiting references are looked at again, so that arriving pages resolve orphans and removals reopen them. A page that is merely written again
+changes nothing. All parts are files of one versioned table, so a step is one commit: it happens wholly or not at all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.operators.skew import balanced_join
-from weft.session import scratch_path
+from weft.operators.versions import Manifest, VersionedTable
+from weft.session import scratch_path, staged
 
 REF = ["ref_field", "seq", "target", "written_at"]
+#: Buckets of the state. More make a small batch touch less, and give more files.
+BUCKETS = 16
+
+# The parts of the state.
+PARTS = {
+    "refs": "ref_field string, seq bigint, target string, written_at timestamp",
+    "writes": "target string, written_at timestamp",
+    "index": "target string, first_written timestamp, removed_at timestamp, revived_at timestamp",
+    "open": "ref_field string, seq bigint, target string, written_at timestamp, kind string",
+    "counts": "step int, ref_field string, period string, kind string, n_refs bigint, n_targets bigint",
+}
 
 
 def references(docs: DataFrame) -> DataFrame:
@@ -34,69 +50,157 @@ def parent_index(writes: DataFrame, removals: DataFrame) -> DataFrame:
     """
     first = writes.where("doc_id is not null").groupBy(F.col("doc_id").alias("target")).agg(F.min("written_at").alias("first_written"))
     gone = removals.where("doc_id is not null and removed_at is not null").groupBy(F.col("doc_id").alias("target")).agg(F.max("removed_at").alias("removed_at"))
-    back = writes.select(F.col("doc_id").alias("target"), "written_at").join(gone, "target").where("written_at > removed_at").groupBy("target").agg(F.min("written_at").alias("revived_at"))
+    back = balanced_join(writes.select(F.col("doc_id").alias("target"), "written_at"), gone, "target", "inner").where("written_at > removed_at").groupBy("target").agg(F.min("written_at").alias("revived_at"))
     return first.join(gone.join(back, "target", "left"), "target", "full_outer")
 
 
+def kinds_of() -> Column:
+    """The kinds of a reference beside its target's index row, as an array column."""
+    at = F.col("written_at")
+    return F.array_compact(F.array(
+        F.when(F.col("first_written").isNull(), F.lit("missing")),
+        F.when(F.col("first_written") > at, F.lit("later")),
+        F.when((F.col("removed_at") <= at) & (F.col("revived_at").isNull() | (F.col("revived_at") > at)), F.lit("removed")),
+    ))
+
+
 def classify(refs: DataFrame, index: DataFrame) -> DataFrame:
     """The orphans among ``refs``, with ``kind``: 'missing', 'later' or 'removed'; a reference may be of two kinds.
 
     missing: the target was never written. later: its first write is after the referring row. removed: it was taken
     out at or before the referring row and not written again until then. A null written_at is neither later nor removed.
     """
-    at = F.col("written_at")
-    kinds = F.array(
-        F.when(F.col("first_written").isNull(), F.lit("missing")),
-        F.when(F.col("first_written") > at, F.lit("later")),
-        F.when((F.col("removed_at") <= at) & (F.col("revived_at").isNull() | (F.col("revived_at") > at)), F.lit("removed")),
-    )
     found = balanced_join(refs.select(*REF), index, "target")
-    return found.select(*REF, F.explode(F.array_compact(kinds)).alias("kind"))
+    return found.select(*REF, F.explode(kinds_of()).alias("kind"))
 
 
 class OrphanTracker:
-    """The state and its steps. ``known`` (doc_id): pages outside the collection that may be referred to; bounded by its user."""
+    """The state and its steps. ``known`` (doc_id): pages outside the collection that may be referred to. A tracker opened on an old ``path`` goes on from its last step."""
 
-    def __init__(self, spark: SparkSession, known: DataFrame | None = None, path: str | None = None):
-        self.spark, self.path, self.step_no = spark, path or scratch_path(spark, "orphans"), 0
+    def __init__(self, spark: SparkSession, known: DataFrame | None = None, path: str | None = None, buckets: int = BUCKETS):
+        self.spark, self.table = spark, VersionedTable(spark, path or scratch_path(spark, "orphans"))
+        self.buckets = int(self.table.manifest().extra.get("buckets", buckets))
         self.known = None if known is None else known.select(F.col("doc_id").alias("target")).where("target is not null").distinct()
 
-    def _log(self, name: str, until: int) -> DataFrame:
-        """A log of the state: what the steps up to ``until`` added."""
-        return self.spark.read.parquet(*[f"{self.path}/{name}/{k}" for k in range(1, until + 1)])
+    # -- the parts -----------------------------------------------------------------------------------------
 
-    def _open(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/open/{self.step_no}")
+    def _bucket(self):
+        return F.pmod(F.xxhash64("target"), F.lit(self.buckets)).cast("int")
+
+    @staticmethod
+    def _place(file: str) -> tuple[str, int]:
+        part, _, folder, *_ = file.split("/")
+        return part, int(folder.partition("=")[2])
+
+    def _files(self, base: Manifest, part: str, of: Iterable[int] | None = None) -> list[str]:
+        """The files of a part, in all buckets or in some."""
+        return [f for f in base.files if (p := self._place(f))[0] == part and (of is None or p[1] in of)]
+
+    def _read(self, files: list[str], part: str) -> DataFrame:
+        schema = T._parse_datatype_string(PARTS[part])
+        return self.spark.read.schema(schema).parquet(*[f"{self.table.path}/{f}" for f in files]) if files else self.spark.createDataFrame([], schema)
+
+    def _write(self, df: DataFrame, part: str) -> list[str]:
+        """New files of a part. A bucket with very many rows is cut into several files."""
+        names = [f.name for f in T._parse_datatype_string(PARTS[part]).fields]
+        rows = df.select(*names, self._bucket().alias("_bucket")).hint("rebalance", "_bucket")
+        return [p for ps in self.table.write_files(rows, "_bucket", part).values() for p in ps]
+
+    @staticmethod
+    def _touched(files: list[str]) -> set[int]:
+        return {OrphanTracker._place(f)[1] for f in files}
+
+    # -- steps ---------------------------------------------------------------------------------------------
+
+    @property
+    def step_no(self) -> int:
+        return int(self.table.manifest().extra.get("step", 0))
+
+    def _merged(self, base: Manifest, new: DataFrame, removals: DataFrame, buckets: set[int]) -> DataFrame:
+        """Index rows of the pages written or removed by the batch, with ``_changed``: whether a reference may stand otherwise now."""
+        first = new.groupBy("target").agg(F.min("written_at").alias("_first"))
+        gone = removals.groupBy("target").agg(F.max("removed_at").alias("_gone"))
+        rows = first.join(gone, "target", "full_outer")
+        old_files, history = self._files(base, "index", buckets), new
+        if old_files:
+            rows = rows.join(self._read(old_files, "index"), "target", "left")
+        else:
+            rows = rows.withColumns({c: F.lit(None).cast("timestamp") for c in ("first_written", "removed_at", "revived_at")})
+        written, removed = F.least("first_written", "_first"), F.greatest("removed_at", "_gone")
+        rows = rows.select(
+            "target", written.alias("first_written"), removed.alias("removed_at"), F.when(F.col("_gone").isNull() | (F.col("_gone") <= F.col("removed_at")), F.col("revived_at")).alias("revived_at"),
+            (~F.col("first_written").eqNullSafe(written)).alias("_arrived"), (~F.col("removed_at").eqNullSafe(removed)).alias("_removed"),
+        )
+        # The first write after a removal: for a removal that is new, from all writes so far; else from the batch.
+        if seen := self._files(base, "writes", buckets):
+            history = self._read(seen, "writes").join(rows.where("_removed").select("target"), "target", "left_semi").unionByName(new)
+        back = history.join(rows.where("removed_at is not null").select("target", "removed_at"), "target").where("written_at > removed_at").groupBy("target").agg(F.min("written_at").alias("_back"))
+        revived = F.least("revived_at", "_back")
+        changed = F.col("_arrived") | F.col("_removed") | ~F.col("revived_at").eqNullSafe(revived)
+        return rows.join(back, "target", "left").select("target", "first_written", "removed_at", revived.alias("revived_at"), changed.alias("_changed"), self._bucket().alias("_bucket"))
 
     def advance(self, refs: DataFrame, writes: DataFrame, removals: DataFrame) -> None:
         """One step; a step that fails leaves the state before it in place and can be repeated."""
-        k = self.step_no + 1
+        base, t = self.table.manifest(), self.table
         if self.known is not None:
             refs = refs.join(self.known, "target", "left_anti")
         # A page's writes matter as instants only; equal ones are kept once.
-        for name, df in (("refs", refs.select(*REF)), ("writes", writes.select("doc_id", "written_at").distinct()), ("removals", removals.select("doc_id", "removed_at"))):
-            df.write.mode("overwrite").parquet(f"{self.path}/{name}/{k}")
-        now = {name: self.spark.read.parquet(f"{self.path}/{name}/{k}") for name in ("refs", "writes", "removals")}
-        index = parent_index(self._log("writes", k), self._log("removals", k))
-        if self.step_no:
-            touched = now["writes"].select(F.col("doc_id").alias("target")).union(now["removals"].select("doc_id")).distinct()
-            # Stored references are looked at again only where the batch touched their target.
-            stored = self._log("refs", self.step_no)
-            again = balanced_join(stored, touched, "target", "left_semi")
-            kept = balanced_join(self._open(), touched, "target", "left_anti")
-            open_ = kept.unionByName(classify(now["refs"].unionByName(again), index))
-        else:
-            open_ = classify(now["refs"], index)
-        open_.write.mode("overwrite").parquet(f"{self.path}/open/{k}")
-        self.step_no = k
+        new_refs = self._write(refs, "refs")
+        new_writes = self._write(writes.where("doc_id is not null").select(F.col("doc_id").alias("target"), "written_at").distinct(), "writes")
+        gone = removals.where("doc_id is not null and removed_at is not null").select(F.col("doc_id").alias("target"), "removed_at")
+        pages = self._touched(new_writes) | ({r["b"] for r in gone.select(self._bucket().alias("b")).distinct().collect()} if base.version else set())
+        merged = staged(self._merged(base, self._read(new_writes, "writes"), gone, pages), "index")
+        changed, again = merged.where("_changed").select("target"), set()
+        if base.version:
+            again = {r["_bucket"] for r in merged.where("_changed").select("_bucket").distinct().collect()}
+
+        keep = set(base.files)
+        replaced, old_index = merged.drop("_changed", "_bucket"), self._files(base, "index", pages)
+        if old_index:
+            replaced = self._read(old_index, "index").join(merged.select("target"), "target", "left_anti").unionByName(replaced)
+            keep -= set(old_index)
+        new_index = self._write(replaced, "index")
+        asked = self._touched(new_refs) | again
+        current = self._read([*self._files(base, "index", asked - pages), *[f for f in new_index if self._place(f)[1] in asked]], "index")
+        probing = self._read(new_refs, "refs")
+        # One row a target on the right, and references to a page without bound on the left: a skewed partition of the left is split at run time.
+        if waiting := self._files(base, "refs", again):
+            probing = probing.unionByName(self._read(waiting, "refs").join(changed, "target", "left_semi"))
+        open_now = classify(probing, current)
+        if closed := self._files(base, "open", again):
+            open_now = open_now.unionByName(self._read(closed, "open").join(changed, "target", "left_anti"))
+            keep -= set(closed)
+        new_open = self._write(open_now, "open")
+        step = int(base.extra.get("step", 0)) + 1
+        still = self._read([*[f for f in keep if self._place(f)[0] == "open"], *new_open], "open")
+        counts = self._counted(still).select(F.lit(step).alias("step"), "ref_field", "period", "kind", "n_refs", "n_targets", F.lit(0).alias("_bucket"))
+        new_counts = [f for fs in t.write_files(counts.coalesce(1), "_bucket", "counts").values() for f in fs]
+        files = [*new_refs, *new_writes, *new_index, *new_open, *new_counts]
+        t.commit(base, {f: None for f in base.files if f in keep} | dict.fromkeys(files), {"step": step, "buckets": self.buckets})
+
+    # -- results -------------------------------------------------------------------------------------------
+
+    def _all(self, part: str) -> DataFrame:
+        return self._read(self._files(self.table.manifest(), part), part)
+
+    @staticmethod
+    def _counted(orphans: DataFrame) -> DataFrame:
+        """Exact counts of references and of different targets. Counted in two steps, first by target, so that no period has to fit one task."""
+        period = F.date_format("written_at", "yyyy-MM").alias("period")
+        per_target = orphans.groupBy("ref_field", period, "kind", "target").agg(F.count(F.lit(1)).alias("n"))
+        return per_target.groupBy("ref_field", "period", "kind").agg(F.sum("n").alias("n_refs"), F.count(F.lit(1)).alias("n_targets"))
 
     def orphans(self) -> DataFrame:
         """The open orphans: ref_field, period ('YYYY-MM' of the referring row), seq, target, kind."""
-        return self._open().select("ref_field", F.date_format("written_at", "yyyy-MM").alias("period"), "seq", "target", "kind")
+        return self._all("open").select("ref_field", F.date_format("written_at", "yyyy-MM").alias("period"), "seq", "target", "kind")
+
+    def snapshots(self) -> DataFrame:
+        """What was open after each step: step, ref_field, period, kind, n_refs, n_targets."""
+        return self._all("counts")
 
     def snapshot(self) -> DataFrame:
-        """Counts of open orphans by ref_field, period and kind."""
-        return self.orphans().groupBy("ref_field", "period", "kind").agg(F.count(F.lit(1)).alias("n_refs"), F.approx_count_distinct("target").alias("n_targets"))
+        """The counts after the last step."""
+        return self.snapshots().where(F.col("step") == self.step_no).drop("step")
 
 
 def track_orphans(docs: DataFrame, removals: DataFrame, known: DataFrame | None = None, steps: int = 2) -> OrphanTracker:

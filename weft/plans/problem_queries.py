@@ -34,7 +34,24 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return track_orphans(read(spark, d, "docs"), read(spark, d, "removals"), read(spark, d, "portals")).orphans()
 
 
-QUERIES = {f.__name__: f for f in (p1_key_profile, p1_found, p2_found, p6_found)}
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Open references per field and month, as the tracker's last snapshot counts them."""
+    return track_orphans(read(spark, d, "docs"), read(spark, d, "removals"), read(spark, d, "portals")).snapshot()
+
+
+QUERIES = {f.__name__: f for f in (p1_key_profile, p1_found, p2_found, p6_found, p6_report)}
+
+_ORPHANS = """
+        WITH refs AS (
+            SELECT DISTINCT 'children' AS ref_field, seq, written_at, unnest(children) AS target FROM docs
+            UNION SELECT DISTINCT 'parents', seq, written_at, unnest(map_keys(parents)) FROM docs),
+        live AS (SELECT * FROM refs WHERE target IS NOT NULL AND target <> '' AND target NOT IN (SELECT doc_id FROM portals)),
+        f AS (SELECT doc_id, min(written_at) AS first_written FROM docs GROUP BY doc_id),
+        k AS (SELECT l.*, 'missing' AS kind FROM live l WHERE target NOT IN (SELECT doc_id FROM docs)
+              UNION ALL SELECT l.*, 'later' FROM live l JOIN f ON f.doc_id = l.target WHERE f.first_written > l.written_at
+              UNION ALL SELECT l.*, 'removed' FROM live l JOIN removals x ON x.doc_id = l.target
+              WHERE x.removed_at <= l.written_at AND NOT EXISTS (
+                SELECT 1 FROM docs b WHERE b.doc_id = l.target AND b.written_at > x.removed_at AND b.written_at <= l.written_at))"""
 
 ORACLE = {
     "p1_key_profile": """
@@ -66,16 +83,6 @@ ORACLE = {
         n AS (SELECT *, max(mod_date) OVER (PARTITION BY doc_id ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past
               FROM b WHERE k = 1)
         SELECT r.run_id, n.seq FROM n JOIN r USING (v) WHERE past IS NULL OR mod_date > past""",
-    "p6_found": """
-        WITH refs AS (
-            SELECT DISTINCT 'children' AS ref_field, seq, written_at, unnest(children) AS target FROM docs
-            UNION SELECT DISTINCT 'parents', seq, written_at, unnest(map_keys(parents)) FROM docs),
-        live AS (SELECT * FROM refs WHERE target IS NOT NULL AND target <> '' AND target NOT IN (SELECT doc_id FROM portals)),
-        f AS (SELECT doc_id, min(written_at) AS first_written FROM docs GROUP BY doc_id),
-        k AS (SELECT l.*, 'missing' AS kind FROM live l WHERE target NOT IN (SELECT doc_id FROM docs)
-              UNION ALL SELECT l.*, 'later' FROM live l JOIN f ON f.doc_id = l.target WHERE f.first_written > l.written_at
-              UNION ALL SELECT l.*, 'removed' FROM live l JOIN removals x ON x.doc_id = l.target
-              WHERE x.removed_at <= l.written_at AND NOT EXISTS (
-                SELECT 1 FROM docs b WHERE b.doc_id = l.target AND b.written_at > x.removed_at AND b.written_at <= l.written_at))
-        SELECT ref_field, strftime(written_at, '%Y-%m') AS period, seq, target, kind FROM k""",
+    "p6_found": f"{_ORPHANS} SELECT ref_field, strftime(written_at, '%Y-%m') AS period, seq, target, kind FROM k",
+    "p6_report": f"{_ORPHANS} SELECT ref_field, strftime(written_at, '%Y-%m') AS period, kind, count(*) AS n_refs, count(DISTINCT target) AS n_targets FROM k GROUP BY ALL",
 }
