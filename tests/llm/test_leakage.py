@@ -5,7 +5,23 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from weft.llm import leakage
-from weft.llm.leakage import leaked_items, letters, maximal_matches, tile
+from weft.llm.leakage import leaked_items, letters, tile
+
+
+def maximal_matches(doc, item, seeds, q):
+    """(doc start, item start, length) of the maximal equal runs through the seeds (doc, item), each run once."""
+    done, out = {}, []
+    for p, i in sorted(seeds):
+        if done.get(p - i, -1) >= p + q or doc[p : p + q] != item[i : i + q]:
+            continue
+        a, b = p, p + q
+        while a > 0 and a - (p - i) > 0 and doc[a - 1] == item[a - 1 - (p - i)]:
+            a -= 1
+        while b < len(doc) and b - (p - i) < len(item) and doc[b] == item[b - (p - i)]:
+            b += 1
+        done[p - i] = b
+        out.append((a, a - (p - i), b - a))
+    return out
 
 
 def test_letters():
@@ -59,10 +75,11 @@ def frames(spark, docs, items):
     return spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id bigint, text string, item_id int"), spark.createDataFrame([(i, t, 1) for i, t in items], "item_id bigint, text string, coverage int")
 
 
-@pytest.mark.parametrize("block", [20_000, 7])
-def test_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", block)
-    docs, items = make(random.Random(block), 120, 25)
+@pytest.mark.parametrize("bits", [1 << 27, 64])
+def test_against_brute_force(spark, monkeypatch, bits):
+    """Also with a sieve that is full and so keeps nothing back."""
+    monkeypatch.setattr(leakage, "SIEVE_BITS", bits)
+    docs, items = make(random.Random(bits), 120, 25)
     d, i = frames(spark, docs, items + items[:3])
     got = [(r.doc_id, r.item_id) for r in leaked_items(d, i).where("run_words >= 12").collect()]
     assert len(got) == len(set(got)) and set(got) == brute(docs, items, 12) and len(got) > 5
@@ -88,6 +105,33 @@ def test_shuffled_short_pieces_are_covered(spark):
     assert got == {(n, k): x for n in range(30) for k, x in ((7, (max(map(len, pieces)), 5, 1.0)), (8, (9, 1, 1.0)))}
 
 
+def test_recall_on_planted_reorderings(spark):
+    """Items cut into pieces of 4 to 8 words, some left out, the rest shuffled into other text: every pair is found whose pieces of 24 letters cover enough."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 9)))
+    items, docs, want = [], [], set()
+    for k in range(60):
+        pieces = [[word() for _ in range(rng.randrange(4, 9))] for _ in range(rng.randrange(4, 9))]
+        items.append((k, " ".join(w for p in pieces for w in p)))
+        kept = [p for p in pieces if rng.random() < 0.85]
+        rng.shuffle(kept)
+        docs.append((k, " ".join(" ".join([word(), *p, word()]) for p in kept)))
+        if sum(n for p in kept if (n := len("".join(p))) >= 24) >= 0.6 * len(letters(items[-1][1])):
+            want.add((k, k))
+    d, i = frames(spark, docs, items)
+    got = {(r.doc_id, r.item_id) for r in leaked_items(d, i).collect()}
+    assert want <= got and len(want) > 30 and all(a == b for a, b in got)
+
+
+def test_the_first_tile_has_the_most_words(spark):
+    """A match of twelve short words is not cut up by a match of more letters but fewer words."""
+    short, long = [f"w{i}" for i in range(12)], [f"unusuallylongword{i}" for i in range(4)]
+    docs = [(1, " ".join(short) + " x " + " ".join(short[9:] + long))]
+    d, i = frames(spark, docs, [(7, " ".join(short + long))])
+    got = leaked_items(d, i).collect()
+    assert [r.run_words for r in got] == [12] and got[0].tiles == 2 and got[0].coverage == 1.0
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("ab", max_size=25), max_size=4), st.lists(st.text("ab ", max_size=25), max_size=4), st.integers(2, 5))
 def test_all_maximal_matches_are_found(docs, texts, least):

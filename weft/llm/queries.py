@@ -60,7 +60,7 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with at least 12 successive words of an item."""
+    """Documents with at least 12 successive words of an item: its longest tile has them."""
     return p9_leaks(spark, d).where("run_words >= 12").select("doc_id", "item_id")
 
 
