@@ -10,7 +10,7 @@ from weft.llm.leakage import leaked_items
 from weft.llm.main_content import clean_summaries, judge_pages, main_blocks
 from weft.llm.packing import pack_documents
 from weft.llm.ranking import ideal_point_ranking
-from weft.llm.shared_spans import shared_amounts, shared_spans
+from weft.llm.shared_spans import remove_spans, shared_amounts, shared_spans
 from weft.session import read, spread, staged
 
 
@@ -69,12 +69,18 @@ def p10_shared_amounts(spark: SparkSession, d: str) -> DataFrame:
     return shared_amounts(read(spark, d, "documents"))
 
 
+def p10_removed(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of each document without the stretches that an earlier one has."""
+    left = remove_spans(read(spark, d, "documents"))
+    return left.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_left"), "removed")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """The maximal shared stretches of each document."""
     return shared_spans(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_term_scores, p3_found, p4_found, p5_found, p7_ranking, p7_found, p8_pack, p9_leaks, p9_found, p10_shared_amounts, p10_found)}
+QUERIES = {f.__name__: f for f in (p3_term_scores, p3_found, p4_found, p5_found, p7_ranking, p7_found, p8_pack, p9_leaks, p9_found, p10_shared_amounts, p10_removed, p10_found)}
 
 _SPANS = """
         d AS (SELECT DISTINCT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 300),
@@ -132,6 +138,10 @@ ORACLE = {
                AND (SELECT count(*) FROM a x WHERE x.query_id = c.query_id AND x.t > c.t) * 10 < n
                AND (SELECT count(*) FROM a x WHERE x.query_id = c.query_id AND x.b > c.b) * 10 < n AS stands_high FROM c""",
     "p10_found": f"WITH {_SPANS} SELECT doc_id, span_start, span_end FROM sp",
+    "p10_removed": f"""
+        WITH {_SPANS.replace("HAVING count(DISTINCT doc_id) > 1", "").replace("SELECT h FROM w GROUP BY h", "SELECT h, min(doc_id) AS first FROM w GROUP BY h").replace("SELECT DISTINCT doc_id, i FROM w WHERE h IN (SELECT h FROM s)", "SELECT DISTINCT doc_id, i FROM w JOIN s USING (h) WHERE doc_id > first")},
+        t AS (SELECT doc_id, CAST(sum(span_end - span_start) AS BIGINT) AS removed FROM sp GROUP BY doc_id)
+        SELECT doc_id, coalesce(length(text), 0) - coalesce(removed, 0) AS n_left, coalesce(removed, 0) AS removed FROM documents LEFT JOIN t USING (doc_id)""",
     "p10_shared_amounts": f"""
         WITH {_SPANS}, t AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(span_end - span_start) AS BIGINT) AS shared_chars FROM sp GROUP BY doc_id),
         a AS (SELECT doc_id, coalesce(max(length(text)), 0) AS n_chars FROM documents GROUP BY doc_id)
