@@ -31,6 +31,7 @@ def test_standing_is_exact_with_ties_and_a_hot_query(spark):
     got = ideal_point_ranking(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {(r.query_id, r.doc_id) for r in got} == set(first) and len(got) == len(first)
     assert {(r.query_id, r.doc_id) for r in got if r.stands_high} == want
+    assert all(r.closeness >= r.bar - 1e-9 for r in got if r.stands_high) and any(r.closeness < r.bar for r in got)
     for q in (1, 2, 3):
         own = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
         assert [r["rank"] for r in own] == list(range(1, len(own) + 1))

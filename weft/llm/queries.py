@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from weft.llm.ranking import ideal_point_ranking
 from weft.llm.shared_spans import remove_spans, shared_amounts, shared_spans
 from weft.session import read, spread, staged
 
+#: Least score of a term that marks its record: a false-discovery rate below one half.
+MARKS = math.log(2)
+
 
 def p3_term_scores(spark: SparkSession, d: str) -> DataFrame:
     """Scores of all terms of all records, from postings and from docs.words."""
@@ -21,8 +26,9 @@ def p3_term_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Terms of 2 to 8 records that are frequent in this one, out of the scored postings."""
-    return enrichment(postings_entries(read(spark, d, "postings"))).where("df between 2 and 8 and tf >= 0.5 and score >= 0").select("field", "term", "doc_id")
+    """Terms of 2 to 8 records that are frequent in this one and mark it: by their score they are more likely no chance than chance."""
+    scored = enrichment(postings_entries(read(spark, d, "postings")))
+    return scored.where((F.col("score") > MARKS) & F.expr("df between 2 and 8 and tf >= 0.5")).select("field", "term", "doc_id")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,8 +51,8 @@ def p7_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Ranked answers that stand high on all three scores."""
-    return ideal_point_ranking(read(spark, d, "results")).where("stands_high and closeness >= 0 and rank >= 1").select("query_id", "doc_id")
+    """Answers as close to the ideal point as one that just stands high on each of the three scores, and that do so score by score."""
+    return ideal_point_ranking(read(spark, d, "results")).where("closeness >= bar - 1e-9 and stands_high").select("query_id", "doc_id")
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:

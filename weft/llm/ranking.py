@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.order import running_total
@@ -49,8 +49,9 @@ def ideal_point_ranking(results: DataFrame, scores: Sequence[str] = SCORES, weig
     weighted. The ideal point has the greatest, the anti-ideal the least value of every score; closeness is the distance
     to the anti-ideal over the sum of both distances. No score dominates by its range or by a few extreme values.
 
-    Columns: query_id, doc_id, the scores, n (answers of the query), closeness (0 to 1), rank (from 1; ties by doc_id), and
-    stands_high: every score is present and fewer than n / ``share`` of the answers have a greater one.
+    Columns: query_id, doc_id, the scores, n (answers of the query), closeness (0 to 1), rank (from 1; ties by doc_id), bar, and
+    stands_high: every score is present and fewer than n / ``share`` of the answers have a greater one. bar is the closeness of the point that just
+    stands high on every score; closeness grows with each score, so no answer that stands high is below it.
     Repeated answers count once. Null and NaN scores count as the least of the query. Where all answers are equal, closeness
     is 0.5. A negative score is allowed. An empty table gives no rows.
     """
@@ -65,17 +66,21 @@ def ideal_point_ranking(results: DataFrame, scores: Sequence[str] = SCORES, weig
     frame = a.groupBy("query_id").agg(*[f(x).alias(f"_{k}{x}") for x in v for k, f in (("s", lambda y: F.sqrt(F.sum(F.col(y) * F.col(y)))), ("hi", F.max), ("lo", F.min))])
     a = balanced_join(a, frame, "query_id", "inner")
 
-    def distance(to: str):
-        total = F.lit(0.0)
-        for x, w in zip(v, weights):
-            d = F.coalesce(F.try_divide(F.col(x) - F.col(f"_{to}{x}"), F.col(f"_s{x}")), F.lit(0.0)) * w
-            total = total + d * d
-        return F.sqrt(total)
+    def closeness(values: list[Column]) -> Column:
+        def distance(to: str) -> Column:
+            total = F.lit(0.0)
+            for value, x, w in zip(values, v, weights):
+                d = F.coalesce(F.try_divide(value - F.col(f"_{to}{x}"), F.col(f"_s{x}")), F.lit(0.0)) * w
+                total = total + d * d
+            return F.sqrt(total)
 
-    best, worst = distance("hi"), distance("lo")
+        best, worst = distance("hi"), distance("lo")
+        return F.coalesce(F.try_divide(worst, best + worst), F.lit(0.5))
+
+    marks = [F.coalesce(F.least(F.greatest(F.col(f"high_{c}"), F.col(f"low_bound_{c}")), F.col(f"high_bound_{c}")), F.lit(0.0)) for c in scores]
     high = F.lit(True)
     for c in scores:
         high = high & F.coalesce(F.col(c) >= F.col(f"high_{c}"), F.lit(False))
-    scored = a.select("query_id", "doc_id", *scores, "n", F.coalesce(F.try_divide(worst, best + worst), F.lit(0.5)).alias("closeness"), high.alias("stands_high"))
+    scored = a.select("query_id", "doc_id", *scores, "n", closeness([F.col(x) for x in v]).alias("closeness"), closeness(marks).alias("bar"), high.alias("stands_high"))
     ranked = running_total(scored, ["query_id"], [F.desc("closeness"), F.asc("doc_id")], F.lit(1), "_before")
     return ranked.withColumn("rank", (F.col("_before") + 1).cast("bigint")).drop("_before")
