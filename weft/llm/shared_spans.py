@@ -254,14 +254,16 @@ def _spans(documents: DataFrame, least: int, earlier: bool, shard_slices: int, s
     """(doc_id, text_id, span_start, span_end); text_id tells different texts under one doc_id apart."""
     docs = documents.select("doc_id", "text").where((F.length("text") >= least) & F.col("doc_id").isNotNull())
     docs = docs.withColumn("_m", F.unhex(F.md5("text"))).withColumn("text_id", F.xxhash64("text"))
-    copied = docs.groupBy("_m").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo <> _hi")
-    tagged = docs.join(copied, "_m", "left")
-    whole = tagged.where("doc_id > _lo" if earlier else "_lo is not null").select("doc_id", "text_id", F.lit(0).cast("bigint").alias("span_start"), F.length("text").cast("bigint").alias("span_end"))
-    work = tagged.where("_lo is null or doc_id = _lo").select("doc_id", "text_id", "text")
+    repeated = docs.groupBy("_m").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    tagged = docs.join(repeated, "_m", "left")
+    whole = tagged.where("doc_id > _lo" if earlier else "_lo <> _hi").select("doc_id", "text_id", F.lit(0).cast("bigint").alias("span_start"), F.length("text").cast("bigint").alias("span_end"))
+    # Each text once: copies under the smallest id, of which only rows that are repeated under it have to be brought together.
+    one = ["doc_id", "text_id", "text"]
+    work = tagged.where("_n is null").select(one).unionByName(tagged.where("doc_id = _lo").dropDuplicates(["_m"]).select(one))
 
     keys = staged(work.mapInPandas(_keys(least, run), "key bigint, doc_id bigint, text_id bigint, span_start bigint, span_end bigint"), "keys")
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo <> _hi").select("key")
-    runs = keys.distinct().join(shared, "key").groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("key", "span_start", "span_end")).alias("runs"))
+    runs = keys.join(shared, "key").groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("key", "span_start", "span_end")).alias("runs"))
     text = docs.select("doc_id", "text_id", "text").join(runs, ["doc_id", "text_id"])
     slices = staged(text.mapInPandas(_slices, "key bigint, doc_id bigint, text_id bigint, span_start bigint, slice string").withColumn("slice_id", F.unhex(F.md5("slice"))), "slices")
 
