@@ -2,10 +2,10 @@ import random
 
 import pytest
 
-from weft.llm.boilerplate import Page, labels_of, train
+from weft.llm.boilerplate import NoLabels, Page, labels_of, train
 from weft.llm.main_content import clean_summaries, fit, judge_pages, main_blocks
 from weft.llm.pages import parse, site_name, title_of
-from weft.llm.prose import EXPECTED, expected, fit_compression, language
+from weft.llm.prose import EXPECTED, MARKUP, Yardstick, fit_yardstick, measure, shape
 from weft.llm.spam import is_spam, stuffed
 
 NOUNS = "harbor mill tide bridge garden tower river market forest engine lamp valley".split()
@@ -89,30 +89,78 @@ def test_held_out_sites():
     assert total > 200 and wrong <= 0.02 * total
 
 
-def test_without_labels_sentences_are_kept():
-    m = train([])
-    p = Page("<p>This sentence stays here.<li><a href=x>Menu</a>", None)
-    q = m.marginals(p)
-    assert [q[i] > 0.5 for i in p.leaves] == [True, False]
+def test_without_labels_nothing_is_learnt(spark):
+    with pytest.raises(NoLabels):
+        train([("<p>This sentence stays here.<li><a href=x>Menu</a>", None)])
+    pages = spark.createDataFrame([("a", None, "<p>x")], "doc_id string, url string, html string")
+    with pytest.raises(NoLabels):
+        judge_pages(pages)
+    assert judge_pages(pages.where("html is null")).count() == 0
+    assert judge_pages(pages, train([(h, u) for _, u, h in corpus(40)])).count() == 1
+
+
+def one(text):
+    return stuffed([("p", text, False)])
 
 
 def test_stuffed():
-    assert stuffed("bargain lottery, bargain lottery, bargain routers, bargain lottery")[1]
-    assert stuffed("fast movers. original bracelets. fast movers. original bracelets. fast movers.")[1]
-    assert stuffed("Looking for ladders? trusted ladders, top ladders, white ladders and ladders tents ladders top here.")[1]
-    assert stuffed("silver wheel | navy trail | black trail | blue district | white trail")[1]
-    assert not stuffed("Notebook: Because the magnet was distant, the pilot moved 22 of the wheel records to the county.")[1]
-    assert not stuffed("No sailor forgets the pagesupen of Nojenebol. In 1997 a pagesupen stood in the town. The farmer reaches every pagesupen twice.")[1]
-    assert not stuffed("Wir haben 23 Wege geprüft, doch nur der tiefe Speicher ordnet den Spiegel für die Gäste.")[1]
-    assert stuffed("") == (0, False) and stuffed("...") == (0, False) and language([]) == ("en", 0.0)
-    assert language("der Hafen und die Brücke sind alt".lower().split())[0] == "de"
-
-
-def test_expected_compression():
+    assert one("bargain lottery, bargain lottery, bargain routers, bargain lottery")
+    assert one("fast movers. original bracelets. fast movers. original bracelets. fast movers.")
+    assert one("Looking for ladders? trusted ladders, top ladders, white ladders and ladders tents ladders top here.")
+    assert one("silver wheel | navy trail | black trail | blue district | white trail")
+    assert one("poker bikes wholesale cruises affordable watches movers ladders hotels locksmiths instant outlet kayaks kettles slots laptops gloves lottery mattresses parkas")
+    assert stuffed([("li", f"{a} {b}", True) for a, b in zip(NOUNS, NOUNS[3:])])
+    assert not one("Notebook: Because the magnet was distant, the pilot moved 22 of the wheel records to the county.")
+    assert not one("No sailor forgets the pagesupen of Nojenebol. In 1997 a pagesupen stood in the town. The farmer reaches every pagesupen twice.")
+    assert not stuffed([("li", "The harbor near the mill was opened for the tide.", False)] * 30)
+    assert not one("cheap lamps") and not one("") and not one("...") and not stuffed([])
+    rng = random.Random(4)
+    assert not stuffed([("p", " ".join(sentence(rng) for _ in range(3)), False), *[("td", f"{n} {i}", False) for i, n in enumerate(NOUNS[:5])]])
+
+
+# Honest prose in languages and scripts that no labelled page is in.
+PROSE = [
+    "Старый мост у реки был построен в прошлом веке, и с тех пор его ремонтировали всего два раза. Жители города часто гуляют здесь вечером, потому что отсюда хорошо видно закат. Весной вода поднимается почти до самых перил, но сторож говорит, что бояться нечего.",
+    "Stary most nad rzeką zbudowano w ubiegłym wieku i od tego czasu remontowano go tylko dwa razy. Mieszkańcy często spacerują tu wieczorem, bo dobrze widać stąd zachód słońca. Wiosną woda sięga prawie do poręczy, ale strażnik mówi, że nie ma się czego bać.",
+    "Nehrin kıyısındaki eski köprü geçen yüzyılda yapıldı ve o zamandan beri yalnızca iki kez onarıldı. Kasaba halkı akşamları sık sık burada yürür, çünkü gün batımı buradan çok güzel görünür. İlkbaharda su neredeyse korkuluğa kadar yükselir, ama bekçi korkacak bir şey olmadığını söyler.",
+    "河边的老桥建于上个世纪，从那时起只修过两次。镇上的居民傍晚常到这里散步，因为从这里看日落非常漂亮。春天的时候，河水几乎涨到栏杆，但看守的人说没有什么可怕的。",
+    "川のそばの古い橋は前の世紀に建てられ、それから二度しか直されていない。町の人々は夕方によくここを散歩する。ここからは夕日がとてもきれいに見えるからだ。",
+    "Wir haben 23 Wege geprüft, doch nur der tiefe Speicher ordnet den Spiegel für die Gäste. Niemand im Dorf hatte je eine so alte Brücke gesehen.",
+    "Il vecchio ponte sul fiume fu costruito nel secolo scorso e da allora è stato riparato solo due volte. Gli abitanti vi passeggiano spesso la sera, perché da qui si vede bene il tramonto.",
+    "Vanha silta joen yli rakennettiin viime vuosisadalla, ja sen jälkeen sitä on korjattu vain kahdesti. Asukkaat kävelevät täällä usein iltaisin, koska auringonlasku näkyy täältä hyvin.",
+]
+
+
+@pytest.mark.parametrize("text", PROSE)
+def test_prose_in_other_languages_is_honest(text, model):
+    for yard in (Yardstick(), model.prose):
+        assert not stuffed([("p", text, False)], yard)
+        assert not stuffed([("p", s.strip() + ".", False) for s in text.split(". ")], yard)
+
+
+def test_stuffing_in_other_languages():
+    assert one("купить дешево телефон, телефон купить недорого, телефон цена купить, купить телефон скидка, телефон дешево купить сейчас, купить телефон")
+    assert one("günstige Uhren, Uhren billig, Uhren kaufen, billige Uhren Angebote, Uhren Sale, beste Uhren günstig, Uhren online kaufen, Uhren Rabatt")
+
+
+def test_without_compression_there_is_no_spam(monkeypatch):
+    """Redundancy is required: with a compressor that sees none, punctuation alone makes no case."""
+    from weft.llm import prose
+
+    monkeypatch.setattr(prose, "packed_size", lambda raw: 10 * len(raw))
+    assert not one("bargain lottery, bargain lottery, bargain routers, bargain lottery") and not one("silver wheel | navy trail | black trail | blue district | white trail")
+
+
+def test_yardstick():
     rng = random.Random(2)
-    fits = fit_compression(" ".join(sentence(rng) for _ in range(rng.randrange(1, 5))) for _ in range(600))
-    assert fits["de"] == EXPECTED["de"] and fits["en"] != EXPECTED["en"] and 0.2 < expected(300, "en", fits) < expected(60, "en", fits) < 1.3
-    assert expected(5000, "fr") == expected(400, "fr") and fit_compression([]) == EXPECTED
+    pages = [measure([("p", " ".join(sentence(rng) for _ in range(rng.randrange(1, 9))), False)]) for _ in range(400)]
+    stuffing = [measure([("p", "cheap lamps, best lamps; " * rng.randrange(5, 40), False)]) for _ in range(40)]
+    yard = fit_yardstick(pages + stuffing)
+    assert yard.fits[""][MARKUP] != EXPECTED[MARKUP] and {"the"} & set(yard.fits)
+    ratios = sorted(yard.ratios(m)[MARKUP] for m in pages)
+    assert 0.95 < ratios[200] < 1.05 and all(yard.ratios(m)[MARKUP] < 0.6 for m in stuffing)
+    assert fit_yardstick([]).fits == {"": EXPECTED} and Yardstick().ratios(measure([])) == (1.0, 1.0, 1.0)
+    assert shape("The 3 mills, Ünal's oak\nx") == "A0b,Ba\na"
 
 
 def test_refrains_and_short_pages_are_honest(model):

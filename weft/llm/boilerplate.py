@@ -17,7 +17,7 @@ from zlib import crc32
 import numpy as np
 
 from weft.llm.pages import Node, parse, site_name, title_of
-from weft.llm.prose import EXPECTED, fit_compression
+from weft.llm.prose import Yardstick, fit_yardstick, measure
 
 DIM = 1 << 14
 #: Bound of the labelled sample: pages, and characters of one page.
@@ -111,6 +111,10 @@ def surface_features(key: tuple) -> list[int]:
     return [_h(x) for x in names]
 
 
+class NoLabels(ValueError):
+    """There is nothing to learn from."""
+
+
 @dataclass
 class Model:
     """Weights of the nodes' evidence, and the potentials that tie a parent's label to a block's and to an element's."""
@@ -120,7 +124,7 @@ class Model:
     block_tie: tuple[tuple[float, float], tuple[float, float]]
     element_tie: tuple[tuple[float, float], tuple[float, float]]
     #: What honest prose compresses to, by language.
-    prose: dict[str, tuple[float, float]] = field(default_factory=lambda: dict(EXPECTED))
+    prose: Yardstick = field(default_factory=Yardstick)
 
     def __post_init__(self) -> None:
         self.lists = self.weights.tolist()
@@ -215,12 +219,10 @@ def labels_of(pages: list[Page]) -> list[list[int]]:
 
 
 def train(sample: list[tuple[str, str | None]], rounds: int = 400, ridge: float = 1e-6) -> Model:
-    """The model from (html, url) of labelled pages; without any, one by which every unlinked sentence is content."""
+    """The model from (html, url) of labelled pages; pages without a label are passed over, and at least one must have one."""
     pages = [p for p in (Page(h, u) for h, u in sample) if any("main" in p.nodes[i].zones for i in p.leaves)]
     if not pages:
-        w = np.zeros(DIM)
-        w[_h("ek10")], w[_h("L")] = 4.0, -2.0
-        return Model(w, frozenset(), ((0.0, 0.0), (0.0, 0.0)), ((0.0, 0.0), (0.0, 0.0)))
+        raise NoLabels("no page has its main part named: train on other pages, and hand the model over")
     labels = labels_of(pages)
     sites = defaultdict(set)
     for p in pages:
@@ -263,5 +265,6 @@ def train(sample: list[tuple[str, str | None]], rounds: int = 400, ridge: float
         joint /= joint.sum()
         return tuple(tuple(float(x) for x in q) for q in np.log(joint / joint.sum(1, keepdims=True) / joint.sum(0, keepdims=True)))
 
-    honest = (p.nodes[i].text for p, y in zip(pages, labels) for i in p.leaves if y[i])
-    return Model(w, standing, tie(ties[True]), tie(ties[False]), fit_compression(honest))
+    content = ([n for i in p.leaves if y[i] and (n := p.nodes[i]).tag[0] != "h"] for p, y in zip(pages, labels))
+    yard = fit_yardstick(measure([(n.tag, n.text, 2 * n.linked > len(n.text)) for n in own]) for own in content)
+    return Model(w, standing, tie(ties[True]), tie(ties[False]), yard)

@@ -8,13 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.boilerplate import TRAIN_CHARS, TRAIN_PAGES, Model, Page, train
+from weft.llm.boilerplate import TRAIN_CHARS, TRAIN_PAGES, Model, NoLabels, Page, train
 from weft.llm.spam import is_spam
 from weft.operators.skew import balanced_join, heavy_hitters
 
 
 def fit(pages: DataFrame, most: int = TRAIN_PAGES) -> Model:
-    """The model of the labelled pages: at most ``most`` of them, of at most TRAIN_CHARS characters, chosen by a hash of doc_id."""
+    """The model of the labelled pages: at most ``most`` of them, of at most TRAIN_CHARS characters, chosen by a hash of doc_id. Without any it raises NoLabels."""
     labelled = pages.where(F.col("html").rlike("(?i)<main[\\s>]") & (F.length("html") <= TRAIN_CHARS)).select("doc_id", "url", "html")
     total = labelled.count()
     # Above the bound only pages below a threshold of the hash are looked at, so that all tasks together return about as many as are taken.
@@ -40,15 +40,23 @@ def _judge(shared):
     return run
 
 
+JUDGED = "doc_id string, spam boolean, blocks array<int>, main_text string"
+
+
 def judge_pages(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, spam, blocks array<int>, main_text) for each row of ``pages``; the blocks of main content and their text.
 
     Spam pages have no main content. Rows without doc_id or html are left out; an empty page has no blocks. Rows repeated under one
-    doc_id give repeated rows.
+    doc_id give repeated rows. Without ``model`` one is trained on those of the pages that are labelled; if none is, and there are pages, NoLabels is raised.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(model or fit(pages))
     rows = pages.where("doc_id is not null and html is not null").select("doc_id", "url", "html")
-    return rows.mapInPandas(_judge(shared), "doc_id string, spam boolean, blocks array<int>, main_text string")
+    try:
+        model = model or fit(pages)
+    except NoLabels:
+        if not rows.isEmpty():
+            raise
+        return pages.sparkSession.createDataFrame([], JUDGED)
+    return rows.mapInPandas(_judge(pages.sparkSession.sparkContext.broadcast(model)), JUDGED)
 
 
 def main_blocks(judged: DataFrame, page_blocks: DataFrame) -> DataFrame:

@@ -1,64 +1,140 @@
-"""Measures of prose: the language of words, and what text of a length and language compresses to."""
+"""What texts compress to, set against what prose of their length and language does.
+
+Three measures, each the compressed size over a length: blocks with their markup (lists repeat tags and words), the shape of the text (each word one sign for its
+length and case, so a list of ever different words is the same sign again and again, while in sentences short and long words alternate), and each sentence by itself (a keyword
+repeated within it). A Yardstick holds what honest pages have, fitted on labelled pages. No list of words is used: languages are told apart by the short words that
+are commonest in the labelled pages.
+"""
 
 from __future__ import annotations
 
 import math
 import re
 import zlib
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 
-# The commonest function words of the languages that a text is tried against.
-FUNCTION_WORDS = {
-    "en": "a after although an and are as at be because before between but by can every for from had has have he her his how if in into is it its neither no nobody nor not of on once one only or our she so than that the their then there they this to was were what when where which while who will with without would yet you your".split(),
-    "de": "aber als am an auch auf aus bei das dass dem den der des die doch ein eine einem einen einer er es für gegen hat hinter ich ihr im in ist jede jeden kein mehr mit nach neben nicht niemand noch nur obwohl oder ohne seit sich sie sind so über um und von war wenn wie wir wird zu zum zur".split(),
-    "fr": "à au aux avec ce ces cette chaque comme dans de depuis des devant du elle en entre est et il ils je la le les leur lorsque mais ne nous on ou où par pas personne plus pour quand que qui sa sans se ses si son sous sur un une vous".split(),
-    "es": "a al ante como con cuando de del desde después detrás donde el ella en entre es esta está este hasta la las lo los mas más mientras muy nadie ni no o para pero por que quien se según si sin sobre su sus tras un una y ya".split(),
-}
-_SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-_STOP = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*(?=\s|$)")
-
-
-def language(words: list[str]) -> tuple[str, float]:
-    """The language whose function words are most frequent among ``words`` (lower case), and their share."""
-    if not words:
-        return "en", 0.0
-    return max(((k, sum(w in s for w in words) / len(words)) for k, s in _SETS.items()), key=lambda x: x[1])
-
-
-def compression(text: str) -> float:
-    """Compressed over plain size, without the fixed cost of an empty text."""
-    raw = text.encode()
-    return max(0.0, (len(zlib.compress(raw, 6)) - 8) / max(1, len(raw)))
-
-
-#: What prose of 30 to 400 bytes compresses to, as a + b * ln(bytes), by language; longer texts are held against that of 400 bytes. Used for
-#: languages in which the labelled pages have fewer than LEAST_BLOCKS blocks; made by ``fit_compression`` from sentences of invented test documents.
-EXPECTED = {"en": (1.676, -0.189), "de": (1.862, -0.211), "fr": (1.943, -0.234), "es": (1.965, -0.238)}
-LEAST_BLOCKS, SHORT, LONG = 200, 30, 400
-
-
-def expected(size: int, lang: str, fits: dict[str, tuple[float, float]] | None = None) -> float:
-    """What prose of ``size`` bytes compresses to."""
-    a, b = (fits or EXPECTED).get(lang) or EXPECTED[lang]
-    return a + b * math.log(min(max(size, SHORT), LONG))
-
-
-def fit_compression(texts: Iterable[str]) -> dict[str, tuple[float, float]]:
-    """EXPECTED anew from honest blocks: those that end with a sentence mark and of whose words a quarter are function words."""
-    points: dict[str, list[tuple[float, float]]] = {}
-    for t in texts:
-        size = len(t.encode())
-        if SHORT <= size <= LONG and _STOP.search(t):
-            lang, function = language(_WORD.findall(t.lower()))
-            if function >= 0.25:
-                points.setdefault(lang, []).append((math.log(size), compression(t)))
-    out = dict(EXPECTED)
-    for lang, p in points.items():
-        x, y = np.array(p).T
-        if len(p) >= LEAST_BLOCKS and np.ptp(x) > 0.5:
-            b, a = np.polyfit(x, y, 1)
-            out[lang] = (float(a), float(b))
-    return out
+# Letters of scripts without blanks between words are words by themselves.
+_WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_]+(?:['’][^\W_]+)*")
+_SIGN = re.compile(_WORD.pattern + r"|[^\w\s]|\n")
+_STOP = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？]+[”’」』）]*")
+_CUT = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|(?<=[。！？])|\n")
+
+#: Kinds of measures, in this order in all tuples.
+MARKUP, SHAPE, SENTENCE = range(3)
+#: Labelled pages that a language needs for a fit of its own, and short words that may mark one.
+LEAST_PAGES, MARKERS, SHORT = 100, 40, 4
+#: Words from which a stretch that ends with a mark is a sentence; share of the expected size below which it is redundant in itself.
+SENTENCE_WORDS, LIVE = 4, 0.85
+
+
+def squeezed(text: str) -> bytes:
+    """One byte a character, so that scripts compare by characters and not by the length of their encoding."""
+    return text.encode() if text.isascii() else bytes(c if c < 128 else 128 + c % 128 for c in map(ord, text))
+
+
+def packed_size(raw: bytes) -> int:
+    """The compressed size, without the fixed cost of an empty text."""
+    return max(0, len(zlib.compress(raw, 6)) - 8)
+
+
+def shape(text: str) -> str:
+    """One sign a word: its case and whether it has more than three letters, or that it is a number; other signs and line ends stay."""
+    out = []
+    for w in _SIGN.findall(text):
+        out.append(w if not w[0].isalnum() else "0" if w.isdigit() else ("A" if len(w) < 4 else "B") if w[0].isupper() else "a" if len(w) < 4 else "b")
+    return "".join(out)
+
+
+@dataclass
+class Measures:
+    """Of the blocks of one page: (length, compressed size) of markup and shape, and of each sentence (length, compressed size, words, whether a mark ends it)."""
+
+    words: int
+    whole: tuple[tuple[int, int], tuple[int, int]]
+    sentences: list[tuple[int, int, int, bool]]
+    common: list[str]
+
+
+def measure(blocks: Sequence[tuple[str, str, bool]]) -> Measures:
+    """Of blocks (tag, text, mostly linked)."""
+    text = "\n".join(t for _, t, _ in blocks)
+    words = _WORD.findall(text)
+    markup = squeezed("\n".join(f"<{tag}><a>{t}</a>" if linked else f"<{tag}>{t}" for tag, t, linked in blocks))
+    sentences = [(len(s), packed_size(squeezed(s)), len(_WORD.findall(s)), bool(_STOP.search(s))) for s in _CUT.split(text) if s and not s.isspace()]
+    common = [w for w, _ in Counter(x.lower() for x in words if len(x) <= SHORT and not x.isdigit()).most_common(8)]
+    return Measures(len(words), ((len(markup), packed_size(markup)), (len(words), packed_size(shape(text).encode()))), sentences, common)
+
+
+Fit = tuple[tuple[float, ...], float, float]
+
+#: What English prose has, used where too few pages are labelled; made by ``fit_yardstick`` from pages of invented test data. Coefficients of a polynomial
+#: in ln(length), and the lengths between which it holds; beyond them the border's value is taken.
+EXPECTED: tuple[Fit, Fit, Fit] = (((0.0222, -0.4033, 2.2161), 44, 2679), ((-0.011, -0.1049, 1.273), 8, 362), ((-0.1008, 0.6152, 0.0846), 12, 112))
+
+
+def _expected(f: Fit, length: float) -> float:
+    coefficients, least, most = f
+    return max(0.02, float(np.polyval(coefficients, math.log(min(max(length, least), most)))))
+
+
+@dataclass
+class Yardstick:
+    """Fits of the three measures by language marker, and under '' for all together."""
+
+    fits: dict[str, tuple[Fit, Fit, Fit]] = field(default_factory=lambda: {"": EXPECTED})
+    markers: list[str] = field(default_factory=list)
+
+    def language(self, common: Sequence[str]) -> str:
+        """The marker that is commonest in a text, if it has a fit of its own; else ''."""
+        return next((w for w in common if w in self.markers and w in self.fits), "")
+
+    def ratios(self, m: Measures) -> tuple[float, float, float]:
+        """The three measures over what prose has; 1 is usual. A text without words has 1."""
+        if not m.words:
+            return 1.0, 1.0, 1.0
+        f = self.fits[self.language(m.common)]
+        markup, form = (z / n / _expected(f[k], n) for k, (n, z) in zip((MARKUP, SHAPE), m.whole))
+        return markup, form, sum(z for _, z, _, _ in m.sentences) / sum(n * _expected(f[SENTENCE], n) for n, _, _, _ in m.sentences)
+
+    def live(self, m: Measures) -> float:
+        """The share of a text's words that stand in sentences: ended by a mark, long enough, and not redundant by themselves."""
+        f = self.fits[self.language(m.common)][SENTENCE]
+        return sum(w for n, z, w, ended in m.sentences if ended and w >= SENTENCE_WORDS and z >= LIVE * n * _expected(f, n)) / max(1, m.words)
+
+
+def _fitted(points: list[tuple[float, float]]) -> Fit | None:
+    """A parabola through (length, ratio); what lies far from it is left out and the rest fitted again, for some labelled pages are stuffed."""
+    if len(points) < LEAST_PAGES:
+        return None
+    length, y = np.array(points).T
+    x, keep = np.log(length), np.ones(len(points), bool)
+    for _ in range(5):
+        if keep.sum() < LEAST_PAGES or np.ptp(x[keep]) < 0.5:
+            return None
+        c = np.polyfit(x[keep], y[keep], 2)
+        r = y / np.maximum(np.polyval(c, x), 0.02)
+        keep = (r > 0.85) & (r < 1.25)
+    return tuple(float(v) for v in c), float(np.quantile(length[keep], 0.005)), float(np.quantile(length[keep], 0.995))
+
+
+def fit_yardstick(pages: Iterable[Measures]) -> Yardstick:
+    """From the main content of labelled pages; measures with too few points keep EXPECTED."""
+    pages = [m for m in pages if m.words >= 8]
+    often = Counter(w for m in pages for w in set(m.common[:3]))
+    markers = [w for w, _ in often.most_common(MARKERS)]
+    groups: dict[str, list[Measures]] = {"": pages}
+    for m in pages:
+        if own := next((w for w in m.common if w in markers), ""):
+            groups.setdefault(own, []).append(m)
+
+    def fits(of: list[Measures], other: tuple) -> tuple:
+        whole = [_fitted([(m.whole[k][0], m.whole[k][1] / m.whole[k][0]) for m in of]) for k in (MARKUP, SHAPE)]
+        whole.append(_fitted([(n, z / n) for m in of for n, z, _, ended in m.sentences if ended and n >= 12]))
+        return tuple(f or o for f, o in zip(whole, other))
+
+    pooled = fits(pages, EXPECTED)
+    return Yardstick({"": pooled} | {k: fits(g, pooled) for k, g in groups.items() if k and len(g) >= LEAST_PAGES}, markers)

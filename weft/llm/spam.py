@@ -1,63 +1,46 @@
 """Pages of repeated keywords, bare link lists or product tags instead of sentences.
 
-Each block of a page's own content is compressed; the ratio is set against what a text of its length and language compresses to.
-Extreme redundancy raises suspicion; few sentence marks in proportion to the words confirm it. A page is
-spam if the greater part of its words stands in such blocks.
+A page's own content is compressed block-wise, as a whole with its markup, in its shape and sentence by sentence, and set against what prose of that length and
+language compresses to. Extreme redundancy in one of these raises suspicion. It is confirmed by the punctuation of sentences: if the lesser part of
+the words stands in stretches that a mark ends and that are not redundant by themselves, the page is spam.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Sequence
 
 from weft.llm.boilerplate import Page
-from weft.llm.prose import _SETS, _STOP, _WORD, compression, expected, language
+from weft.llm.prose import Yardstick, measure
 
+#: Ratios to what prose has below which a page is extremely redundant: with markup, in shape, sentence by sentence.
+REDUNDANT = (0.8, 0.8, 0.92)
+#: Share of words in live sentences from which a page is one of sentences.
+SENTENCES = 0.65
 
-#: Normalised compression below which a block is extremely redundant; words per sentence mark from which marks are few;
-#: share of function words under which words are no sentence; uses of one word per sentence that make it a stuffed keyword.
-REDUNDANT, FEW_MARKS, FUNCTION, KEYWORD = 0.75, 40, 0.2, 2
-#: Words that must stand in such blocks, so that a merely short page is no case.
-LEAST_WORDS = 20
 
+def stuffed(blocks: Sequence[tuple[str, str, bool]], yard: Yardstick | None = None) -> bool:
+    """Whether blocks (tag, text, mostly linked) are stuffing rather than sentences: extremely redundant, and confirmed by low density of sentence marks.
 
-def stuffed(text: str, fits: dict[str, tuple[float, float]] | None = None) -> tuple[int, bool]:
-    """The words of a block, and whether it is stuffing rather than sentences.
-
-    Suspicious is a block that compresses far better than prose of its length and language, that repeats one word again and again within a sentence,
-    or that lacks the function words that sentences need (lists without repetition compress like prose, so redundancy alone can't find them).
-    It is confirmed by few sentence marks for its words, or by one word's repetition within the sentences. A mark counts if it ends four
-    words or more of which one is a function word. An empty block has no words.
+    A refrain is redundant, but its sentences are sentences; a few lines without a mark that are not redundant are merely short. Blocks without words are no stuffing.
     """
-    words = _WORD.findall(text.lower())
-    if not words:
-        return 0, False
-    lang, function = language(words)
-    stops = sum(len(w := _WORD.findall(x)) >= 4 and not _SETS[lang].isdisjoint(w) for x in _STOP.split(text.lower())) if _STOP.search(text) else 0
-    content = Counter(w for w in words if w not in _SETS[lang] and not w.isdigit())
-    top = max(content.values(), default=0)
-    keyword = top >= 3 and top >= KEYWORD * max(1, stops)
-    few_marks = stops == 0 or len(words) > FEW_MARKS * stops
-    size = len(text.encode())
-    redundant = len(words) >= 8 and compression(text) < REDUNDANT * expected(size, lang, fits)
-    return len(words), (few_marks and (redundant or keyword or function < FUNCTION)) or (keyword and function < 0.5)
-
-
-def is_spam(page: Page, marginals: list[float], fits: dict[str, tuple[float, float]] | None = None) -> bool:
-    """Whether the greater part of the page's own content is stuffing; headings don't count.
-
-    Own are the blocks that the page model takes for main content. Where it leaves (almost) none, long unlinked blocks that
-    are no standing phrases are taken instead, for the model can be at a loss with pages that have no sentence.
+    yard = yard or Yardstick()
+    m = measure(blocks)
+    return m.words > 0 and any(r < most for r, most in zip(yard.ratios(m), REDUNDANT)) and yard.live(m) < SENTENCES
+
+
+def own_blocks(page: Page, marginals: list[float]) -> list[tuple[str, str, bool]]:
+    """The page's own content: the blocks that the page model takes for main content, without headings.
+
+    Where that is less than a sentence or two, long unlinked blocks that are no standing phrases are taken too, for the model can be at a loss with pages that have no sentence.
     """
     own = [i for i in page.leaves if marginals[i] > 0.5]
-    if sum(page.below[i][6] for i in own) < LEAST_WORDS:
-        own += [i for i in page.leaves if marginals[i] <= 0.5 and page.below[i][6] >= LEAST_WORDS and page.nodes[i].linked == 0 and not page.below[i][5]]
-    total = bad = 0
-    for i in own:
-        n = page.nodes[i]
-        if re.fullmatch(r"h[1-6]", n.tag) or n.text == page.title:
-            continue
-        words, stuffing = stuffed(n.text, fits)
-        total += words
-        bad += words * stuffing
-    return bad >= LEAST_WORDS and 2 * bad > total
+    if sum(page.below[i][6] for i in own) < 20:
+        own += [i for i in page.leaves if marginals[i] <= 0.5 and page.below[i][6] >= 20 and page.nodes[i].linked == 0 and not page.below[i][5]]
+    nodes = [page.nodes[i] for i in own]
+    return [(n.tag, n.text, 2 * n.linked > len(n.text)) for n in nodes if not re.fullmatch(r"h[1-6]", n.tag) and n.text != page.title]
+
+
+def is_spam(page: Page, marginals: list[float], yard: Yardstick | None = None) -> bool:
+    """Whether the page's own content is stuffing for its greater part."""
+    return stuffed(own_blocks(page, marginals), yard)
