@@ -5,7 +5,7 @@ import pytest
 from weft.llm.boilerplate import NoLabels, Page, labels_of, train
 from weft.llm.main_content import clean_summaries, fit, judge_pages, main_blocks
 from weft.llm.pages import parse, site_name, title_of
-from weft.llm.prose import EXPECTED, MARKUP, Yardstick, fit_yardstick, measure, shape
+from weft.llm.prose import EXPECTED, MARKUP, Measures, Yardstick, fit_yardstick, shape
 from weft.llm.spam import is_spam, stuffed
 
 NOUNS = "harbor mill tide bridge garden tower river market forest engine lamp valley".split()
@@ -153,13 +153,13 @@ def test_without_compression_there_is_no_spam(monkeypatch):
 
 def test_yardstick():
     rng = random.Random(2)
-    pages = [measure([("p", " ".join(sentence(rng) for _ in range(rng.randrange(1, 9))), False)]) for _ in range(400)]
-    stuffing = [measure([("p", "cheap lamps, best lamps; " * rng.randrange(5, 40), False)]) for _ in range(40)]
+    pages = [Measures([("p", " ".join(sentence(rng) for _ in range(rng.randrange(1, 9))), False)]) for _ in range(400)]
+    stuffing = [Measures([("p", "cheap lamps, best lamps; " * rng.randrange(5, 40), False)]) for _ in range(40)]
     yard = fit_yardstick(pages + stuffing)
     assert yard.fits[""][MARKUP] != EXPECTED[MARKUP] and {"the"} & set(yard.fits)
     ratios = sorted(yard.ratios(m)[MARKUP] for m in pages)
     assert 0.95 < ratios[200] < 1.05 and all(yard.ratios(m)[MARKUP] < 0.6 for m in stuffing)
-    assert fit_yardstick([]).fits == {"": EXPECTED} and Yardstick().ratios(measure([])) == (1.0, 1.0, 1.0)
+    assert fit_yardstick([]).fits == {"": EXPECTED} and Yardstick().ratios(Measures([])) == (1.0, 1.0, 1.0)
     assert shape("The 3 mills, Ünal's oak\nx") == "A0b,Ba\na"
 
 

@@ -17,7 +17,7 @@ from zlib import crc32
 import numpy as np
 
 from weft.llm.pages import Node, parse, site_name, title_of
-from weft.llm.prose import Yardstick, fit_yardstick, measure
+from weft.llm.prose import Measures, Yardstick, fit_yardstick
 
 DIM = 1 << 14
 #: Bound of the labelled sample: pages, and characters of one page.
@@ -266,5 +266,5 @@ def train(sample: list[tuple[str, str | None]], rounds: int = 400, ridge: float
         return tuple(tuple(float(x) for x in q) for q in np.log(joint / joint.sum(1, keepdims=True) / joint.sum(0, keepdims=True)))
 
     content = ([n for i in p.leaves if y[i] and (n := p.nodes[i]).tag[0] != "h"] for p, y in zip(pages, labels))
-    yard = fit_yardstick(measure([(n.tag, n.text, 2 * n.linked > len(n.text)) for n in own]) for own in content)
+    yard = fit_yardstick(Measures([(n.tag, n.text, 2 * n.linked > len(n.text)) for n in own]) for own in content)
     return Model(w, standing, tie(ties[True]), tie(ties[False]), yard)

@@ -12,8 +12,9 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 
@@ -49,24 +50,27 @@ def shape(text: str) -> str:
     return "".join(out)
 
 
-@dataclass
 class Measures:
-    """Of the blocks of one page: (length, compressed size) of markup and shape, and of each sentence (length, compressed size, words, whether a mark ends it)."""
+    """Of the blocks (tag, text, mostly linked) of one page. What needs compression is done when it is asked for."""
 
-    words: int
-    whole: tuple[tuple[int, int], tuple[int, int]]
-    sentences: list[tuple[int, int, int, bool]]
-    common: list[str]
+    def __init__(self, blocks: Sequence[tuple[str, str, bool]]):
+        self.blocks, self.text = blocks, "\n".join(t for _, t, _ in blocks)
+        words = _WORD.findall(self.text)
+        self.words = len(words)
+        #: Its commonest short words.
+        self.common = [w for w, _ in Counter(x.lower() for x in words if len(x) <= SHORT and not x.isdigit()).most_common(8)]
 
+    @cached_property
+    def whole(self) -> tuple[tuple[int, int], tuple[int, int]]:
+        """(length, compressed size) of the markup and of the shape."""
+        markup = squeezed("\n".join(f"<{tag}><a>{t}</a>" if linked else f"<{tag}>{t}" for tag, t, linked in self.blocks))
+        return (len(markup), packed_size(markup)), (self.words, packed_size(shape(self.text).encode()))
 
-def measure(blocks: Sequence[tuple[str, str, bool]]) -> Measures:
-    """Of blocks (tag, text, mostly linked)."""
-    text = "\n".join(t for _, t, _ in blocks)
-    words = _WORD.findall(text)
-    markup = squeezed("\n".join(f"<{tag}><a>{t}</a>" if linked else f"<{tag}>{t}" for tag, t, linked in blocks))
-    sentences = [(len(s), packed_size(squeezed(s)), len(_WORD.findall(s)), bool(_STOP.search(s))) for s in _CUT.split(text) if s and not s.isspace()]
-    common = [w for w, _ in Counter(x.lower() for x in words if len(x) <= SHORT and not x.isdigit()).most_common(8)]
-    return Measures(len(words), ((len(markup), packed_size(markup)), (len(words), packed_size(shape(text).encode()))), sentences, common)
+    def sentences(self) -> Iterator[tuple[int, int, int, bool]]:
+        """(length, compressed size, words, whether a mark ends it) of each stretch between marks or line ends."""
+        for s in _CUT.split(self.text):
+            if s and not s.isspace():
+                yield len(s), packed_size(squeezed(s)), len(_WORD.findall(s)), bool(_STOP.search(s))
 
 
 Fit = tuple[tuple[float, ...], float, float]
@@ -77,8 +81,9 @@ EXPECTED: tuple[Fit, Fit, Fit] = (((0.0222, -0.4033, 2.2161), 44, 2679), ((-0.01
 
 
 def _expected(f: Fit, length: float) -> float:
-    coefficients, least, most = f
-    return max(0.02, float(np.polyval(coefficients, math.log(min(max(length, least), most)))))
+    (a, b, c), least, most = f
+    x = math.log(min(max(length, least), most))
+    return max(0.02, (a * x + b) * x + c)
 
 
 @dataclass
@@ -98,12 +103,18 @@ class Yardstick:
             return 1.0, 1.0, 1.0
         f = self.fits[self.language(m.common)]
         markup, form = (z / n / _expected(f[k], n) for k, (n, z) in zip((MARKUP, SHAPE), m.whole))
-        return markup, form, sum(z for _, z, _, _ in m.sentences) / sum(n * _expected(f[SENTENCE], n) for n, _, _, _ in m.sentences)
+        sizes = [(z, n * _expected(f[SENTENCE], n)) for n, z, _, _ in m.sentences()]
+        return markup, form, sum(z for z, _ in sizes) / sum(e for _, e in sizes)
 
-    def live(self, m: Measures) -> float:
-        """The share of a text's words that stand in sentences: ended by a mark, long enough, and not redundant by themselves."""
-        f = self.fits[self.language(m.common)][SENTENCE]
-        return sum(w for n, z, w, ended in m.sentences if ended and w >= SENTENCE_WORDS and z >= LIVE * n * _expected(f, n)) / max(1, m.words)
+    def has_sentences(self, m: Measures, share: float) -> bool:
+        """Whether ``share`` of a text's words stand in sentences: ended by a mark, long enough, and not redundant by themselves."""
+        f, live = self.fits[self.language(m.common)][SENTENCE], 0
+        for n, z, w, ended in m.sentences():
+            if ended and w >= SENTENCE_WORDS and z >= LIVE * n * _expected(f, n):
+                live += w
+                if live >= share * m.words:
+                    return True
+        return False
 
 
 def _fitted(points: list[tuple[float, float]]) -> Fit | None:
@@ -133,7 +144,7 @@ def fit_yardstick(pages: Iterable[Measures]) -> Yardstick:
 
     def fits(of: list[Measures], other: tuple) -> tuple:
         whole = [_fitted([(m.whole[k][0], m.whole[k][1] / m.whole[k][0]) for m in of]) for k in (MARKUP, SHAPE)]
-        whole.append(_fitted([(n, z / n) for m in of for n, z, _, ended in m.sentences if ended and n >= 12]))
+        whole.append(_fitted([(n, z / n) for m in of for n, z, _, ended in m.sentences() if ended and n >= 12]))
         return tuple(f or o for f, o in zip(whole, other))
 
     pooled = fits(pages, EXPECTED)
