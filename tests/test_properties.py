@@ -16,7 +16,7 @@ def corpus(spark):
     rng = random.Random(11)
     docs = {f"d{i:02}": [rng.choice(WORDS) for _ in range(rng.randrange(25))] for i in range(40)}
     df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id string, text string")
-    build = lambda x: index.term_weights(index.build_postings(index.body_hits(x, F.col("text"))), 50).persist()
+    build = lambda x: index.term_weights(index.document_postings(x, "text"), 50).persist()
     return docs, build(df), build(df.orderBy(F.rand(1)).repartition(7))
 
 

@@ -79,16 +79,18 @@ def fields_of(page: str) -> PageFields:
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
-        for d, u, h in zip(b["doc_id"].tolist(), b["url"].tolist(), b["html"].tolist()):
+        for h in b["html"].tolist():
             p = fields_of(h or "")
-            out.append((d, u, p.title, " ".join(p.body), " ".join(p.snippet), p.meta, [{"href": x, "text": t} for x, t in p.anchors], p.hrefs))
-        yield pd.DataFrame(out, columns=["doc_id", "url", "title", "body", "snippet_text", "meta", "anchors", "hrefs"])
+            out.append((p.title, " ".join(p.body), " ".join(p.snippet), p.meta, [{"href": x, "text": t} for x, t in p.anchors], p.hrefs))
+        fields = pd.DataFrame(out, columns=["title", "body", "snippet_text", "meta", "anchors", "hrefs"])
+        yield pd.concat([b.drop(columns="html").reset_index(drop=True), fields], axis=1)
 
 
-def extract_fields(pages: DataFrame) -> DataFrame:
-    """The fields of every row of ``pages`` (doc_id, url, html). A null page has empty fields. Of several titles the last counts, by its first
+def extract_fields(pages: DataFrame, *keep: str) -> DataFrame:
+    """The fields of every row of ``pages`` (doc_id, url, html), and the columns ``keep``. A null page has empty fields. Of several titles the last counts, by its first
     text; of meta elements those named description, keywords and author, whose names are compared as written."""
-    return pages.select("doc_id", "url", "html").mapInPandas(_extract, FIELDS)
+    kept = "".join(f", {c} {pages.schema[c].dataType.simpleString()}" for c in keep)
+    return pages.select("doc_id", "url", *keep, "html").mapInPandas(_extract, FIELDS + kept)
 
 
 def page_size(pages: DataFrame) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weft.functions.links import page_links
-from weft.functions.text import laundry
+from weft.functions.stem import stem
+from weft.functions.text import laundry, stop_words
 
 #: The position of a hit that has none: meta terms and anchor texts.
 NO_POSITION = -100.0
@@ -36,9 +37,65 @@ def with_tf(freqs: DataFrame) -> DataFrame:
     return freqs.withColumn("tf", (F.col("freq").cast("float") / top.cast("float")).cast("float"))
 
 
-def build_postings(hits: DataFrame) -> DataFrame:
-    """Postings (field, term, doc_id, tf, positions) of hits. One shuffle by doc_id serves the counts and the maxima."""
-    return with_tf(term_frequencies(hits.repartition("doc_id"))).select("field", "term", "doc_id", "tf", "positions")
+def _counting(field: str, positioned: str, loose: str | None, stops: frozenset[str], stemming: bool):
+    """Postings of one row each, by Arrow batches: tokens are counted within the row, so no token moves."""
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    word = re.compile("[a-zA-Z0-9]+")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stems: dict[str, str] = {}
+
+        def tokens(text: str | None) -> list[str]:
+            found = word.findall(text.lower() if text.isascii() else re.sub("[^a-zA-Z0-9]", " ", text).lower()) if text else []
+            if stemming:
+                for w in found:
+                    if w not in stems:
+                        stems[w] = stem(w)
+                found = [stems[w] for w in found]
+                if len(stems) > 500_000:
+                    stems.clear()
+            return [w for w in found if w not in stops]
+
+        for b in batches:
+            rows, terms, freqs, tops, places = [], [], [], [], []
+            texts = b.column(b.schema.get_field_index(positioned)).to_pylist()
+            others = b.column(b.schema.get_field_index(loose)).to_pylist() if loose else [None] * len(texts)
+            for i, (text, other) in enumerate(zip(texts, others)):
+                at: dict[str, list[float]] = {}
+                for w in tokens(other):
+                    at.setdefault(w, []).append(NO_POSITION)
+                for k, w in enumerate(tokens(text)):
+                    at.setdefault(w, []).append(k)
+                if at:
+                    top = max(map(len, at.values()))
+                    for w, p in at.items():
+                        rows.append(i)
+                        terms.append(w)
+                        freqs.append(len(p))
+                        tops.append(top)
+                        places += p
+            freq = np.array(freqs, "int64")
+            tf = freq.astype("float32") / np.array(tops, "float32")
+            positions = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(freq)]).astype("int32")), pa.array(np.array(places, "float32")))
+            ids = b.column(b.schema.get_field_index("doc_id")).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([field] * len(rows), pa.string()), pa.array(terms, pa.string()), ids, pa.array(freq), pa.array(tf, pa.float32()), positions], ["field", "term", "doc_id", "freq", "tf", "positions"])
+
+    return run
+
+
+def document_postings(docs: DataFrame, text: str, field: str = "body", stops: Sequence[str] | None = None, stemming: bool = False, loose: str | None = None) -> DataFrame:
+    """Postings (field, term, doc_id, freq, tf, positions) of the column ``text``; ``docs`` has one row per doc_id.
+
+    A record is one row, so its tokens are counted where it is read: nothing is shuffled. Tokens of the column ``loose`` count too, but have no position. Null and empty texts give no postings.
+    """
+    stop = frozenset(stop_words() if stops is None else stops)
+    rows = docs.select("doc_id", text, *([loose] if loose else []))
+    out = f"field string, term string, doc_id {docs.schema['doc_id'].dataType.simpleString()}, freq bigint, tf float, positions array<float>"
+    return rows.mapInArrow(_counting(field, text, loose, stop, stemming), out)
 
 
 def body_hits(docs: DataFrame, text: Column, stops: Sequence[str] | None = None, stemming: bool = False) -> DataFrame:
@@ -46,6 +103,11 @@ def body_hits(docs: DataFrame, text: Column, stops: Sequence[str] | None = None,
     return token_positions(docs, laundry(text, stops, stemming), "doc_id").withColumn("field", F.lit("body"))
 
 
+def own_title_postings(fields: DataFrame, stops: Sequence[str] | None = None, stemming: bool = False) -> DataFrame:
+    """Postings of pages' own titles, and of meta terms without a position, of extracted fields."""
+    return document_postings(fields.select("doc_id", "title", F.array_join("meta", " ").alias("meta")), "title", "title", stops, stemming, "meta")
+
+
 def title_hits(fields: DataFrame, stops: Sequence[str] | None = None, stemming: bool = False) -> DataFrame:
     """Own title hits, and hits of meta terms without a position, of extracted fields."""
     own = token_positions(fields, laundry(F.col("title"), stops, stemming), "doc_id")
@@ -61,16 +123,16 @@ def anchor_hits(fields: DataFrame, stops: Sequence[str] | None = None, stemming:
 
 
 def title_postings(own: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Title postings: a page's own title and meta hits, and for terms it lacks there the anchor texts that point to it.
+    """Title postings (field, term, doc_id, freq, tf, positions): a page's own (from own_title_postings), and for terms it lacks there the anchor texts that point to it.
 
-    The tf of own terms is relative to own terms, that of anchor terms to all anchor terms of the page. Both halves meet in one
-    aggregation by page and term, so no join is needed.
+    The tf of own terms is relative to own terms, that of anchor terms to all anchor terms of the page. Anchor hits are counted before they move, and have the one place
+    that stands for none, so that a home page with a third of all links is a few rows. Both halves meet in one aggregation by page and term, so no join is needed.
     """
-    mine = with_tf(term_frequencies(own.withColumn("field", F.lit("title"))))
-    theirs = with_tf(term_frequencies(anchors.select(F.col("dst").alias("doc_id"), "term", F.lit(NO_POSITION).alias("pos"), F.lit("title").alias("field"))))
-    both = mine.withColumn("_own", F.lit(1)).unionByName(theirs.withColumn("_own", F.lit(0)))
-    best = both.groupBy("doc_id", "term").agg(F.max_by(F.struct("tf", "positions"), "_own").alias("p"))
-    return best.select(F.lit("title").alias("field"), "term", "doc_id", "p.tf", "p.positions")
+    theirs = with_tf(anchors.groupBy(F.col("dst").alias("doc_id"), "term").agg(F.count(F.lit(1)).alias("freq")).withColumn("field", F.lit("title")))
+    theirs = theirs.select("field", "term", "doc_id", "freq", "tf", F.array(F.lit(NO_POSITION).cast("float")).alias("positions"))
+    both = own.withColumn("_own", F.lit(1)).unionByName(theirs.withColumn("_own", F.lit(0)))
+    best = both.groupBy("doc_id", "term").agg(F.max_by(F.struct("freq", "tf", "positions"), "_own").alias("p"))
+    return best.select(F.lit("title").alias("field"), "term", "doc_id", "p.freq", "p.tf", "p.positions")
 
 
 def document_frequencies(postings: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql.window import Window
 from weft.functions.text import laundry, phrases_of, without_phrases
 from weft.session import ratio
 
-#: A query has at most this many tokens, so that it can be broadcast whatever it is.
+#: A query may have this many tokens, so that it can be broadcast whatever it is; a longer one is refused.
 MAX_QUERY_TOKENS = 10_000
 # The blend of page rank, title and body.
 BLEND = (0.33, 0.38, 0.29)
@@ -21,12 +22,14 @@ TOP = 50
 def parse_query(spark: SparkSession, query: str, stops: Sequence[str] | None = None, stemming: bool = False, separate: bool = False) -> DataFrame:
     """(kind 'word' or 'phrase', n, k, term): the query's tokens by the same definition as indexed text.
 
-    All quoted phrases make one phrase, in order, or, if ``separate``, one each, numbered by n from 0; k is the place within words or phrase."""
+    All quoted phrases make one phrase, in order, or, if ``separate``, one each, numbered by n from 0; k is the place within words or phrase. A query of more than MAX_QUERY_TOKENS tokens raises ValueError."""
+    if len(re.findall("[a-zA-Z0-9]+", query)) > MAX_QUERY_TOKENS:
+        raise ValueError(f"a query has at most {MAX_QUERY_TOKENS} tokens")
     row = spark.range(1).select(F.lit(query).alias("q"))
     words = row.select(F.lit("word").alias("kind"), F.lit(0).alias("n"), F.posexplode(laundry(without_phrases(F.col("q")), stops, stemming)).alias("k", "term"))
     quoted = phrases_of(F.col("q")) if separate else F.array(F.array_join(phrases_of(F.col("q")), " "))
     phrase = row.select(F.posexplode(quoted).alias("n", "p")).select(F.lit("phrase").alias("kind"), "n", F.posexplode(laundry(F.col("p"), stops, stemming)).alias("k", "term"))
-    return words.unionByName(phrase).where(F.col("k") < MAX_QUERY_TOKENS)
+    return words.unionByName(phrase)
 
 
 def keyword_hits(weighted: DataFrame, words: DataFrame) -> DataFrame:
@@ -38,13 +41,16 @@ def phrase_hits(weighted: DataFrame, phrase: DataFrame, n: int) -> DataFrame:
     """(doc_id, field, w): fields in which the phrase's ``n`` terms follow each other, with the sum of its terms' weights in phrase order.
 
     A record must have all terms in title or body; in each field some position p must hold term k at p + k for all k. However often the phrase occurs,
-    a field counts once. Hits without a position stand at -100 and match a phrase of one term only.
+    a field counts once. Hits without a position stand at -100 and match a phrase of one term only. Records that lack a term are left out
+    before any position is looked at; those of the others are intersected as arrays, term by term, without being exploded.
     """
     joined = weighted.join(F.broadcast(phrase.select("term", "k")), "term")
-    starts = joined.select("doc_id", "field", "k", "weight", F.explode("positions").alias("p")).withColumn("s", F.col("p") - F.col("k"))
-    per = starts.groupBy("doc_id", "field", "s").agg(F.collect_set(F.struct("k", "weight")).alias("ks")).where(F.size("ks") == n)
-    total = F.aggregate(F.array_sort("ks"), F.lit(0.0).cast("float"), lambda a, x: (a + x["weight"]).cast("float"))
-    return per.withColumn("_w", total.cast("double")).groupBy("doc_id", "field").agg(F.first("_w").alias("w"))
+    # At most n rows a record and field, each once: postings are unique.
+    per = joined.groupBy("doc_id", "field").agg(F.collect_set(F.struct("k", "weight", "positions")).alias("ks")).where(F.size("ks") == n)
+    starts = F.transform(F.array_sort("ks"), lambda x: F.struct(x["weight"].alias("weight"), F.transform(x["positions"], lambda p: p - x["k"]).alias("starts")))
+    common = F.aggregate(F.slice("_s", 2, n), F.col("_s")[0]["starts"], lambda a, x: F.array_intersect(a, x["starts"]))
+    total = F.aggregate("_s", F.lit(0.0).cast("float"), lambda a, x: (a + x["weight"]).cast("float"))
+    return per.withColumn("_s", starts).where(F.size(common) > 0).select("doc_id", "field", total.cast("double").alias("w"))
 
 
 def final_rank(pr: Column, title: Column, body: Column) -> Column:
@@ -104,6 +110,11 @@ def top_words(words: Column, k: int = 5) -> Column:
     return F.when(F.size(words) > 0, F.map_from_entries(F.transform(best, lambda e: F.struct(e["w"], -e["n"]))))
 
 
+def top_word_list(words: Column, k: int = 5) -> Column:
+    """The ``k`` most frequent entries of a map of counts as an array of (word, n), most frequent first, ties by key."""
+    return F.slice(F.array_sort(F.transform(F.map_entries(words), lambda e: F.struct((-e["value"]).alias("_n"), e["key"].alias("word"), e["value"].alias("n")))), 1, k)
+
+
 def hydrate(winners: DataFrame, docs: DataFrame, terms: DataFrame | None = None, k: int = 5) -> DataFrame:
     """The winners with url, page title (else the host), date, size, first children and parents as URLs, and most frequent words.
 
@@ -130,8 +141,6 @@ def hydrate(winners: DataFrame, docs: DataFrame, terms: DataFrame | None = None,
 
 def split_query(query: str) -> tuple[list[str], list[list[str]]]:
     """Words outside quotes and the words of each phrase, in the form in which snippets compare them."""
-    import re
-
     plain = lambda t: [re.sub("[^a-zA-Z0-9]+", "", w.lower()) for w in t.split()]
     phrases = re.findall('"([^\n]*?)"', query)
     return plain(re.sub('"[^\n]*?"', "", query).replace('"', "")), [plain(p) for p in phrases]

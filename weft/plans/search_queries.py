@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.functions.html import extract_fields, page_size
+from weft.functions.html import page_size
 from weft.functions.links import accepted, host_of, page_links
 from weft.functions.text import laundry, phrases_of, split_words, stemmed, stop_words, without_phrases
 from weft.operators import graph, index, reindex, search, topics
-from weft.plans.engine import build_index
+from weft.plans.engine import Engine, build_index, index_fields, update_index
 from weft.session import read, scratch_path, spread, staged
 from weft.sources import codec, sinks
 from weft.sources.store import KEYS, SCHEMAS, KeyedTable
-from weft.streaming.reindex import latest
+from weft.streaming.reindex import latest, latest_fields
 
 STOPS = stop_words()
 KEYWORDS = "harbor mill tide harbor reservoir"
@@ -28,20 +30,49 @@ def _six(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
 
-def _docs_positions(spark: SparkSession, d: str) -> DataFrame:
-    return index.body_hits(spread(read(spark, d, "documents")), F.col("text"))
+def _docs_freqs(spark: SparkSession, d: str) -> DataFrame:
+    return index.document_postings(spread(read(spark, d, "documents")), "text")
 
 
-def _docs_freqs(spark: SparkSession, d: str) -> DataFrame:
-    return index.term_frequencies(_docs_positions(spark, d))
+def _kept(make: Callable) -> Callable:
+    """What ``make`` has written for a folder of tables is used again by later queries of the same application."""
+    made: dict = {}
 
+    def get(spark: SparkSession, d: str):
+        key = spark.sparkContext.applicationId, d
+        if key not in made:
+            made[key] = make(spark, d)
+        return made[key]
 
+    return get
+
+
+@_kept
 def _docs_weighted(spark: SparkSession, d: str) -> DataFrame:
-    return index.term_weights(staged(index.build_postings(_docs_positions(spark, d)), "counted"), read(spark, d, "documents").count())
+    """The stored index of the documents."""
+    counted = staged(_docs_freqs(spark, d), "counted")
+    return staged(index.term_weights(counted, read(spark, d, "documents").count()), "weighted")
+
 
+@_kept
+def _docs_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return staged(index.magnitudes(_docs_weighted(spark, d)), "magnitudes")
 
+
+@_kept
 def _fields(spark: SparkSession, d: str) -> DataFrame:
-    return extract_fields(latest(read(spark, d, "pages")))
+    return staged(latest_fields(spread(read(spark, d, "pages"))), "fields")
+
+
+@_kept
+def _engine(spark: SparkSession, d: str) -> Engine:
+    """The stored index of the pages, unstemmed, as its SQL is."""
+    return index_fields(_fields(spark, d), stemming=False)
+
+
+@_kept
+def _stemmed_engine(spark: SparkSession, d: str) -> Engine:
+    return index_fields(_fields(spark, d))
 
 
 def tokenize_documents(spark, d):
@@ -78,12 +109,11 @@ def tfidf_weights(spark, d):
 
 
 def doc_magnitude(spark, d):
-    return index.magnitudes(_docs_weighted(spark, d)).select("doc_id", F.round("body", 4).alias("body"))
+    return _docs_lengths(spark, d).select("doc_id", F.round("body", 4).alias("body"))
 
 
 def _search_docs(spark, d, query, **kw):
-    w = staged(_docs_weighted(spark, d), "weighted")
-    return search.search(w, index.magnitudes(w), query, **kw).select("doc_id", *[F.round(c, 4).alias(c) for c in ("body_rank", "final_rank")])
+    return search.search(_docs_weighted(spark, d), _docs_lengths(spark, d), query, **kw).select("doc_id", *[F.round(c, 4).alias(c) for c in ("body_rank", "final_rank")])
 
 
 def keyword_search_top50(spark, d):
@@ -165,11 +195,11 @@ def parents_of(spark, d):
 
 
 def page_body_terms(spark, d):
-    return index.term_frequencies(index.body_hits(_fields(spark, d), F.col("body"))).select("doc_id", "term", "freq")
+    return index.document_postings(_fields(spark, d), "body").select("doc_id", "term", "freq")
 
 
 def page_title_terms(spark, d):
-    return index.term_frequencies(index.title_hits(_fields(spark, d))).select("doc_id", "term", "freq")
+    return index.own_title_postings(_fields(spark, d)).select("doc_id", "term", "freq")
 
 
 def anchor_terms(spark, d):
@@ -178,8 +208,8 @@ def anchor_terms(spark, d):
 
 def page_title_postings(spark, d):
     f = _fields(spark, d)
-    p = index.title_postings(index.title_hits(f), index.anchor_hits(f))
-    return p.select("term", "doc_id", F.round(F.col("tf").cast("double"), 5).alias("tf"), F.size("positions").alias("hits"))
+    p = index.title_postings(index.own_title_postings(f), index.anchor_hits(f))
+    return p.select("term", "doc_id", F.round(F.col("tf").cast("double"), 5).alias("tf"), F.col("freq").alias("hits"))
 
 
 def parents_anchor_map(spark, d):
@@ -188,14 +218,40 @@ def parents_anchor_map(spark, d):
 
 
 def page_search(spark, d):
-    """The flagship: fields, postings of title and body with anchor texts, weights, and a query of words and a phrase."""
-    e = build_index(latest(read(spark, d, "pages")))
-    return e.search(PAGE_QUERY).select("doc_id", *[F.round(c, 4).alias(c) for c in ("title_rank", "body_rank", "final_rank")])
+    """The flagship: a query of words and a phrase, asked of the stored index of pages with titles, anchor texts and bodies."""
+    return _engine(spark, d).best(PAGE_QUERY).select("doc_id", *[F.round(c, 4).alias(c) for c in ("title_rank", "body_rank", "final_rank")])
+
+
+def page_index(spark, d):
+    """The index itself, built anew: weighted postings of titles and bodies."""
+    built = index_fields(latest_fields(spread(read(spark, d, "pages"))), stemming=False)
+    return built.postings.select("field", "term", "doc_id", "freq", F.round(F.col("weight").cast("double"), 5).alias("weight"))
+
+
+def index_update(spark, d):
+    """The same index, made of a half of the pages first and brought up to date with the others, of which some were there in an older form."""
+    pages = latest(read(spark, d, "pages"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(4))
+    first = pages.where(half < 3).withColumn("html", F.when(half == 2, F.concat(F.lit("<title>old</title><a href='http://old.example/x'>old</a> old ladder "), F.coalesce("html", F.lit("")))).otherwise(F.col("html")))
+    built = update_index(build_index(spread(first), stemming=False), spread(pages.where(half >= 2)))
+    return built.postings.select("field", "term", "doc_id", "freq", F.round(F.col("weight").cast("double"), 5).alias("weight"))
 
 
 def page_search_snippets(spark, d):
     """The same with title, URL and snippet of each page."""
-    return build_index(latest(read(spark, d, "pages"))).search(PAGE_QUERY).select("doc_id", "url", "page_title", "summary")
+    return _engine(spark, d).search(PAGE_QUERY).select("doc_id", "url", "page_title", "summary")
+
+
+def page_search_cards(spark, d):
+    """The full results of the query: details, first children and parents, keywords in order."""
+    r = _engine(spark, d).search(PAGE_QUERY)
+    keywords = F.array_join(F.transform("keywords", lambda x: F.concat(x["word"], F.lit(":"), x["n"].cast("string"))), " ")
+    return r.select("doc_id", F.round("final_rank", 4).alias("final_rank"), "url", "page_title", "mod_date", "page_size", keywords.alias("keywords"), F.array_join("children", " ").alias("children"), F.array_join("parents", " ").alias("parents"))
+
+
+def page_search_stemmed(spark, d):
+    """The query asked of the stemmed index, which is the engine's default."""
+    return _stemmed_engine(spark, d).best("ladders moving").select("doc_id", F.round("final_rank", 4).alias("final_rank"))
 
 
 def _edges_of_orders(spark, d):
@@ -248,7 +304,7 @@ def crawl_budget(spark, d):
 
 
 def domain_filter(spark, d):
-    return latest(read(spark, d, "pages")).select("doc_id", host_of(F.col("url")).alias("host")).where(F.col("host").endswith(".example"))
+    return latest(read(spark, d, "pages"), "url").select("doc_id", host_of(F.col("url")).alias("host")).where(F.col("host").endswith(".example"))
 
 
 def word_list_prefix(spark, d):
@@ -305,11 +361,11 @@ def reindex_purge(spark, d):
 
 def freshness_filter(spark, d):
     indexed = search.last_versions(read(spark, d, "docs"))
-    return reindex.freshness(latest(read(spark, d, "pages")).select("doc_id", "last_modified"), indexed).select("doc_id", "action")
+    return reindex.freshness(latest(read(spark, d, "pages"), "last_modified"), indexed).select("doc_id", "action")
 
 
 def change_detection_md5(spark, d):
-    pages = latest(read(spark, d, "pages"))
+    pages = latest(read(spark, d, "pages"), "html")
     newer = pages.withColumn("html", F.when(F.col("html").contains("Privacy menu"), F.col("html")).otherwise(F.replace("html", F.lit("cookies"), F.lit("biscuits"))))
     return reindex.changed(pages, newer)
 
@@ -397,8 +453,8 @@ def stem_terms(spark, d):
 
 
 def stemmed_search(spark, d):
-    hits = index.body_hits(read(spark, d, "documents"), F.col("text"), stemming=True)
-    w = index.term_weights(index.build_postings(hits), read(spark, d, "documents").count())
+    counted = index.document_postings(spread(read(spark, d, "documents")), "text", stemming=True)
+    w = staged(index.term_weights(counted, read(spark, d, "documents").count()), "weighted")
     return search.search(w, index.magnitudes(w), "harbors measuring", stemming=True).select("doc_id", F.round("final_rank", 4).alias("final_rank"))
 
 
@@ -406,7 +462,7 @@ QUERIES = {
     **{f.__name__: f for f in (
         tokenize_documents, stopword_filter, term_freq_documents, term_positions, doc_max_freq, doc_freq, idf, tfidf_weights, doc_magnitude, keyword_search_top50, phrase_match, phrase_and_keyword_search,
         multi_phrase_concat, require_phrase_search, query_parse, stored_weights, stored_magnitudes, term_hashes, page_titles, link_filter, web_nodes, out_degree, in_degree, children_top5, parents_of,
-        page_body_terms, page_title_terms, anchor_terms, page_title_postings, parents_anchor_map, page_search, page_search_snippets, pagerank_synthetic_edges, pagerank_topics, pagerank_topics_all, bfs_depth, bfs_depth_all, crawl_budget, domain_filter,
+        page_body_terms, page_title_terms, anchor_terms, page_title_postings, parents_anchor_map, page_search, page_index, index_update, page_search_snippets, page_search_cards, page_search_stemmed, pagerank_synthetic_edges, pagerank_topics, pagerank_topics_all, bfs_depth, bfs_depth_all, crawl_budget, domain_filter,
         word_list_prefix, word_list_page, top5_words_per_doc, topic_names, topic_term_freq, topic_metadata, term_topics, topic_posterior, reindex_purge, freshness_filter, change_detection_md5, docs_last_version,
         upsert_and_delete, page_sizes, doc_json, results_json, document_report, result_cards, results_hydrated, results_hydrated_all, final_rank, snippet_dynamic, snippet_static, snippet_phrase, stem_terms, stemmed_search,
     )},
@@ -480,6 +536,12 @@ _TITLE_POSTINGS = f"""{_PAGES}, {_ANCHORS}, {_TITLE_HITS},
     tp AS (SELECT doc_id, term, n, CAST(CAST(n AS FLOAT) / CAST(max(n) OVER (PARTITION BY doc_id) AS FLOAT) AS FLOAT) AS tf, 1 AS own FROM own
            UNION ALL SELECT doc_id, term, n, CAST(CAST(n AS FLOAT) / CAST(max(n) OVER (PARTITION BY doc_id) AS FLOAT) AS FLOAT), 0 FROM anc),
     tb AS (SELECT doc_id, term, n, tf FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, term ORDER BY own DESC) AS k FROM tp) WHERE k = 1)"""
+_PAGE_POSTINGS = f"""{_TITLE_POSTINGS}, {_LINKS},
+    nd AS (SELECT src AS doc_id FROM lk UNION SELECT md5(dst_url) FROM lk UNION SELECT doc_id FROM pg),
+    bf AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_laundry(_BODY)}) AS term FROM pg) GROUP BY ALL),
+    post AS (SELECT 'title' AS field, term, doc_id, n, tf FROM tb UNION ALL
+             SELECT 'body', term, doc_id, n, CAST(CAST(n AS FLOAT) / CAST(max(n) OVER (PARTITION BY doc_id) AS FLOAT) AS FLOAT) FROM bf),
+    idf AS (SELECT field, term, CAST(log2((SELECT count(*) FROM nd)::DOUBLE / count(*)) AS FLOAT) AS idf FROM post GROUP BY ALL)"""
 _NODES = "nd AS (SELECT src AS doc_id FROM links WHERE src IS NOT NULL UNION SELECT dst FROM links WHERE dst IS NOT NULL UNION SELECT doc_id FROM pages)"
 _EDGES = "e AS (SELECT DISTINCT src, dst FROM links WHERE src IS NOT NULL AND dst IS NOT NULL), deg AS (SELECT src, count(*) AS deg FROM e GROUP BY src)"
 _LAST = "last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(mod_date, TIMESTAMPTZ '1970-01-01 00:00:00+00') DESC, written_at DESC, seq DESC) AS k FROM docs WHERE doc_id IS NOT NULL) WHERE k = 1)"
@@ -560,6 +622,8 @@ ORACLE = {
     "page_title_postings": f"WITH {_TITLE_POSTINGS} SELECT term, doc_id, round(CAST(tf AS DOUBLE), 5) AS tf, n AS hits FROM tb",
     "parents_anchor_map": f"""WITH {_PAGES}, {_LINKS}, {_ANCHORS}, ed AS (SELECT DISTINCT src, md5(dst_url) AS dst FROM lk), g AS (SELECT dst, src, string_agg(term, ' ' ORDER BY term) AS tokens FROM ah GROUP BY ALL)
         SELECT ed.dst, ed.src, coalesce(tokens, '') AS tokens FROM ed LEFT JOIN g ON g.src = ed.src AND g.dst = ed.dst""",
+    **dict.fromkeys(("page_index", "index_update"), f"""WITH {_PAGE_POSTINGS}
+        SELECT field, term, doc_id, n AS freq, round(CAST(tf * idf AS FLOAT)::DOUBLE, 5) AS weight FROM post JOIN idf USING (field, term)"""),
     "page_search": f"""WITH {_TITLE_POSTINGS}, {_LINKS},
         nd AS (SELECT src AS doc_id FROM lk UNION SELECT md5(dst_url) FROM lk UNION SELECT doc_id FROM pg),
         bt AS (SELECT doc_id, t.term, t.pos - 1 AS pos FROM (SELECT doc_id, {_laundry(_BODY)} AS toks FROM pg), unnest(toks) WITH ORDINALITY AS t(term, pos)),

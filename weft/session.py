@@ -21,11 +21,13 @@ def read(spark: SparkSession, root: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) a temporary folder takes its place.
+    Only where that setting is absent and Spark runs on one machine (tests) a temporary folder takes its place; on a cluster it must be set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="weft-")
@@ -34,8 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}/{name}"
+    """A new path in the shared folder, below the folder of this application (see drop_staged)."""
+    return f"{shared_dir(spark)}/weft-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Removes all that this application has staged; to be called when its results are written."""
+    drop_path(spark, f"{shared_dir(spark)}/weft-{spark.sparkContext.applicationId}")
 
 
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:

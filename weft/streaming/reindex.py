@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.functions.html import extract_fields, page_size
 from weft.sources.store import SCHEMAS, KeyedTable
 
 
-def latest(pages: DataFrame) -> DataFrame:
-    """One row per doc_id: the one modified last, of equals the greatest html; null dates come first."""
-    rest = ["url", "html", "last_modified", "content_length"]
-    return pages.where("doc_id is not null").groupBy("doc_id").agg(F.max_by(F.struct(*rest), F.struct("last_modified", "html")).alias("p")).select("doc_id", "p.*")
+def latest(pages: DataFrame, *columns: str) -> DataFrame:
+    """One row per doc_id: the one modified last, of equals that with the greatest digest of html; null dates come first.
+
+    Only ``columns`` come out beside doc_id (default: all of the table), and only they move; html is compared by its digest, made where it is read."""
+    rest = list(columns) or ["url", "html", "last_modified", "content_length"]
+    order = F.struct(F.col("last_modified"), F.md5("html"))
+    return pages.where("doc_id is not null").groupBy("doc_id").agg(F.max_by(F.struct(*rest), order).alias("p")).select("doc_id", "p.*")
+
+
+def latest_fields(pages: DataFrame) -> DataFrame:
+    """The extracted fields of each page's latest row, with mod_date and page_size. Pages are parsed where they are read, and fields move instead of html."""
+    sized = page_size(pages.where("doc_id is not null")).withColumn("_digest", F.md5("html")).withColumnRenamed("last_modified", "mod_date")
+    rows = extract_fields(sized, "mod_date", "page_size", "_digest")
+    rest = [c for c in rows.columns if c not in ("doc_id", "_digest")]
+    return rows.groupBy("doc_id").agg(F.max_by(F.struct(*rest), F.struct("mod_date", "_digest")).alias("p")).select("doc_id", "p.*")
 
 
 def stream_pages(spark: SparkSession, folder: str, table: KeyedTable, checkpoint: str, then: Callable[[DataFrame], None] | None = None, once: bool = True):
