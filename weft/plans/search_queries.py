@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.functions import arrays
 from weft.functions.html import page_size
 from weft.functions.links import accepted, host_of, page_links
 from weft.functions.text import laundry, phrases_of, split_words, stemmed, stop_words, without_phrases
@@ -15,7 +16,7 @@ from weft.plans.engine import Engine, build_index, index_fields, update_index
 from weft.session import read, scratch_path, spread, staged
 from weft.sources import codec, sinks
 from weft.sources.store import KEYS, SCHEMAS, KeyedTable
-from weft.streaming.reindex import latest, latest_fields
+from weft.streaming.reindex import latest, latest_fields, stream_pages
 
 STOPS = stop_words()
 KEYWORDS = "harbor mill tide harbor reservoir"
@@ -400,7 +401,73 @@ def results_json(spark, d):
 
 
 def document_report(spark, d):
-    return sinks.report(search.last_versions(read(spark, d, "docs"))).select("doc_id", F.length("value").alias("n_chars"))
+    """The report of every document, whole."""
+    return sinks.report(search.last_versions(read(spark, d, "docs"))).select("doc_id", "value")
+
+
+def doc_json_fields(spark, d):
+    """Every field of the records after the way to JSON and back; maps and lists as text."""
+    back = codec.from_json(codec.to_json(search.last_versions(read(spark, d, "docs"))))
+    nulls = lambda c: F.array_join(c, "|", "~")
+    pairs = lambda c, text: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), text(e["value"])))), ";")
+    return back.select(
+        "doc_id", "url", nulls("title").alias("title"), F.date_format("mod_date", "yyyy-MM-dd HH:mm:ss").alias("mod_date"), "page_size", nulls("children").alias("children"),
+        pairs("parents", lambda v: F.array_join(v, ",", "~")).alias("parents"), pairs("words", lambda v: v.cast("string")).alias("words"),
+    )
+
+
+def topic_search(spark, d):
+    """Stored postings asked with the topics' probabilities, so that PageRank counts in the score."""
+    p = index.clean_postings(read(spark, d, "postings"))
+    n = graph.nodes(read(spark, d, "links"), read(spark, d, "pages")).count()
+    w = staged(index.term_weights(p, n), "weighted")
+    ranks = read(spark, d, "page_rank").where("topic is not null and rank is not null").groupBy("doc_id", "topic").agg(F.max("rank").alias("rank"))
+    found = search.search(w, index.magnitudes(w), "harbor tide", k=1_000_000, ranks=ranks, topic_probs={"science": 0.6, "arts": 0.4})
+    return found.select("doc_id", *[F.round(c, 4).alias(c) for c in ("page_rank", "title_rank", "body_rank", "final_rank")])
+
+
+def pagerank_converged(spark, d):
+    """Until the ranks change by no more than the tolerance in sum."""
+    links = read(spark, d, "links")
+    return graph.pagerank(graph.nodes(links, read(spark, d, "pages")), links, max_iter=1000, tol=1e-11).select("doc_id", F.round("rank", 9).alias("rank"))
+
+
+def domain_crawl(spark, d):
+    """The crawl that enters hosts of one domain only."""
+    hosts = latest(read(spark, d, "pages"), "url").select("doc_id", host_of(F.col("url")).alias("host"))
+    return graph.levels(read(spark, d, "links"), _seed(spark, d), domain=".example", urls=hosts)
+
+
+def streamed_pages(spark, d):
+    """Page files taken in one by one as a stream; each page's latest version is in the table at the end."""
+    folder = scratch_path(spark, "arriving")
+    spread(read(spark, d, "pages")).repartition(3, "url").write.parquet(folder)
+    t = KeyedTable(spark, scratch_path(spark, "table"), SCHEMAS["pages"], KEYS["pages"])
+    stream_pages(spark, folder, t, scratch_path(spark, "progress")).awaitTermination()
+    return t.scan().select("doc_id", "last_modified", F.md5("html").alias("digest"))
+
+
+def keyed_lookups(spark, d):
+    """Terms put in batches, some of them cancelled and some deleted; then those of the most frequent words of all records are looked up."""
+    terms, t = read(spark, d, "terms"), KeyedTable(spark, scratch_path(spark, "terms"), SCHEMAS["terms"], KEYS["terms"])
+    batch = t.batch()
+    batch.put(terms.withColumn("term", F.upper("term")))
+    batch.cancel()
+    batch.put(terms.withColumn("term", F.concat("term", F.lit("?"))))
+    batch.put(terms)
+    batch.flush()
+    t.delete(terms.where("term like 'a%'"))
+    t.compact(vacuum=True)
+    top = search.last_versions(read(spark, d, "docs")).select(F.explode(F.map_keys(search.top_words(F.col("words")))).alias("term_hash"))
+    return t.get_many(top)
+
+
+def position_intersections(spark, d):
+    """Places that the title of a record has for a term, and those that its body has, and both as often as both have them."""
+    p = index.clean_postings(read(spark, d, "postings")).groupBy("term", "doc_id").agg(*[F.max(F.when(F.col("field") == f, F.col("positions"))).alias(f"_{f}") for f in ("title", "body")])
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("int").cast("string")), " ")
+    both = arrays.multiset_intersect(F.col("_title"), F.col("_body"))
+    return p.where("_title is not null and _body is not null").select("term", "doc_id", text(arrays.sort_floats(F.col("_body"))).alias("body"), text(both).alias("both"))
 
 
 def result_cards(spark, d):
@@ -464,7 +531,7 @@ QUERIES = {
         multi_phrase_concat, require_phrase_search, query_parse, stored_weights, stored_magnitudes, term_hashes, page_titles, link_filter, web_nodes, out_degree, in_degree, children_top5, parents_of,
         page_body_terms, page_title_terms, anchor_terms, page_title_postings, parents_anchor_map, page_search, page_index, index_update, page_search_snippets, page_search_cards, page_search_stemmed, pagerank_synthetic_edges, pagerank_topics, pagerank_topics_all, bfs_depth, bfs_depth_all, crawl_budget, domain_filter,
         word_list_prefix, word_list_page, top5_words_per_doc, topic_names, topic_term_freq, topic_metadata, term_topics, topic_posterior, reindex_purge, freshness_filter, change_detection_md5, docs_last_version,
-        upsert_and_delete, page_sizes, doc_json, results_json, document_report, result_cards, results_hydrated, results_hydrated_all, final_rank, snippet_dynamic, snippet_static, snippet_phrase, stem_terms, stemmed_search,
+        upsert_and_delete, page_sizes, doc_json, doc_json_fields, results_json, document_report, topic_search, pagerank_converged, domain_crawl, streamed_pages, keyed_lookups, position_intersections, result_cards, results_hydrated, results_hydrated_all, final_rank, snippet_dynamic, snippet_static, snippet_phrase, stem_terms, stemmed_search,
     )},
     "page_links": page_links_query,
     "pagerank_1_iter": _pagerank(1),
@@ -575,10 +642,13 @@ def _pagerank_topics_sql(k: int) -> str:
     return "WITH " + ", ".join(parts) + f" SELECT doc_id, topic, round(rank, 9) AS rank FROM r{k}"
 
 
-def _snippet_sql(words: list[str]) -> str:
+def _snippet_sql(words: list[str], phrase: list[str] = ()) -> str:
+    plain = "list_transform(w, lambda x: regexp_replace(lower(x), '[^a-zA-Z0-9]+', '', 'g'))"
+    at = f"coalesce((SELECT min(i) FROM range(1, len(w)) t(i) WHERE {' AND '.join(f'pl[i + {j}] = {chr(39)}{x}{chr(39)}' for j, x in enumerate(phrase))}), " if phrase else "("
     listed = "[" + ", ".join(f"'{w}'" for w in words) + "]"
     return f"""WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents),
-        m AS (SELECT *, len(w) AS n, coalesce(list_position(list_transform(w, lambda x: list_contains({listed}, regexp_replace(lower(x), '[^a-zA-Z0-9]+', '', 'g'))), true), 0) AS hit, CAST(ceil(len(w) / 2.0) AS INT) AS c FROM w)
+        p AS (SELECT *, {plain} AS pl FROM w),
+        m AS (SELECT *, len(w) AS n, {at}coalesce(list_position(list_transform(pl, lambda x: list_contains({listed}, x)), true), 0)) AS hit, CAST(ceil(len(w) / 2.0) AS INT) AS c FROM p)
         SELECT doc_id, CASE WHEN w IS NULL OR n = 0 THEN ''
             WHEN hit = 0 AND n > 21 THEN '...' || array_to_string(list_slice(w, c - 9, c + 11), ' ') || '...'
             WHEN hit = 0 THEN array_to_string(w, ' ') || '...'
@@ -586,6 +656,26 @@ def _snippet_sql(words: list[str]) -> str:
             WHEN n >= 20 THEN array_to_string(list_slice(w, 1, 20), ' ') || '...' ELSE array_to_string(w, ' ') END AS summary FROM m"""
 
 
+_PAGE_SEARCH_SQL = f"""WITH {_TITLE_POSTINGS}, {_LINKS},
+        nd AS (SELECT src AS doc_id FROM lk UNION SELECT md5(dst_url) FROM lk UNION SELECT doc_id FROM pg),
+        bt AS (SELECT doc_id, t.term, t.pos - 1 AS pos FROM (SELECT doc_id, {_laundry(_BODY)} AS toks FROM pg), unnest(toks) WITH ORDINALITY AS t(term, pos)),
+        bf AS (SELECT doc_id, term, count(*) AS n FROM bt GROUP BY ALL),
+        post AS (SELECT 'title' AS field, term, doc_id, tf FROM tb UNION ALL
+                 SELECT 'body', term, doc_id, CAST(CAST(n AS FLOAT) / CAST(max(n) OVER (PARTITION BY doc_id) AS FLOAT) AS FLOAT) FROM bf),
+        idf AS (SELECT field, term, CAST(log2((SELECT count(*) FROM nd)::DOUBLE / count(*)) AS FLOAT) AS idf FROM post GROUP BY ALL),
+        wt AS (SELECT field, term, doc_id, CAST(tf * idf AS FLOAT) AS weight FROM post JOIN idf USING (field, term)),
+        mag AS (SELECT doc_id, sqrt(coalesce(sum(CAST(CAST(weight * weight AS FLOAT) AS DOUBLE)) FILTER (field = 'title'), 0)) AS mt,
+                       sqrt(coalesce(sum(CAST(CAST(weight * weight AS FLOAT) AS DOUBLE)) FILTER (field = 'body'), 0)) AS mb FROM wt GROUP BY doc_id),
+        pos AS (SELECT 'body' AS field, doc_id, term, pos FROM bt UNION ALL SELECT 'title', doc_id, term, pos FROM th WHERE pos >= 0),
+        ph(k, term) AS (VALUES {', '.join(f"({i}, '{w}')" for i, w in enumerate(_tokens('moved to the home page')))}),
+        st AS (SELECT DISTINCT field, doc_id FROM (SELECT field, doc_id, p.pos - k AS s FROM pos p JOIN ph USING (term) GROUP BY ALL HAVING count(DISTINCT k) = {len(_tokens('moved to the home page'))})),
+        hits AS (SELECT doc_id, field, CAST(weight AS DOUBLE) AS w FROM wt WHERE term IN ('ladder', 'tide')
+                 UNION ALL SELECT doc_id, field, sum(CAST(weight AS DOUBLE)) FROM st JOIN wt USING (field, doc_id) JOIN ph USING (term) GROUP BY ALL),
+        sc AS (SELECT doc_id, coalesce(sum(w) FILTER (field = 'title'), 0) / nullif(any_value(mt) * sqrt({2 + len(_tokens('moved to the home page'))}), 0) AS t,
+                      coalesce(sum(w) FILTER (field = 'body'), 0) / nullif(any_value(mb) * sqrt({2 + len(_tokens('moved to the home page'))}), 0) AS b FROM hits JOIN mag USING (doc_id) GROUP BY doc_id),
+        fin AS (SELECT doc_id, coalesce(t, 0) AS t, coalesce(b, 0) AS b, (0.38 * coalesce(t, 0) + 0.29 * coalesce(b, 0)) * 100 AS f FROM sc)"""
+
+
 ORACLE = {
     "tokenize_documents": f"WITH l AS (SELECT doc_id, {_words('text')} AS toks FROM documents) SELECT doc_id, t.term, t.pos - 1 AS pos FROM l, unnest(toks) WITH ORDINALITY AS t(term, pos)",
     "stopword_filter": f"WITH {_TOK} SELECT doc_id, term, pos FROM tok",
@@ -624,25 +714,7 @@ ORACLE = {
         SELECT ed.dst, ed.src, coalesce(tokens, '') AS tokens FROM ed LEFT JOIN g ON g.src = ed.src AND g.dst = ed.dst""",
     **dict.fromkeys(("page_index", "index_update"), f"""WITH {_PAGE_POSTINGS}
         SELECT field, term, doc_id, n AS freq, round(CAST(tf * idf AS FLOAT)::DOUBLE, 5) AS weight FROM post JOIN idf USING (field, term)"""),
-    "page_search": f"""WITH {_TITLE_POSTINGS}, {_LINKS},
-        nd AS (SELECT src AS doc_id FROM lk UNION SELECT md5(dst_url) FROM lk UNION SELECT doc_id FROM pg),
-        bt AS (SELECT doc_id, t.term, t.pos - 1 AS pos FROM (SELECT doc_id, {_laundry(_BODY)} AS toks FROM pg), unnest(toks) WITH ORDINALITY AS t(term, pos)),
-        bf AS (SELECT doc_id, term, count(*) AS n FROM bt GROUP BY ALL),
-        post AS (SELECT 'title' AS field, term, doc_id, tf FROM tb UNION ALL
-                 SELECT 'body', term, doc_id, CAST(CAST(n AS FLOAT) / CAST(max(n) OVER (PARTITION BY doc_id) AS FLOAT) AS FLOAT) FROM bf),
-        idf AS (SELECT field, term, CAST(log2((SELECT count(*) FROM nd)::DOUBLE / count(*)) AS FLOAT) AS idf FROM post GROUP BY ALL),
-        wt AS (SELECT field, term, doc_id, CAST(tf * idf AS FLOAT) AS weight FROM post JOIN idf USING (field, term)),
-        mag AS (SELECT doc_id, sqrt(coalesce(sum(CAST(CAST(weight * weight AS FLOAT) AS DOUBLE)) FILTER (field = 'title'), 0)) AS mt,
-                       sqrt(coalesce(sum(CAST(CAST(weight * weight AS FLOAT) AS DOUBLE)) FILTER (field = 'body'), 0)) AS mb FROM wt GROUP BY doc_id),
-        pos AS (SELECT 'body' AS field, doc_id, term, pos FROM bt UNION ALL SELECT 'title', doc_id, term, pos FROM th WHERE pos >= 0),
-        ph(k, term) AS (VALUES {', '.join(f"({i}, '{w}')" for i, w in enumerate(_tokens('moved to the home page')))}),
-        st AS (SELECT DISTINCT field, doc_id FROM (SELECT field, doc_id, p.pos - k AS s FROM pos p JOIN ph USING (term) GROUP BY ALL HAVING count(DISTINCT k) = {len(_tokens('moved to the home page'))})),
-        hits AS (SELECT doc_id, field, CAST(weight AS DOUBLE) AS w FROM wt WHERE term IN ('ladder', 'tide')
-                 UNION ALL SELECT doc_id, field, sum(CAST(weight AS DOUBLE)) FROM st JOIN wt USING (field, doc_id) JOIN ph USING (term) GROUP BY ALL),
-        sc AS (SELECT doc_id, coalesce(sum(w) FILTER (field = 'title'), 0) / nullif(any_value(mt) * sqrt({2 + len(_tokens('moved to the home page'))}), 0) AS t,
-                      coalesce(sum(w) FILTER (field = 'body'), 0) / nullif(any_value(mb) * sqrt({2 + len(_tokens('moved to the home page'))}), 0) AS b FROM hits JOIN mag USING (doc_id) GROUP BY doc_id),
-        fin AS (SELECT doc_id, coalesce(t, 0) AS t, coalesce(b, 0) AS b, (0.38 * coalesce(t, 0) + 0.29 * coalesce(b, 0)) * 100 AS f FROM sc)
-        SELECT doc_id, round(t, 4) AS title_rank, round(b, 4) AS body_rank, round(f, 4) AS final_rank FROM fin ORDER BY round(f, 9) DESC, doc_id LIMIT 50""",
+    "page_search": f"""{_PAGE_SEARCH_SQL} SELECT doc_id, round(t, 4) AS title_rank, round(b, 4) AS body_rank, round(f, 4) AS final_rank FROM fin ORDER BY round(f, 9) DESC, doc_id LIMIT 50""",
     **{f"pagerank_{k}_iter": _pagerank_sql(k, _NODES, _EDGES) for k in (1, 5, 10)},
     "pagerank_synthetic_edges": _pagerank_sql(
         3,
@@ -698,4 +770,37 @@ ORACLE = {
         + 0.29 * CASE WHEN body_rank IS NULL OR isnan(body_rank) THEN 0 ELSE body_rank END) * 100, 4) AS blend FROM results""",
     "snippet_dynamic": _snippet_sql(["harbor", "tide", "fluss"]),
     "snippet_static": _snippet_sql(["zzzz"]),
+    "snippet_phrase": _snippet_sql(["harbor"], ["opened", "for"]),
+    "document_report": f"""WITH {_LAST}, w AS (SELECT doc_id, string_agg(x.key || ' ' || x.value, '; ' ORDER BY x.key) AS words FROM (SELECT doc_id, unnest(map_entries(words)) AS x FROM last) GROUP BY doc_id)
+        SELECT doc_id, concat_ws(chr(10), array_to_string(title, ' '), url, strftime(mod_date, '%a, %d %b %Y %H:%M:%S UTC') || ', ' || page_size,
+               CASE WHEN words.words IS NULL THEN NULL ELSE coalesce(w.words, '') END, coalesce(array_to_string(children, chr(10)), '')) AS value
+        FROM (SELECT * FROM last WHERE page_size > 0) words LEFT JOIN w USING (doc_id)""",
+    "doc_json_fields": f"""WITH {_LAST}, p AS (SELECT doc_id, string_agg(x.key || '=' || array_to_string(list_transform(coalesce(x.value, []), lambda v: coalesce(v, '~')), ','), ';' ORDER BY x.key || '=' || array_to_string(list_transform(coalesce(x.value, []), lambda v: coalesce(v, '~')), ',')) AS parents FROM (SELECT doc_id, unnest(map_entries(parents)) AS x FROM last) GROUP BY doc_id),
+        w AS (SELECT doc_id, string_agg(x.key || '=' || x.value, ';' ORDER BY x.key || '=' || x.value) AS words FROM (SELECT doc_id, unnest(map_entries(words)) AS x FROM last) GROUP BY doc_id)
+        SELECT doc_id, url, array_to_string(list_transform(title, lambda v: coalesce(v, '~')), '|') AS title, strftime(mod_date, '%Y-%m-%d %H:%M:%S') AS mod_date, page_size, array_to_string(list_transform(children, lambda v: coalesce(v, '~')), '|') AS children,
+               CASE WHEN last.parents IS NULL THEN NULL ELSE coalesce(p.parents, '') END AS parents, CASE WHEN last.words IS NULL THEN NULL ELSE coalesce(w.words, '') END AS words
+        FROM last LEFT JOIN p USING (doc_id) LEFT JOIN w USING (doc_id)""",
+    "topic_search": f"""WITH {_CLEAN_WEIGHTED}, mag AS (SELECT doc_id, sqrt(coalesce(sum(CAST(CAST(weight * weight AS FLOAT) AS DOUBLE)) FILTER (field = 'title'), 0)) AS mt, sqrt(coalesce(sum(CAST(CAST(weight * weight AS FLOAT) AS DOUBLE)) FILTER (field = 'body'), 0)) AS mb FROM cw GROUP BY doc_id),
+        rk AS (SELECT doc_id, sum(CASE topic WHEN 'science' THEN 0.6 WHEN 'arts' THEN 0.4 END::DOUBLE * rank) AS pr FROM (SELECT doc_id, topic, max(rank) AS rank FROM page_rank WHERE rank IS NOT NULL GROUP BY ALL) WHERE topic IN ('science', 'arts') GROUP BY doc_id),
+        sc AS (SELECT doc_id, coalesce(sum(CAST(weight AS DOUBLE)) FILTER (field = 'title'), 0) / nullif(any_value(mt) * sqrt(2), 0) AS t, coalesce(sum(CAST(weight AS DOUBLE)) FILTER (field = 'body'), 0) / nullif(any_value(mb) * sqrt(2), 0) AS b
+               FROM cw JOIN mag USING (doc_id) WHERE term IN ('harbor', 'tide') GROUP BY doc_id),
+        f AS (SELECT doc_id, coalesce(pr, 0) AS p, coalesce(t, 0) AS t, coalesce(b, 0) AS b FROM sc LEFT JOIN rk USING (doc_id))
+        SELECT doc_id, round(p, 4) AS page_rank, round(t, 4) AS title_rank, round(b, 4) AS body_rank, round((0.33 * p + 0.38 * t + 0.29 * b) * 100, 4) AS final_rank FROM f""",
+    "pagerank_converged": _pagerank_sql(60, _NODES, _EDGES),
+    "domain_crawl": f"""WITH RECURSIVE {_PAGES}, ok AS (SELECT doc_id FROM pg WHERE regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) LIKE '%.example'), e AS (SELECT DISTINCT src, dst FROM links WHERE src IS NOT NULL AND dst IS NOT NULL), b(doc_id, depth) USING KEY (doc_id) AS (
+        (SELECT src, 0 FROM e GROUP BY src ORDER BY count(*) DESC, src LIMIT 1) UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.doc_id WHERE e.dst IN (SELECT doc_id FROM ok) AND e.dst NOT IN (SELECT doc_id FROM recurring.b)) SELECT doc_id, depth FROM b""",
+    "streamed_pages": f"WITH {_PAGES} SELECT doc_id, last_modified, md5(html) AS digest FROM pg",
+    "keyed_lookups": f"""WITH {_LAST}, w AS (SELECT doc_id, unnest(map_entries(words)) AS x FROM last), r AS (SELECT x.key AS h, row_number() OVER (PARTITION BY doc_id ORDER BY x.value DESC, x.key) AS n FROM w)
+        SELECT term_hash, term FROM terms WHERE term NOT LIKE 'a%' AND term_hash IN (SELECT h FROM r WHERE n <= 5)""",
+    "position_intersections": f"""WITH {_CLEAN}, j AS (SELECT t.term, t.doc_id, t.positions AS tp, b.positions AS bp FROM cp t JOIN cp b USING (term, doc_id) WHERE t.field = 'title' AND b.field = 'body'),
+        a AS (SELECT term, doc_id, CAST(unnest(tp) AS INT) AS x FROM j), c AS (SELECT term, doc_id, CAST(unnest(bp) AS INT) AS x FROM j),
+        na AS (SELECT term, doc_id, x, count(*) AS n FROM a GROUP BY ALL), nc AS (SELECT term, doc_id, x, count(*) AS n FROM c GROUP BY ALL),
+        i AS (SELECT term, doc_id, string_agg(trim(repeat(x || ' ', CAST(least(na.n, nc.n) AS INT))), ' ' ORDER BY x) AS s FROM na JOIN nc USING (term, doc_id, x) GROUP BY ALL)
+        SELECT term, doc_id, (SELECT string_agg(CAST(y AS VARCHAR), ' ' ORDER BY y) FROM (SELECT CAST(unnest(bp) AS INT) AS y)) AS body, coalesce(s, '') AS "both" FROM j LEFT JOIN i USING (term, doc_id)""",
+    "page_search_cards": f"""{_PAGE_SEARCH_SQL},
+        kw AS (SELECT doc_id, term, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS k FROM bf), kj AS (SELECT doc_id, string_agg(term || ':' || n, ' ' ORDER BY k) AS keywords FROM kw WHERE k <= 5 GROUP BY doc_id),
+        ch AS (SELECT src, dst, min(ord) AS o, min_by(dst_url, ord) AS u FROM (SELECT *, md5(dst_url) AS dst FROM lk) GROUP BY ALL), cr AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY o, dst) AS k FROM ch), cj AS (SELECT src AS doc_id, string_agg(u, ' ' ORDER BY k) AS children FROM cr WHERE k <= 5 GROUP BY src),
+        pe AS (SELECT DISTINCT md5(dst_url) AS dst, src FROM lk), pr AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src) AS k FROM pe), pj AS (SELECT dst AS doc_id, string_agg(pg.url, ' ' ORDER BY pr.k) AS parents FROM pr JOIN pg ON pg.doc_id = pr.src WHERE pr.k <= 5 GROUP BY dst)
+        SELECT doc_id, round(f, 4) AS final_rank, url, {_TITLE} AS page_title, last_modified AS mod_date, coalesce(content_length, strlen(html), 0) AS page_size, keywords, children, parents
+        FROM fin JOIN pg USING (doc_id) LEFT JOIN kj USING (doc_id) LEFT JOIN cj USING (doc_id) LEFT JOIN pj USING (doc_id) ORDER BY round(f, 9) DESC, doc_id LIMIT 50""",
 }
