@@ -13,9 +13,11 @@ from weft.session import staged
 
 #: A bin with no more than this share of its room empty leaves the packing at once.
 SLACK = 0.01
-#: How many partitions are merged into one from round to round, and how many underfull bins one task takes.
+#: How many partitions are merged into one from round to round, and how many items or underfull bins a task packs at a time.
 FAN_IN = 8
 TASK_BINS = 400_000
+#: A round that leaves more than this share of the underfull bins underfull has found nothing to merge.
+PROGRESS = 0.98
 
 BIN = "size bigint, items array<struct<doc_id:bigint,piece:int,start:bigint,size:bigint>>, done boolean"
 
@@ -47,20 +49,26 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _round(capacity: int, slack: float):
-    """Packs a partition's bins, as whole items, into fuller bins."""
+def _round(capacity: int, slack: float, most: int):
+    """Packs a partition's bins, as whole items, into fuller bins, ``most`` of them at a time."""
     enough = capacity - int(capacity * slack)
 
+    def packed(sizes: list[int], items: list) -> Iterator[pd.DataFrame]:
+        bins = best_fit(sizes, capacity)
+        for at in range(0, len(bins), 20_000):
+            part = bins[at : at + 20_000]
+            totals = [sum(sizes[i] for i in p) for p in part]
+            yield pd.DataFrame({"size": totals, "items": [[dict(x) if isinstance(x, dict) else x.asDict() for i in p for x in items[i]] for p in part], "done": [t >= enough for t in totals]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizes, items = [], []
         for b in batches:
             sizes += b["size"].tolist()
             items += b["items"].tolist()
-        packed = best_fit(sizes, capacity)
-        for at in range(0, len(packed), 20_000):
-            part = packed[at : at + 20_000]
-            totals = [sum(sizes[i] for i in p) for p in part]
-            yield pd.DataFrame({"size": totals, "items": [[dict(x) if isinstance(x, dict) else x.asDict() for i in p for x in items[i]] for p in part], "done": [t >= enough for t in totals]})
+            if len(sizes) >= most:
+                yield from packed(sizes, items)
+                sizes, items = [], []
+        yield from packed(sizes, items)
 
     return run
 
@@ -90,30 +98,33 @@ def pack(items: DataFrame, capacity: int = 2048, slack: float = SLACK, fan_in: i
     """Assigns every item (doc_id, piece, start, size) to a bin of ``capacity``; no item is split.
 
     First each partition packs its own items best-fit and lets nearly full bins go. What stays underfull is an item of
-    the next round, in which ``fan_in`` partitions are merged into one, until one partition is left or ``task_bins`` would be exceeded. A bin holds at
-    most ``capacity`` items, so nothing grows with the data.
+    the next round, in which ``fan_in`` partitions are merged into one. While one partition would have more than ``task_bins`` of them, they are shared out over so many more,
+    mixed anew in each round, until all are in one partition or a round merges (almost) nothing, as with bins that are all more than half full. So every underfull
+    bin meets others in every round, at any size. A bin holds at most ``capacity`` items, so nothing grows with the data.
 
     Columns: doc_id, piece, start, size, bin_id, bin_size. Items of size 0 or less need no room: their bin_id is null. Items larger
-    than the capacity are an error of the caller and raise. Of rows with equal doc_id and piece one is packed, the largest.
+    than the capacity are an error of the caller and raise. Of rows with equal doc_id and piece one is packed, the largest. Rows without doc_id or piece can't be told
+    apart and are left out.
     """
-    items = items.groupBy("doc_id", "piece").agg(F.max(F.struct("size", "start")).alias("x")).select("doc_id", "piece", "x.start", "x.size")
+    items = items.where("doc_id is not null and piece is not null").groupBy("doc_id", "piece").agg(F.max(F.struct("size", "start")).alias("x")).select("doc_id", "piece", "x.start", "x.size")
     sized = items.where("size > 0").withColumn("size", F.when(F.col("size") <= capacity, F.col("size")).otherwise(F.raise_error(F.lit("an item exceeds the capacity")).cast("bigint")))
     full = sized.where(F.col("size") == capacity)
     one = F.array(F.struct("doc_id", "piece", "start", "size")).alias("items")
-    state = sized.where(F.col("size") < capacity).select("size", one).mapInPandas(_round(capacity, slack), BIN)
-    state = staged(state, "packing")
+    step = _round(capacity, slack, task_bins)
+    state = staged(sized.where(F.col("size") < capacity).select("size", one).mapInPandas(step, BIN), "packing")
     parts = [full.select("size", one), state.where("done").select("size", "items")]
     n = max(1, state.rdd.getNumPartitions())
     left = state.where("not done")
-    while n > 1:
-        count = left.count()
-        target = max(-(-n // fan_in), -(-count // task_bins))
-        if target >= n or not count:
-            break
-        n = target
-        state = staged(left.select("size", "items").repartition(n).mapInPandas(_round(capacity, slack), BIN), "packing")
+    count = left.count()
+    while count > 1:
+        fewer = max(-(-n // fan_in), -(-count // task_bins))
+        before, n, last = count, fewer, n
+        state = staged(left.select("size", "items").repartition(n).mapInPandas(step, BIN), "packing")
         parts.append(state.where("done").select("size", "items"))
         left = state.where("not done")
+        count = left.count()
+        if n == 1 or n >= last and count > PROGRESS * before:
+            break
     parts.append(left.select("size", "items"))
     bins = parts[0]
     for p in parts[1:]:
