@@ -83,6 +83,26 @@ def test_pagerank_of_nothing(spark):
     assert graph.pagerank(graph.nodes(links), links).count() == 0
 
 
+def test_stems_as_sql():
+    """The SQL that holds the stemmer in the checks, on made-up words with all endings."""
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    from weft.functions.stem import _KEPT, _SPECIAL, _STEP2, _STEP3, _STEP4
+    from weft.plans.stem_sql import stem_steps
+
+    rng = random.Random(1)
+    endings = [*(e for e, _ in _STEP2 + _STEP3), *_STEP4, *"s es ed ing eed eedly ingly edly ly y ies ied sses us ss e ll".split(), ""]
+    words = {*_SPECIAL, *_KEPT, "yyy", "ayy", "generously", "communism", "hopping", "hoping", "gas", "ties"}
+    words |= {w for _ in range(8000) if (w := "".join(rng.choice("aeiouybcdlgnrstmp") for _ in range(rng.randrange(7))) + rng.choice(endings) + rng.choice(["", rng.choice(endings)]))}
+    con = duckdb.connect()
+    con.register("words", pd.DataFrame({"term": sorted(words)}))
+    got = dict(con.execute(f"WITH {stem_steps('words')} SELECT term, stem FROM stems").fetchall())
+    assert {w: stem(w) for w in words} == got
+
+
 def test_stems():
     pairs = "consign consign consigned consign consistency consist knackeries knackeri knightly knight skies sky dying die generously generous communication communic relational relat hopping hop hoping hope flies fli cries cri by by say say happy happi news news proceed proceed national nation argument argument running run ties tie gas gas this this controlling control sensibilities sensibl very veri only onli becomes becom".split()
     for word, want in zip(pairs[::2], pairs[1::2]):

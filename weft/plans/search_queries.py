@@ -13,6 +13,7 @@ from weft.functions.links import accepted, host_of, page_links
 from weft.functions.text import laundry, phrases_of, split_words, stemmed, stop_words, without_phrases
 from weft.operators import graph, index, reindex, search, topics
 from weft.plans.engine import Engine, build_index, index_fields, update_index
+from weft.plans.stem_sql import stem_steps
 from weft.session import read, scratch_path, spread, staged
 from weft.sources import codec, sinks
 from weft.sources.store import KEYS, SCHEMAS, KeyedTable
@@ -400,6 +401,16 @@ def results_json(spark, d):
     return sinks.as_json(read(spark, d, "results").select("result_id", "query_id", "doc_id", "url"))
 
 
+def results_json_fields(spark, d):
+    """Every field of the results after the way to JSON and back; maps and lists as text, the scores to six places."""
+    r = read(spark, d, "results")
+    back = sinks.as_json(r).select(F.from_json("value", r.schema, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"}).alias("r")).select("r.*")
+    words = F.array_join(F.array_sort(F.transform(F.map_entries("words_mapping"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ";")
+    scores = [F.when(~F.isnan(c), F.round(c, 6)).alias(c) for c in ("page_rank", "title_rank", "body_rank", "final_rank")]
+    lists = [F.array_join(c, "|", "~").alias(c) for c in ("children", "parents")]
+    return back.select("result_id", "query_id", "query_text", "doc_id", "url", "page_title", F.date_format("mod_date", "yyyy-MM-dd HH:mm:ss").alias("mod_date"), "page_size", *lists, words.alias("words_mapping"), "summary", *scores)
+
+
 def document_report(spark, d):
     """The report of every document, whole."""
     return sinks.report(search.last_versions(read(spark, d, "docs"))).select("doc_id", "value")
@@ -531,7 +542,7 @@ QUERIES = {
         multi_phrase_concat, require_phrase_search, query_parse, stored_weights, stored_magnitudes, term_hashes, page_titles, link_filter, web_nodes, out_degree, in_degree, children_top5, parents_of,
         page_body_terms, page_title_terms, anchor_terms, page_title_postings, parents_anchor_map, page_search, page_index, index_update, page_search_snippets, page_search_cards, page_search_stemmed, pagerank_synthetic_edges, pagerank_topics, pagerank_topics_all, bfs_depth, bfs_depth_all, crawl_budget, domain_filter,
         word_list_prefix, word_list_page, top5_words_per_doc, topic_names, topic_term_freq, topic_metadata, term_topics, topic_posterior, reindex_purge, freshness_filter, change_detection_md5, docs_last_version,
-        upsert_and_delete, page_sizes, doc_json, doc_json_fields, results_json, document_report, topic_search, pagerank_converged, domain_crawl, streamed_pages, keyed_lookups, position_intersections, result_cards, results_hydrated, results_hydrated_all, final_rank, snippet_dynamic, snippet_static, snippet_phrase, stem_terms, stemmed_search,
+        upsert_and_delete, page_sizes, doc_json, doc_json_fields, results_json, results_json_fields, document_report, topic_search, pagerank_converged, domain_crawl, streamed_pages, keyed_lookups, position_intersections, result_cards, results_hydrated, results_hydrated_all, final_rank, snippet_dynamic, snippet_static, snippet_phrase, stem_terms, stemmed_search,
     )},
     "page_links": page_links_query,
     "pagerank_1_iter": _pagerank(1),
@@ -675,6 +686,23 @@ _PAGE_SEARCH_SQL = f"""WITH {_TITLE_POSTINGS}, {_LINKS},
                       coalesce(sum(w) FILTER (field = 'body'), 0) / nullif(any_value(mb) * sqrt({2 + len(_tokens('moved to the home page'))}), 0) AS b FROM hits JOIN mag USING (doc_id) GROUP BY doc_id),
         fin AS (SELECT doc_id, coalesce(t, 0) AS t, coalesce(b, 0) AS b, (0.38 * coalesce(t, 0) + 0.29 * coalesce(b, 0)) * 100 AS f FROM sc)"""
 
+_STEM_TOK = f"""w0 AS (SELECT doc_id, t.term, t.pos FROM (SELECT doc_id, {_words('text')} AS toks FROM documents), unnest(toks) WITH ORDINALITY AS t(term, pos)), {stem_steps('w0')},
+    freq AS (SELECT doc_id, stem AS term, count(*) AS freq FROM w0 JOIN stems USING (term) WHERE NOT list_contains({_STOP}, stem) GROUP BY ALL)"""
+_STEMMED_SEARCH = _search_sql(["harbor", "measur"], [], 50).replace(_TOK, _STEM_TOK).replace("FROM tok t JOIN", "FROM (SELECT doc_id, term, 0 AS pos FROM freq) t JOIN").replace("round(coalesce(b, 0), 4) AS body_rank, ", "")
+_PAGE_SEARCH_STEMMED = f"""WITH {_PAGES}, {_LINKS}, {_ANCHORS.replace(_laundry("regexp_replace(text, '&(amp|gt|lt|quot|nbsp);?', ' ', 'g')"), _words("regexp_replace(text, '&(amp|gt|lt|quot|nbsp);?', ' ', 'g')"))},
+    raw AS (SELECT 'body' AS field, doc_id, unnest({_words(_BODY)}) AS term FROM pg UNION ALL SELECT 'title', doc_id, unnest({_words(_TITLE)}) FROM pg UNION ALL SELECT 'title', doc_id, unnest({_words(_META)}) FROM pg UNION ALL SELECT 'anchor', dst, term FROM ah),
+    {stem_steps('raw')},
+    st AS (SELECT field, doc_id, stem AS term, count(*) AS n FROM raw JOIN stems USING (term) WHERE NOT list_contains({_STOP}, stem) GROUP BY ALL),
+    tf AS (SELECT field, doc_id, term, CAST(CAST(n AS FLOAT) / CAST(max(n) OVER (PARTITION BY field, doc_id) AS FLOAT) AS FLOAT) AS tf FROM st),
+    post AS (SELECT field, doc_id, term, tf FROM tf WHERE field <> 'anchor' UNION ALL SELECT 'title', doc_id, term, tf FROM tf a WHERE field = 'anchor' AND NOT EXISTS (SELECT 1 FROM tf o WHERE o.field = 'title' AND o.doc_id = a.doc_id AND o.term = a.term)),
+    nd AS (SELECT src AS doc_id FROM lk UNION SELECT md5(dst_url) FROM lk UNION SELECT doc_id FROM pg),
+    idf AS (SELECT field, term, CAST(log2((SELECT count(*) FROM nd)::DOUBLE / count(*)) AS FLOAT) AS idf FROM post GROUP BY ALL),
+    wt AS (SELECT field, term, doc_id, CAST(tf * idf AS FLOAT) AS weight FROM post JOIN idf USING (field, term)),
+    mag AS (SELECT doc_id, sqrt(coalesce(sum(CAST(CAST(weight * weight AS FLOAT) AS DOUBLE)) FILTER (field = 'title'), 0)) AS mt, sqrt(coalesce(sum(CAST(CAST(weight * weight AS FLOAT) AS DOUBLE)) FILTER (field = 'body'), 0)) AS mb FROM wt GROUP BY doc_id),
+    sc AS (SELECT doc_id, coalesce(sum(CAST(weight AS DOUBLE)) FILTER (field = 'title'), 0) / nullif(any_value(mt) * sqrt(2), 0) AS t, coalesce(sum(CAST(weight AS DOUBLE)) FILTER (field = 'body'), 0) / nullif(any_value(mb) * sqrt(2), 0) AS b
+           FROM wt JOIN mag USING (doc_id) WHERE term IN ('ladder', 'move') GROUP BY doc_id),
+    fin AS (SELECT doc_id, (0.38 * coalesce(t, 0) + 0.29 * coalesce(b, 0)) * 100 AS f FROM sc)
+    SELECT doc_id, round(f, 4) AS final_rank FROM fin ORDER BY round(f, 9) DESC, doc_id LIMIT 50"""
 
 ORACLE = {
     "tokenize_documents": f"WITH l AS (SELECT doc_id, {_words('text')} AS toks FROM documents) SELECT doc_id, t.term, t.pos - 1 AS pos FROM l, unnest(toks) WITH ORDINALITY AS t(term, pos)",
@@ -766,10 +794,18 @@ ORACLE = {
         w AS (SELECT result_id, x.key AS h, x.value AS n, row_number() OVER (PARTITION BY result_id ORDER BY x.value DESC, x.key) AS k FROM (SELECT result_id, unnest(map_entries(words)) AS x FROM j)),
         wm AS (SELECT result_id, string_agg(term || ':' || n, ' ' ORDER BY term) AS words FROM w JOIN terms ON term_hash = h WHERE k <= 5 GROUP BY result_id)
         SELECT result_id, doc_id, url, page_title, children, parents, mod_date, page_size, wm.words AS words FROM j LEFT JOIN cu USING (result_id) LEFT JOIN pu USING (result_id) LEFT JOIN wm USING (result_id)""",
+    "stem_terms": f"WITH {stem_steps('terms')} SELECT term, stem FROM terms JOIN stems USING (term)",
+    "stemmed_search": _STEMMED_SEARCH,
+    "page_search_stemmed": _PAGE_SEARCH_STEMMED,
     "final_rank": """SELECT result_id, round((0.33 * CASE WHEN page_rank IS NULL OR isnan(page_rank) THEN 0 ELSE page_rank END + 0.38 * CASE WHEN title_rank IS NULL OR isnan(title_rank) THEN 0 ELSE title_rank END
         + 0.29 * CASE WHEN body_rank IS NULL OR isnan(body_rank) THEN 0 ELSE body_rank END) * 100, 4) AS blend FROM results""",
     "snippet_dynamic": _snippet_sql(["harbor", "tide", "fluss"]),
     "snippet_static": _snippet_sql(["zzzz"]),
+    "results_json_fields": """WITH w AS (SELECT result_id, string_agg(x.key || '=' || x.value, ';' ORDER BY x.key || '=' || x.value) AS words FROM (SELECT result_id, unnest(map_entries(words_mapping)) AS x FROM results) GROUP BY result_id)
+        SELECT result_id, query_id, query_text, doc_id, url, page_title, strftime(mod_date, '%Y-%m-%d %H:%M:%S') AS mod_date, page_size, array_to_string(list_transform(children, lambda v: coalesce(v, '~')), '|') AS children,
+               array_to_string(list_transform(parents, lambda v: coalesce(v, '~')), '|') AS parents, CASE WHEN words_mapping IS NULL THEN NULL ELSE coalesce(w.words, '') END AS words_mapping, summary,
+               round(CASE WHEN NOT isnan(page_rank) THEN page_rank END, 6) AS page_rank, round(CASE WHEN NOT isnan(title_rank) THEN title_rank END, 6) AS title_rank,
+               round(CASE WHEN NOT isnan(body_rank) THEN body_rank END, 6) AS body_rank, round(CASE WHEN NOT isnan(final_rank) THEN final_rank END, 6) AS final_rank FROM results LEFT JOIN w USING (result_id)""",
     "snippet_phrase": _snippet_sql(["harbor"], ["opened", "for"]),
     "document_report": f"""WITH {_LAST}, w AS (SELECT doc_id, string_agg(x.key || ' ' || x.value, '; ' ORDER BY x.key) AS words FROM (SELECT doc_id, unnest(map_entries(words)) AS x FROM last) GROUP BY doc_id)
         SELECT doc_id, concat_ws(chr(10), array_to_string(title, ' '), url, strftime(mod_date, '%a, %d %b %Y %H:%M:%S UTC') || ', ' || page_size,
