@@ -15,6 +15,13 @@ def topic_name(url: Column) -> Column:
     return F.replace(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit("/"), F.lit(""))
 
 
+def directory_step(topic_url: Column, url: Column) -> Column:
+    """What a link found on a topic's directory page leads to: 'category' on the directory's host and below the topic's path, 'listed' on another host, else null."""
+    host = lambda u: F.lower(F.regexp_extract(u, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
+    path = lambda u: F.regexp_extract(u, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    return F.when(host(url) == "", F.lit(None)).when(host(url) != host(topic_url), "listed").when(F.startswith(path(url), path(topic_url)), "category")
+
+
 def topic_term_freq(hits: DataFrame) -> DataFrame:
     """(topic, term, freq) of hits (topic, term); rows without a topic don't count."""
     return hits.where("topic is not null and term is not null").groupBy("topic", "term").agg(F.count(F.lit(1)).alias("freq"))

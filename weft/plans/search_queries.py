@@ -411,6 +411,27 @@ def results_json_fields(spark, d):
     return back.select("result_id", "query_id", "query_text", "doc_id", "url", "page_title", F.date_format("mod_date", "yyyy-MM-dd HH:mm:ss").alias("mod_date"), "page_size", *lists, words.alias("words_mapping"), "summary", *scores)
 
 
+def snippet_highlighted(spark, d):
+    """Snippets in which the first occurrence of each query word is marked."""
+    words = ["harbor", "tide"]
+    return _snippets(spark, d, words).select("doc_id", sinks.highlighted(F.col("summary"), words).alias("summary"))
+
+
+def portal_links(spark, d):
+    """What each link found on the pages is to the directory of one topic: a category of its own, a listed page, or neither."""
+    start = read(spark, d, "portals").where("topic = 'science'").agg(F.min("url")).first()[0]
+    links = page_links(_fields(spark, d)).select("dst_url").distinct()
+    return links.select(F.lit(start).alias("topic_url"), "dst_url", topics.directory_step(F.lit(start), F.col("dst_url")).alias("step"))
+
+
+def index_dump(spark, d):
+    """Every row of two tables of an index."""
+    index_ = {n: KeyedTable(spark, scratch_path(spark, n), SCHEMAS[n], KEYS[n]) for n in ("terms", "links")}
+    index_["terms"].set(read(spark, d, "terms"))
+    index_["links"].set(read(spark, d, "links").where("src is not null and ord is not null").dropDuplicates(["src", "ord"]))
+    return sinks.dump({n: t.scan() for n, t in index_.items()}).groupBy("table").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first"))
+
+
 def document_report(spark, d):
     """The report of every document, whole."""
     return sinks.report(search.last_versions(read(spark, d, "docs"))).select("doc_id", "value")
@@ -542,7 +563,7 @@ QUERIES = {
         multi_phrase_concat, require_phrase_search, query_parse, stored_weights, stored_magnitudes, term_hashes, page_titles, link_filter, web_nodes, out_degree, in_degree, children_top5, parents_of,
         page_body_terms, page_title_terms, anchor_terms, page_title_postings, parents_anchor_map, page_search, page_index, index_update, page_search_snippets, page_search_cards, page_search_stemmed, pagerank_synthetic_edges, pagerank_topics, pagerank_topics_all, bfs_depth, bfs_depth_all, crawl_budget, domain_filter,
         word_list_prefix, word_list_page, top5_words_per_doc, topic_names, topic_term_freq, topic_metadata, term_topics, topic_posterior, reindex_purge, freshness_filter, change_detection_md5, docs_last_version,
-        upsert_and_delete, page_sizes, doc_json, doc_json_fields, results_json, results_json_fields, document_report, topic_search, pagerank_converged, domain_crawl, streamed_pages, keyed_lookups, position_intersections, result_cards, results_hydrated, results_hydrated_all, final_rank, snippet_dynamic, snippet_static, snippet_phrase, stem_terms, stemmed_search,
+        upsert_and_delete, page_sizes, doc_json, doc_json_fields, results_json, results_json_fields, snippet_highlighted, portal_links, index_dump, document_report, topic_search, pagerank_converged, domain_crawl, streamed_pages, keyed_lookups, position_intersections, result_cards, results_hydrated, results_hydrated_all, final_rank, snippet_dynamic, snippet_static, snippet_phrase, stem_terms, stemmed_search,
     )},
     "page_links": page_links_query,
     "pagerank_1_iter": _pagerank(1),
@@ -806,6 +827,15 @@ ORACLE = {
                array_to_string(list_transform(parents, lambda v: coalesce(v, '~')), '|') AS parents, CASE WHEN words_mapping IS NULL THEN NULL ELSE coalesce(w.words, '') END AS words_mapping, summary,
                round(CASE WHEN NOT isnan(page_rank) THEN page_rank END, 6) AS page_rank, round(CASE WHEN NOT isnan(title_rank) THEN title_rank END, 6) AS title_rank,
                round(CASE WHEN NOT isnan(body_rank) THEN body_rank END, 6) AS body_rank, round(CASE WHEN NOT isnan(final_rank) THEN final_rank END, 6) AS final_rank FROM results LEFT JOIN w USING (result_id)""",
+    "snippet_highlighted": f"""WITH s AS ({_snippet_sql(["harbor", "tide"])}), i AS (SELECT *, instr(lower(summary), 'harbor') AS a, instr(lower(summary), 'tide') AS b FROM s),
+        j AS (SELECT doc_id, summary, CASE WHEN a > 0 AND (b = 0 OR a < b) THEN a ELSE b END AS x, CASE WHEN a > 0 AND (b = 0 OR a < b) THEN 6 ELSE 4 END AS nx, CASE WHEN a > 0 AND b > 0 THEN greatest(a, b) ELSE 0 END AS y, CASE WHEN a > b THEN 6 ELSE 4 END AS ny FROM i)
+        SELECT doc_id, CASE WHEN x = 0 THEN summary WHEN y = 0 THEN left(summary, x - 1) || '<b>' || substr(summary, x, nx) || '</b>' || substr(summary, x + nx)
+               ELSE left(summary, x - 1) || '<b>' || substr(summary, x, nx) || '</b>' || substr(summary, x + nx, y - x - nx) || '<b>' || substr(summary, y, ny) || '</b>' || substr(summary, y + ny) END AS summary FROM j""",
+    "portal_links": f"""WITH {_PAGES}, {_LINKS}, t AS (SELECT min(url) AS topic_url FROM portals WHERE topic = 'science')
+        SELECT topic_url, dst_url, CASE WHEN regexp_extract(dst_url, '^[a-z]+://([^/?#]*)', 1) = '' THEN NULL WHEN regexp_extract(dst_url, '^[a-z]+://([^/?#]*)', 1) <> regexp_extract(topic_url, '^[a-z]+://([^/?#]*)', 1) THEN 'listed'
+               WHEN starts_with(regexp_extract(dst_url, '^[a-z]+://[^/?#]*([^?#]*)', 1), regexp_extract(topic_url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) THEN 'category' END AS step FROM (SELECT DISTINCT dst_url FROM lk), t""",
+    "index_dump": """SELECT 'terms' AS "table", count(*) AS n, min('{"term_hash":"' || term_hash || '","term":"' || term || '"}') AS "first" FROM terms
+        UNION ALL SELECT 'links', count(*), min('{"src":"' || src || '","dst":"' || dst || '","ord":' || ord || '}') FROM (SELECT DISTINCT src, ord, dst FROM links WHERE src IS NOT NULL AND ord IS NOT NULL)""",
     "snippet_phrase": _snippet_sql(["harbor"], ["opened", "for"]),
     "document_report": f"""WITH {_LAST}, w AS (SELECT doc_id, string_agg(x.key || ' ' || x.value, '; ' ORDER BY x.key) AS words FROM (SELECT doc_id, unnest(map_entries(words)) AS x FROM last) GROUP BY doc_id)
         SELECT doc_id, concat_ws(chr(10), array_to_string(title, ' '), url, strftime(mod_date, '%a, %d %b %Y %H:%M:%S UTC') || ', ' || page_size,

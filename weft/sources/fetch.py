@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.html import extract_fields
 from weft.functions.links import host_of, page_links
+from weft.operators.topics import directory_step, topic_name
 from weft.session import staged
 from weft.sources.codec import parse_rfc1123
 
@@ -46,15 +48,15 @@ def fetch(urls: DataFrame, timeout: float = 15.0, threads: int = 16) -> DataFram
     return rows.select(F.md5("url").alias("doc_id"), "url", "html", when.alias("last_modified"), "content_length", "status")
 
 
-def crawl(seeds: DataFrame, budget: int = 500, domain: str | None = None, fetcher: Callable[[DataFrame], DataFrame] = fetch, max_depth: int = 100) -> DataFrame:
+def crawl(seeds: DataFrame, budget: int = 500, domain: str | None = None, fetcher: Callable[[DataFrame], DataFrame] = fetch, max_depth: int | None = None) -> DataFrame:
     """The pages reached from ``seeds`` (url) with the level at which they were found (depth), each URL once.
 
-    A level is fetched as a whole, then its links make the next. At most ``budget`` pages are fetched with success, nearest first and in order of URL within
+    A level is fetched as a whole, then its links make the next, until one is empty or ``max_depth`` is reached. At most ``budget`` pages are fetched with success, nearest first and in order of URL within
     a level; pages that fail don't count. With ``domain`` only hosts that end in it are entered. Only counts reach the driver.
     """
     front = seeds.select("url").where("url is not null").distinct()
     pages, done, seen = None, 0, None
-    for depth in range(max_depth + 1):
+    for depth in itertools.count() if max_depth is None else range(max_depth + 1):
         if domain is not None:
             front = front.where(host_of(F.col("url")).endswith(domain))
         if seen is not None:
@@ -78,3 +80,33 @@ def crawl(seeds: DataFrame, budget: int = 500, domain: str | None = None, fetche
             break
         front = page_links(extract_fields(level.where("html is not null"))).select(F.col("dst_url").alias("url")).distinct()
     return pages if pages is not None else fetcher(front.limit(0)).withColumn("depth", F.lit(0))
+
+
+def crawl_directory(topics: DataFrame, fetcher: Callable[[DataFrame], DataFrame] = fetch, max_depth: int | None = None) -> DataFrame:
+    """The pages of a topic directory: (topic, doc_id, url, html, listed) from the topics' start pages ``topics`` (url).
+
+    Pages of the directory are followed within the host and below the path of their topic, level by level, each once a topic; links from them to other hosts are the
+    topic's listed pages, which are fetched but not followed. Every fetched page counts for its topic, directory pages too (see operators.topics.topic_pages, which takes the
+    rows as they are); terms come from the listed ones alone. Only whether a level is empty reaches the driver.
+    """
+    front = topics.select(F.col("url").alias("topic_url"), "url").where("url is not null").distinct()
+    seen = pages = listed = None
+    for _ in itertools.count() if max_depth is None else range(max_depth + 1):
+        front = staged(front if seen is None else front.join(seen, ["topic_url", "url"], "left_anti"), "front")
+        if front.isEmpty():
+            break
+        seen = front if seen is None else seen.unionByName(front)
+        got = staged(front.join(fetcher(front.select("url").distinct()), "url").select("topic_url", "doc_id", "url", "html"), "directory")
+        pages = got if pages is None else pages.unionByName(got)
+        fields = extract_fields(got.where("html is not null"), "topic_url").withColumn("doc_id", F.struct("doc_id", "topic_url"))
+        steps = page_links(fields).select(F.col("src.topic_url").alias("topic_url"), F.col("dst_url").alias("url"))
+        steps = staged(steps.withColumn("step", directory_step(F.col("topic_url"), F.col("url"))).where("step is not null").distinct(), "steps")
+        found = steps.where("step = 'listed'").select("topic_url", "url")
+        listed = found if listed is None else listed.unionByName(found)
+        front = steps.where("step = 'category'").select("topic_url", "url")
+    if pages is None:
+        return fetcher(topics.select("url").limit(0)).select(F.lit("").alias("topic"), "doc_id", "url", "html", F.lit(False).alias("listed"))
+    asked = staged(listed.distinct(), "listed")
+    out = asked.join(fetcher(asked.select("url").distinct()), "url").select("topic_url", "doc_id", "url", "html")
+    both = pages.withColumn("listed", F.lit(False)).unionByName(out.withColumn("listed", F.lit(True)))
+    return both.select(topic_name(F.col("topic_url")).alias("topic"), "doc_id", "url", "html", "listed")
