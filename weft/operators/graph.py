@@ -57,7 +57,7 @@ def pagerank(node_ids: DataFrame, links: DataFrame, n: float | None = None, d: f
     Each round hands d * rank / out-degree to every target, adds 1 - d to every node and divides by what was passed on, counted once per
     parent, plus (1 - d) times the number of nodes. Nodes without targets keep nothing back. All start from 1 / n, and the first round's sums do, too.
     With ``bias`` (doc_id, with topics also topic) the same sum of teleports goes to these nodes only, in equal shares.
-    With ``topic_sizes`` (topic -> n) all topics run together as one more column. Only two numbers per round reach the driver.
+    With ``topic_sizes`` (topic -> n) all topics run together as one more column. Only two numbers per round (and topic) reach the driver.
     The ranks are written to the shared folder each round; the edges stay hashed by source, so a round shuffles ranks and partial sums only.
     """
     spark = node_ids.sparkSession
@@ -69,36 +69,36 @@ def pagerank(node_ids: DataFrame, links: DataFrame, n: float | None = None, d: f
     if not count:
         return start
     edges = distinct_edges(links)
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg")).persist()
-    edges = edges.join(degree, "src").repartition("src").persist()
-    rank = staged(start, "rank")
+    degree = edges.groupBy(F.col("src").alias("doc_id")).agg(F.count(F.lit(1)).alias("deg"))
+    edges = edges.repartition("src").persist()
+    by = key[1:]
+    # Every row carries its out-degree, so that one aggregate a round tells both what is passed on next and how much has changed.
+    rank = staged(start.join(degree, "doc_id", "left"), "rank")
+    share = d * F.col("rank") / F.col("deg")
+    sums = lambda df, *more: df.groupBy(*by).agg(F.sum(share).alias("passed"), *more).collect()
     if bias is not None:
         own = bias.join(ids, "doc_id", "left_semi").select(*key).distinct()
-        sizes = own.groupBy(*key[1:]).agg(F.count(F.lit(1)).alias("_size"))
+        sizes = own.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
         shares_of = own.join(sizes, "topic") if topic_sizes else own.withColumn("_size", F.lit(own.count()))
         bias = staged(shares_of.select(*key, (F.lit((1 - d) * count) / F.col("_size")).alias("_teleport")), "bias")
     try:
+        passed = sums(rank)
         for k in range(max_iter):
-            shares = rank.join(degree, rank.doc_id == degree.src)
-            by = ["topic"] if topic_sizes else []
-            passed = {r["topic"] if by else None: r["s"] for r in shares.groupBy(*by).agg(F.sum(d * F.col("rank") / F.col("deg")).alias("s")).collect()}
-            inflow = edges.join(rank.withColumnRenamed("doc_id", "src"), "src").groupBy(F.col("dst").alias("doc_id"), *by).agg(F.sum(d * F.col("rank") / F.col("deg")).alias("_in"))
-            topics = list(topic_sizes) if topic_sizes else [None]
-            totals = {t: (passed.get(t) or 0.0) + (1 - d) * count for t in topics}
-            total = F.lit(totals[None]) if not by else F.element_at(F.create_map(*[x for t in topics for x in (F.lit(t), F.lit(totals[t]))]), F.col("topic"))
+            totals = {r["topic"] if by else None: (r["passed"] or 0.0) + (1 - d) * count for r in passed}
+            total = F.lit(totals[None]) if not by else F.element_at(F.create_map(*[x for t in totals for x in (F.lit(t), F.lit(totals[t]))]), F.col("topic"))
+            inflow = edges.join(rank.withColumnRenamed("doc_id", "src"), "src").groupBy(F.col("dst").alias("doc_id"), *by).agg(F.sum(share).alias("_in"))
             base = F.col("rank") if k == 0 else F.lit(0.0)
             both = rank.join(inflow, key, "left")
             both = both.withColumn("_teleport", F.lit(1 - d)) if bias is None else both.join(bias, key, "left")
-            new = both.select(*key, ((base + F.coalesce("_in", F.lit(0.0)) + F.coalesce("_teleport", F.lit(0.0))) / total).alias("rank"), F.col("rank").alias("_old"))
+            new = both.select(*key, "deg", ((base + F.coalesce("_in", F.lit(0.0)) + F.coalesce("_teleport", F.lit(0.0))) / total).alias("rank"), F.col("rank").alias("_old"))
             new = staged(new, "rank")
-            delta = new.agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0]
+            passed = sums(new, F.sum(F.abs(F.col("rank") - F.col("_old"))).alias("delta"))
             rank = new.drop("_old")
-            if delta <= tol:
+            if sum(r["delta"] or 0.0 for r in passed) <= tol:
                 break
     finally:
         edges.unpersist()
-        degree.unpersist()
-    return rank
+    return rank.drop("deg")
 
 
 def levels(links: DataFrame, seeds: DataFrame, max_depth: int | None = None, budget: int | None = None, domain: str | None = None, urls: DataFrame | None = None) -> DataFrame:
