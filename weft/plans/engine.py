@@ -45,6 +45,9 @@ class Engine:
         pages = self.fields.join(ids, "doc_id", "left_semi").select("doc_id", "url", F.col("title").alias("page_title"), "mod_date", "page_size", snippet(text, words, phrases).alias("summary"))
         rows = best.join(pages, "doc_id", "left").join(self._keywords(ids), "doc_id", "left")
         if self.links is not None:
+            # Pages that are only linked to have no fields; their URL is that of the links.
+            linked = self.links.join(ids.select(F.col("doc_id").alias("dst")), "dst", "left_semi").groupBy(F.col("dst").alias("doc_id")).agg(F.min("dst_url").alias("_url"))
+            rows = rows.join(linked, "doc_id", "left").withColumn("url", F.coalesce("url", "_url")).drop("_url")
             rows = rows.join(self._children(ids), "doc_id", "left").join(self._parents(ids), "doc_id", "left")
         return rows.orderBy(F.desc(F.round("final_rank", 9)), "doc_id")
 

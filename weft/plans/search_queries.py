@@ -866,7 +866,8 @@ ORACLE = {
     "page_search_cards": f"""{_PAGE_SEARCH_SQL},
         kw AS (SELECT doc_id, term, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS k FROM bf), kj AS (SELECT doc_id, string_agg(term || ':' || n, ' ' ORDER BY k) AS keywords FROM kw WHERE k <= 5 GROUP BY doc_id),
         ch AS (SELECT src, dst, min(ord) AS o, min_by(dst_url, ord) AS u FROM (SELECT *, md5(dst_url) AS dst FROM lk) GROUP BY ALL), cr AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY o, dst) AS k FROM ch), cj AS (SELECT src AS doc_id, string_agg(u, ' ' ORDER BY k) AS children FROM cr WHERE k <= 5 GROUP BY src),
-        pe AS (SELECT DISTINCT md5(dst_url) AS dst, src FROM lk), pr AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src) AS k FROM pe), pj AS (SELECT dst AS doc_id, string_agg(pg.url, ' ' ORDER BY pr.k) AS parents FROM pr JOIN pg ON pg.doc_id = pr.src WHERE pr.k <= 5 GROUP BY dst)
-        SELECT doc_id, round(f, 4) AS final_rank, url, {_TITLE} AS page_title, last_modified AS mod_date, coalesce(content_length, strlen(html), 0) AS page_size, keywords, children, parents
-        FROM fin JOIN pg USING (doc_id) LEFT JOIN kj USING (doc_id) LEFT JOIN cj USING (doc_id) LEFT JOIN pj USING (doc_id) ORDER BY round(f, 9) DESC, doc_id LIMIT 50""",
+        pe AS (SELECT DISTINCT md5(dst_url) AS dst, src FROM lk), pr AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src) AS k FROM pe), pj AS (SELECT dst AS doc_id, string_agg(pg.url, ' ' ORDER BY pr.k) AS parents FROM pr JOIN pg ON pg.doc_id = pr.src WHERE pr.k <= 5 GROUP BY dst),
+        un AS (SELECT md5(dst_url) AS doc_id, min(dst_url) AS dst_url FROM lk GROUP BY ALL)
+        SELECT fin.doc_id, round(f, 4) AS final_rank, coalesce(url, dst_url) AS url, CASE WHEN pg.doc_id IS NOT NULL THEN {_TITLE} END AS page_title, last_modified AS mod_date, CASE WHEN pg.doc_id IS NOT NULL THEN coalesce(content_length, strlen(html), 0) END AS page_size, keywords, children, parents
+        FROM fin LEFT JOIN pg ON pg.doc_id = fin.doc_id LEFT JOIN un ON un.doc_id = fin.doc_id LEFT JOIN kj ON kj.doc_id = fin.doc_id LEFT JOIN cj ON cj.doc_id = fin.doc_id LEFT JOIN pj ON pj.doc_id = fin.doc_id ORDER BY round(f, 9) DESC, fin.doc_id LIMIT 50""",
 }
