@@ -116,8 +116,9 @@ def unpacked_id(packed: Column) -> Column:
     return F.when(F.substring(packed, 1, 1) == F.lit(bytearray(b"\x01")), F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))
 
 
-def enrichment(entries: DataFrame) -> DataFrame:
-    """Scores every (field, term, doc_id) of ``entries`` (field, term, doc_id, occ bigint, tf float).
+def enrichment(entries: DataFrame, single: DataFrame | None = None) -> DataFrame:
+    """Scores every (field, term, doc_id) of ``entries`` (field, term, doc_id, occ bigint, tf float), and of ``single``, entries of other fields that are known to
+    stand there once each, so that they need no shuffle to be made so.
 
     Within a field the collection is an urn of all occurrences. For a term with K occurrences in a collection of N, a
     record of n occurrences holds k of them by chance with a hypergeometric probability; p is that of k or more. The
@@ -128,9 +129,12 @@ def enrichment(entries: DataFrame) -> DataFrame:
     and scores 0. Equal p-values get equal scores. An empty table gives no rows.
     """
     key = ["field", "term", "doc_id"]
-    rows = entries.where("field is not null and term is not null and doc_id is not null").withColumn("doc_id", packed_id(F.col("doc_id")))
+    count = F.coalesce(F.greatest("occ", F.lit(0)), F.lit(0)).cast("bigint").alias("occ")
+    clean = lambda df: df.where("field is not null and term is not null and doc_id is not null").select("field", "term", packed_id(F.col("doc_id")).alias("doc_id"), count, "tf")
     # One aggregate that both uses below need whole: so they share its shuffle.
-    base = rows.groupBy(*key).agg(F.max(F.struct(F.coalesce(F.greatest("occ", F.lit(0)), F.lit(0)).cast("bigint").alias("occ"), "tf")).alias("x")).select(*key, "x.occ", "x.tf")
+    base = clean(entries).groupBy(*key).agg(F.max(F.struct("occ", "tf")).alias("x")).select(*key, "x.occ", "x.tf")
+    if single is not None:
+        base = base.unionByName(clean(single))
     per_term = base.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("occ").alias("_of_term"))
     totals = per_term.groupBy("field").agg(F.sum("_of_term").alias("_of_all"))
     # The dictionary is small beside the postings; Spark broadcasts it only when its measured size allows.

@@ -21,7 +21,7 @@ MARKS = math.log(2)
 
 def p3_term_scores(spark: SparkSession, d: str) -> DataFrame:
     """Scores of all terms of all records, from postings and from docs.words."""
-    scored = enrichment(postings_entries(read(spark, d, "postings")).unionByName(words_entries(read(spark, d, "docs"))))
+    scored = enrichment(postings_entries(read(spark, d, "postings")), words_entries(read(spark, d, "docs")))
     return scored.select("field", "term", "doc_id", "occ", "df", F.round("score", 3).alias("score"))
 
 
