@@ -61,12 +61,16 @@ def p8_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
-    """What must hold of the packing, in one row: each document placed once and whole, no container too full, few more containers than the tokens need."""
+    """What must hold of the packing, by document: placed once and whole, not cut needlessly, in containers that are not too full and as full as they say; and of all: few more containers than the tokens need."""
     placed = staged(p8_pack(spark, d), "placed")
-    bins = placed.where("bin_id is not null").groupBy("bin_id").agg(F.sum("size").alias("held"), F.max("bin_size").alias("said"), F.max(F.expr("cast(start <> 0 or piece <> 0 as int)")).alias("cut"))
-    per_bin = bins.agg(F.lit(1).alias("_k"), F.count_if(F.expr("held > 2048")).alias("too_full"), F.count_if(F.expr("held <> said")).alias("wrong_size"), (F.count(F.lit(1)) <= 1.02 * F.sum("held") / 2048 + 1).alias("tight"))
-    per_doc = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("piece").alias("pieces"), F.sum("size").alias("size"), F.max(F.col("start") + F.col("size")).alias("end"))
-    return per_doc.agg(F.lit(1).alias("_k"), F.count(F.lit(1)).alias("n_docs"), F.count_if(F.expr("n <> pieces or size <> end")).alias("not_whole"), F.count_if(F.expr("pieces > 1 and size <= 2048")).alias("cut_needlessly")).join(per_bin, "_k").drop("_k")
+    bins = placed.where("bin_id is not null").groupBy("bin_id").agg(F.sum("size").alias("held"), F.max("bin_size").alias("said"))
+    all_ = bins.agg(F.count(F.lit(1)).alias("n"), F.sum("held").alias("held")).first()
+    tight = all_["n"] <= 1.02 * (all_["held"] or 0) / 2048 + 1
+    rows = placed.join(bins, "bin_id", "left").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("piece").alias("pieces"), F.sum("size").alias("size"), F.max(F.col("start") + F.col("size")).alias("end"),
+        F.coalesce(F.max("held"), F.lit(0)).alias("fullest"), F.coalesce(F.bool_and(F.col("held") == F.col("said")), F.lit(True)).alias("as_said"),
+    )
+    return rows.select("doc_id", F.expr("n = pieces and size = end").alias("whole"), F.expr("pieces > 1 and size <= 2048").alias("cut_needlessly"), F.expr("fullest > 2048").alias("too_full"), "as_said", F.lit(tight).alias("tight"))
 
 
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +156,7 @@ ORACLE = {
                AND (SELECT count(*) FROM a x WHERE x.query_id = c.query_id AND x.p > c.p) * 10 < n
                AND (SELECT count(*) FROM a x WHERE x.query_id = c.query_id AND x.t > c.t) * 10 < n
                AND (SELECT count(*) FROM a x WHERE x.query_id = c.query_id AND x.b > c.b) * 10 < n AS stands_high FROM c""",
-    "p8_invariants": "SELECT count(DISTINCT doc_id) AS n_docs, 0 AS not_whole, 0 AS cut_needlessly, 0 AS too_full, 0 AS wrong_size, true AS tight FROM documents",
+    "p8_invariants": "SELECT DISTINCT doc_id, true AS whole, false AS cut_needlessly, false AS too_full, true AS as_said, true AS tight FROM documents WHERE doc_id IS NOT NULL",
     "p10_found": f"WITH {_SPANS} SELECT doc_id, span_start, span_end FROM sp",
     "p10_removed": f"""
         WITH {_SPANS.replace("HAVING count(DISTINCT doc_id) > 1", "").replace("SELECT h FROM w GROUP BY h", "SELECT h, min(doc_id) AS first FROM w GROUP BY h").replace("SELECT DISTINCT doc_id, i FROM w WHERE h IN (SELECT h FROM s)", "SELECT DISTINCT doc_id, i FROM w JOIN s USING (h) WHERE doc_id > first")},
