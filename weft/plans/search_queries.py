@@ -273,12 +273,6 @@ def pagerank_synthetic_edges(spark, d):
     return graph.pagerank(graph.nodes(e), e, max_iter=3, tol=0.0).select("doc_id", F.round("rank", 9).alias("rank"))
 
 
-def pagerank_topics(spark, d):
-    """Two rounds of two topics only, as its SQL has them; pagerank_topics_all has all topics, to convergence."""
-    links = read(spark, d, "links")
-    return graph.pagerank(graph.nodes(links), links, max_iter=2, tol=0.0, topic_sizes={"science": 100.0, "arts": 250.0}).select("doc_id", "topic", F.round("rank", 9).alias("rank"))
-
-
 def pagerank_topics_all(spark, d):
     """Every topic of page_rank, with its number of pages, until the ranks don't change any more."""
     links = read(spark, d, "links")
@@ -291,11 +285,6 @@ def _seed(spark, d):
     return graph.out_degrees(read(spark, d, "links")).agg(F.min_by("doc_id", F.struct(-F.col("out_degree"), "doc_id")).alias("doc_id"))
 
 
-def bfs_depth(spark, d):
-    """The first four levels only, as its SQL has them; bfs_depth_all has all."""
-    return graph.levels(read(spark, d, "links"), _seed(spark, d), max_depth=4)
-
-
 def bfs_depth_all(spark, d):
     """All pages that can be reached, until a level is empty."""
     return graph.levels(read(spark, d, "links"), _seed(spark, d))
@@ -507,14 +496,6 @@ def result_cards(spark, d):
     return r.select("result_id", "mod_day", F.round("final_rank", 0).alias("points"))
 
 
-def results_hydrated(spark, d):
-    """The answers of the 50 smallest ids only, as its SQL has them; results_hydrated_all has all."""
-    docs = search.last_versions(read(spark, d, "docs"))
-    best = read(spark, d, "results").where("final_rank is not null and not isnan(final_rank)").select("doc_id", "result_id").orderBy("result_id").limit(search.TOP)
-    out = search.hydrate(best, docs, read(spark, d, "terms"))
-    return out.select("result_id", "doc_id", "url", "page_title", F.array_join("children", " ").alias("children"), F.array_join("parents", " ").alias("parents"))
-
-
 def results_hydrated_all(spark, d):
     """All answers with the details of their pages."""
     docs = staged(search.last_versions(read(spark, d, "docs")), "docs")
@@ -561,9 +542,9 @@ QUERIES = {
     **{f.__name__: f for f in (
         tokenize_documents, stopword_filter, term_freq_documents, term_positions, doc_max_freq, doc_freq, idf, tfidf_weights, doc_magnitude, keyword_search_top50, phrase_match, phrase_and_keyword_search,
         multi_phrase_concat, require_phrase_search, query_parse, stored_weights, stored_magnitudes, term_hashes, page_titles, link_filter, web_nodes, out_degree, in_degree, children_top5, parents_of,
-        page_body_terms, page_title_terms, anchor_terms, page_title_postings, parents_anchor_map, page_search, page_index, index_update, page_search_snippets, page_search_cards, page_search_stemmed, pagerank_synthetic_edges, pagerank_topics, pagerank_topics_all, bfs_depth, bfs_depth_all, crawl_budget, domain_filter,
+        page_body_terms, page_title_terms, anchor_terms, page_title_postings, parents_anchor_map, page_search, page_index, index_update, page_search_snippets, page_search_cards, page_search_stemmed, pagerank_synthetic_edges, pagerank_topics_all, bfs_depth_all, crawl_budget, domain_filter,
         word_list_prefix, word_list_page, top5_words_per_doc, topic_names, topic_term_freq, topic_metadata, term_topics, topic_posterior, reindex_purge, freshness_filter, change_detection_md5, docs_last_version,
-        upsert_and_delete, page_sizes, doc_json, doc_json_fields, results_json, results_json_fields, snippet_highlighted, portal_links, index_dump, document_report, topic_search, pagerank_converged, domain_crawl, streamed_pages, keyed_lookups, position_intersections, result_cards, results_hydrated, results_hydrated_all, final_rank, snippet_dynamic, snippet_static, snippet_phrase, stem_terms, stemmed_search,
+        upsert_and_delete, page_sizes, doc_json, doc_json_fields, results_json, results_json_fields, snippet_highlighted, portal_links, index_dump, document_report, topic_search, pagerank_converged, domain_crawl, streamed_pages, keyed_lookups, position_intersections, result_cards, results_hydrated_all, final_rank, snippet_dynamic, snippet_static, snippet_phrase, stem_terms, stemmed_search,
     )},
     "page_links": page_links_query,
     "pagerank_1_iter": _pagerank(1),
@@ -770,12 +751,7 @@ ORACLE = {
         "x AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem), nd AS (SELECT src AS doc_id FROM x UNION SELECT dst FROM x)",
         "e AS (SELECT * FROM x), deg AS (SELECT src, count(*) AS deg FROM e GROUP BY src)",
     ),
-    "pagerank_topics": " UNION ALL ".join(
-        f"SELECT doc_id, '{t}' AS topic, rank FROM ({_pagerank_sql(2, 'nd AS (SELECT src AS doc_id FROM links UNION SELECT dst FROM links)', _EDGES, n)})" for t, n in (("science", "100.0::DOUBLE"), ("arts", "250.0::DOUBLE"))
-    ),
     "pagerank_topics_all": _pagerank_topics_sql(15),
-    "bfs_depth": """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM links), b(doc_id, depth) AS (
-        (SELECT src, 0 FROM e GROUP BY src ORDER BY count(*) DESC, src LIMIT 1) UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.doc_id WHERE b.depth < 4) SELECT doc_id, min(depth) AS depth FROM b GROUP BY doc_id""",
     "bfs_depth_all": """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM links WHERE src IS NOT NULL AND dst IS NOT NULL), b(doc_id, depth) USING KEY (doc_id) AS (
         (SELECT src, 0 FROM e GROUP BY src ORDER BY count(*) DESC, src LIMIT 1) UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.doc_id WHERE e.dst NOT IN (SELECT doc_id FROM recurring.b)) SELECT doc_id, depth FROM b""",
     "crawl_budget": """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM links), b(doc_id, depth) AS (
@@ -801,12 +777,6 @@ ORACLE = {
     "doc_json": f"""WITH {_LAST} SELECT doc_id, strftime(mod_date, '%a, %d %b %Y %H:%M:%S UTC') AS written, url, strftime(mod_date, '%Y-%m-%d %H:%M:%S') AS read_back, cardinality(parents) AS n_parents FROM last""",
     "results_json": """SELECT '{"result_id":' || result_id || coalesce(',"query_id":' || query_id, '') || coalesce(',"doc_id":"' || doc_id || '"', '') || coalesce(',"url":"' || url || '"', '') || '}' AS value FROM results""",
     "result_cards": "SELECT result_id, strftime(mod_date, '%Y-%m-%d') AS mod_day, round(final_rank, 0) AS points FROM results WHERE final_rank IS NOT NULL AND NOT isnan(final_rank) AND url <> ''",
-    "results_hydrated": f"""WITH {_LAST}, b AS (SELECT result_id, doc_id FROM results WHERE final_rank IS NOT NULL AND NOT isnan(final_rank) ORDER BY result_id LIMIT 50),
-        j AS (SELECT b.result_id, b.doc_id, last.url, CASE WHEN len(title) > 0 THEN array_to_string(title, ' ') ELSE regexp_extract(last.url, '^[a-z]+://([^/]*)', 1) END AS page_title,
-                     list_slice(list_filter(children, lambda c: c IS NOT NULL AND c <> ''), 1, 5) AS c, list_slice(list_sort(map_keys(parents)), 1, 5) AS p FROM b LEFT JOIN last ON last.doc_id = b.doc_id),
-        cu AS (SELECT result_id, string_agg(last.url, ' ' ORDER BY o) AS children FROM (SELECT result_id, t.id, t.o FROM j, unnest(c) WITH ORDINALITY AS t(id, o)) JOIN last ON doc_id = id GROUP BY result_id),
-        pu AS (SELECT result_id, string_agg(last.url, ' ' ORDER BY o) AS parents FROM (SELECT result_id, t.id, t.o FROM j, unnest(p) WITH ORDINALITY AS t(id, o)) JOIN last ON doc_id = id GROUP BY result_id)
-        SELECT result_id, doc_id, url, page_title, children, parents FROM j LEFT JOIN cu USING (result_id) LEFT JOIN pu USING (result_id)""",
     "results_hydrated_all": f"""WITH {_LAST},
         j AS (SELECT r.result_id, r.doc_id, last.url, CASE WHEN len(title) > 0 THEN array_to_string(title, ' ') ELSE regexp_extract(last.url, '^[a-z]+://([^/]*)', 1) END AS page_title, last.mod_date, last.page_size, last.words,
                      list_slice(list_filter(last.children, lambda c: c IS NOT NULL AND c <> ''), 1, 5) AS c, list_slice(list_sort(map_keys(last.parents)), 1, 5) AS p FROM results r LEFT JOIN last ON last.doc_id = r.doc_id),
