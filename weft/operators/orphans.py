@@ -9,7 +9,8 @@ changes nothing. All parts are files of one versioned table, so a step is one co
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,12 @@ def classify(refs: DataFrame, index: DataFrame) -> DataFrame:
     return found.select(*REF, F.explode(kinds_of()).alias("kind"))
 
 
+def at_once(*jobs: Callable) -> list:
+    """The results of independent jobs, which Spark runs side by side."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
+
+
 class OrphanTracker:
     """The state and its steps. ``known`` (doc_id): pages outside the collection that may be referred to. A tracker opened on an old ``path`` goes on from its last step."""
 
@@ -144,11 +151,12 @@ class OrphanTracker:
         base, t = self.table.manifest(), self.table
         if self.known is not None:
             refs = refs.join(self.known, "target", "left_anti")
-        # A page's writes matter as instants only; equal ones are kept once.
-        new_refs = self._write(refs, "refs")
-        new_writes = self._write(writes.where("doc_id is not null").select(F.col("doc_id").alias("target"), "written_at").distinct(), "writes")
         gone = removals.where("doc_id is not null and removed_at is not null").select(F.col("doc_id").alias("target"), "removed_at")
-        pages = self._touched(new_writes) | ({r["b"] for r in gone.select(self._bucket().alias("b")).distinct().collect()} if base.version else set())
+        # A page's writes matter as instants only; equal ones are kept once.
+        instants = writes.where("doc_id is not null").select(F.col("doc_id").alias("target"), "written_at").distinct()
+        gone_in = lambda: {r["b"] for r in gone.select(self._bucket().alias("b")).distinct().collect()} if base.version else set()
+        new_refs, new_writes, gone_buckets = at_once(lambda: self._write(refs, "refs"), lambda: self._write(instants, "writes"), gone_in)
+        pages = self._touched(new_writes) | gone_buckets
         merged = staged(self._merged(base, self._read(new_writes, "writes"), gone, pages), "index")
         changed, again = merged.where("_changed").select("target"), set()
         if base.version:
@@ -159,18 +167,23 @@ class OrphanTracker:
         if old_index:
             replaced = self._read(old_index, "index").join(merged.select("target"), "target", "left_anti").unionByName(replaced)
             keep -= set(old_index)
-        new_index = self._write(replaced, "index")
-        asked = self._touched(new_refs) | again
-        current = self._read([*self._files(base, "index", asked - pages), *[f for f in new_index if self._place(f)[1] in asked]], "index")
+        current, untouched = replaced, self._files(base, "index", (self._touched(new_refs) | again) - pages)
+        if untouched:
+            current = current.unionByName(self._read(untouched, "index"))
         probing = self._read(new_refs, "refs")
         # One row a target on the right, and references to a page without bound on the left: a skewed partition of the left is split at run time.
         if waiting := self._files(base, "refs", again):
             probing = probing.unionByName(self._read(waiting, "refs").join(changed, "target", "left_semi"))
-        open_now = classify(probing, current)
-        if closed := self._files(base, "open", again):
-            open_now = open_now.unionByName(self._read(closed, "open").join(changed, "target", "left_anti"))
-            keep -= set(closed)
-        new_open = self._write(open_now, "open")
+        closed = self._files(base, "open", again)
+        keep -= set(closed)
+
+        def now_open() -> list[str]:
+            found = classify(probing, current)
+            if closed:
+                found = found.unionByName(self._read(closed, "open").join(changed, "target", "left_anti"))
+            return self._write(found, "open")
+
+        new_index, new_open = at_once(lambda: self._write(replaced, "index"), now_open)
         step = int(base.extra.get("step", 0)) + 1
         still = self._read([*[f for f in keep if self._place(f)[0] == "open"], *new_open], "open")
         counts = self._counted(still).select(F.lit(step).alias("step"), "ref_field", "period", "kind", "n_refs", "n_targets", F.lit(0).alias("_bucket"))
