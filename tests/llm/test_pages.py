@@ -206,3 +206,55 @@ def test_all_words_of_a_block_are_evidence():
     plain, ended = (Page(f"<p>{start}{end}</p>", "http://a.b/") for end in ("", " copyright reserved"))
     (i,), (j,) = plain.leaves, ended.leaves
     assert len(ended.wording(j)) == len(plain.wording(i)) + 2 == 72 and set(plain.wording(i)) < set(ended.wording(j))
+
+
+def same(a, b):
+    assert a.standing == b.standing and a.weights == pytest.approx(b.weights, abs=1e-9)
+    assert [*a.block_tie, *a.element_tie] == [pytest.approx(t) for t in (*b.block_tie, *b.element_tie)]
+    assert a.prose.markers == b.prose.markers and a.prose.fits.keys() == b.prose.fits.keys()
+    for k, fits in a.prose.fits.items():
+        for f, g in zip(fits, b.prose.fits[k]):
+            assert [*f[0], *f[1:]] == pytest.approx([*g[0], *g[1:]], rel=1e-6)
+
+
+def test_the_model_is_of_all_labelled_pages(spark):
+    """Of more than 1,500, and of those of more than 50,000 characters; a page that is there twice counts once."""
+    rows = corpus(3200, 5)
+    rng = random.Random(6)
+    rows += [(f"long{i}", f"http://www.site{i}.test/long", page(rng, f"site{i}", "<h1>Tides</h1>" + "".join(f"<p>{sentence(rng)} {sentence(rng)}</p>" for _ in range(500)) + "<p>These words stand on long pages alone.</p>", True)) for i in range(3)]
+    assert all(len(h) > 50_000 for _, _, h in rows[-3:])
+    model = fit(spark.createDataFrame([*rows, rows[0], rows[-1]], "doc_id string, url string, html string"))
+    assert "these words stand on long pages alone." in model.standing
+    same(model, train([(h, u) for _, u, h in rows]))
+
+
+def test_labels_on_long_pages_alone(spark):
+    rng = random.Random(7)
+    html = page(rng, "site1", "".join(f"<p>{sentence(rng)}</p>" for _ in range(1200)), True)
+    assert len(html) > 50_000
+    pages = spark.createDataFrame([("a", "http://www.site1.test/", html)], "doc_id string, url string, html string")
+    assert len(judge_pages(pages).first().blocks) > 1000
+
+
+def test_weights_descend_over_many_blocks(spark, monkeypatch):
+    from functools import partial
+
+    from weft.llm import boilerplate, training
+
+    pages = spark.createDataFrame(corpus(60), "doc_id string, url string, html string")
+    monkeypatch.setattr(training, "descend", partial(boilerplate.descend, rounds=15))
+    one = fit(pages)
+    monkeypatch.setattr(training, "BLOCK", 4096)
+    same(fit(pages), one)
+    same(one, train([(h, u) for _, u, h in corpus(60)], rounds=15))
+
+
+def test_many_stuffed_pages_make_no_language():
+    """However many labelled pages are of one kind of stuffing, it does not become what is usual."""
+    rng = random.Random(8)
+    pages = [Measures([("p", " ".join(sentence(rng) for _ in range(rng.randrange(1, 9))), False)]) for _ in range(500)]
+    wares = [[("li", f"red {rng.choice(NOUNS)}, size {rng.randrange(30)}, cheap", False) for _ in range(rng.randrange(8, 40))] for _ in range(150)]
+    yard = fit_yardstick(pages + [Measures(w) for w in wares])
+    assert "the" in yard.fits and not {"red", "size"} & set(yard.fits)
+    pooled = Yardstick({"": yard.fits[""]})
+    assert [stuffed(w, yard) for w in wares] == [stuffed(w, pooled) for w in wares] and sum(stuffed(w, yard) for w in wares) > 120

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from zlib import crc32
 
@@ -20,9 +21,8 @@ from weft.llm.pages import Node, parse, site_name, title_of
 from weft.llm.prose import Measures, Yardstick, fit_yardstick
 
 DIM = 1 << 14
-#: Bound of the labelled sample: pages, and characters of one page.
-TRAIN_PAGES = 1_500
-TRAIN_CHARS = 50_000
+#: Sites on which a phrase stands, and sentences beside it, on average, from which a standing phrase of main parts is an invitation.
+SITES, BESIDE = 3, 2
 #: Weight of a standing phrase beside the features of words and shape, whose values are at most 1.
 STANDING = 8.0
 
@@ -179,6 +179,31 @@ def _lse(a: float, b: float) -> float:
     return (a if a > b else b) + math.log1p(math.exp(-abs(a - b)))
 
 
+def main_texts(p: Page) -> list[tuple[int, str]]:
+    """(node, masked text) of the blocks within the main part that can be standing phrases: four words or more."""
+    texts = ((i, masked(p.nodes[i].text, p.site)) for i in p.leaves if "main" in p.nodes[i].zones)
+    return [(i, t) for i, t in texts if t.count(" ") >= 3]
+
+
+def labels(p: Page, inviting: frozenset[str] | set[str]) -> list[int]:
+    """Labels of a page's nodes: its blocks within the main part are content, but for ``inviting`` texts; elements follow the greater part of their characters."""
+    out = {i for i, t in main_texts(p) if t in inviting}
+    content = {i for i in p.leaves if "main" in p.nodes[i].zones and i not in out}
+    y = [0] * len(p.nodes)
+    chars = [[0, 0] for _ in p.nodes]
+    for i in range(len(p.nodes) - 1, -1, -1):
+        n = p.nodes[i]
+        if n.block >= 0:
+            y[i] = int(i in content)
+            chars[i][y[i]] = len(n.text)
+        else:
+            y[i] = int(chars[i][1] > chars[i][0])
+        if n.parent >= 0:
+            chars[n.parent][0] += chars[i][0]
+            chars[n.parent][1] += chars[i][1]
+    return y
+
+
 def labels_of(pages: list[Page]) -> list[list[int]]:
     """Labels of every node of pages whose markup names the main part.
 
@@ -187,84 +212,119 @@ def labels_of(pages: list[Page]) -> list[list[int]]:
     empty page, that is where on average fewer than two sentences stand beside it; else it is an invitation.
     """
     sites, beside = defaultdict(set), defaultdict(list)
-    inside = [[i for i in p.leaves if "main" in p.nodes[i].zones] for p in pages]
-    texts = [{i: masked(p.nodes[i].text, p.site) for i in own} for p, own in zip(pages, inside)]
-    for p, own, text in zip(pages, inside, texts):
-        for i in own:
-            sites[text[i]].add(p.site)
-    standing = {t for t, s in sites.items() if len(s) >= 3 and t.count(" ") >= 3}
-    for p, own, text in zip(pages, inside, texts):
-        rare = sum(p.below[i][3] for i in own if text[i] not in standing)
-        for i in own:
-            if text[i] in standing:
-                beside[text[i]].append(rare)
-    inviting = {t for t, n in beside.items() if sum(n) / len(n) >= 2}
-    out = []
-    for p, own, text in zip(pages, inside, texts):
-        content = {i for i in own if text[i] not in inviting}
-        y = [0] * len(p.nodes)
-        chars = [[0, 0] for _ in p.nodes]
-        for i in range(len(p.nodes) - 1, -1, -1):
-            n = p.nodes[i]
+    texts = [main_texts(p) for p in pages]
+    for p, own in zip(pages, texts):
+        for _, t in own:
+            sites[t].add(p.site)
+    standing = {t for t, s in sites.items() if len(s) >= SITES}
+    for p, own in zip(pages, texts):
+        rare = sum(p.below[i][3] for i, t in own if t not in standing)
+        for _, t in own:
+            if t in standing:
+                beside[t].append(rare)
+    inviting = {t for t, n in beside.items() if sum(n) / len(n) >= BESIDE}
+    return [labels(p, inviting) for p in pages]
+
+
+def named(p: Page) -> bool:
+    """Whether the page's markup names its main part."""
+    return any("main" in p.nodes[i].zones for i in p.leaves)
+
+
+def likes(pages: Iterable[tuple[Page, list[int]]], standing: frozenset[str] | set[str]) -> dict[bytes, list[int]]:
+    """How often like nodes (menus, notices) occur with label 0 and 1. The keys hold their features: the number of those of the surface, these, the standing phrase's + 1 or 0, the words'."""
+    out: dict[bytes, list[int]] = {}
+    fronts: dict[tuple, list[int]] = {}
+    backs: dict[tuple, list[int]] = {}
+    for p, y in pages:
+        for i, n in enumerate(p.nodes):
+            surface = p.surface(i)
+            front = fronts.get(surface)
+            if front is None:
+                f = surface_features(surface)
+                front = fronts[surface] = [len(f), *f]
+            key, back = (n.text, p.site, p.title if ">" in n.text or "»" in n.text else ""), [0]
             if n.block >= 0:
-                y[i] = int(i in content)
-                chars[i][y[i]] = len(n.text)
-            else:
-                y[i] = int(chars[i][1] > chars[i][0])
-            if n.parent >= 0:
-                chars[n.parent][0] += chars[i][0]
-                chars[n.parent][1] += chars[i][1]
-        out.append(y)
+                back = backs.get(key)
+                if back is None:
+                    m = p.phrase(i)
+                    back = [_h("=" + m) + 1 if m in standing else 0, *p.wording(i)]
+                    if len(n.text) < 60 and len(backs) < 100_000:
+                        backs[key] = back
+            out.setdefault(np.array(front + back, "<u2").tobytes(), [0, 0])[y[i]] += 1
     return out
 
 
+class Rows:
+    """Like nodes in arrays: the features of their surfaces, held once each, of their words and phrases, their number and the share of content."""
+
+    def __init__(self, like: Iterable[tuple[bytes, int, int]]):
+        surfaces: dict[bytes, int] = {}
+        of, phrases, words, counts = [], [], [], []
+        for key, zeros, ones in like:
+            at = 2 * int.from_bytes(key[:2], "little") + 2
+            of.append(surfaces.setdefault(key[2:at], len(surfaces)))
+            phrases.append(int.from_bytes(key[at : at + 2], "little") - 1)
+            words.append(key[at + 2 :])
+            counts.append((zeros, ones))
+        self.of, self.phrases = np.array(of, "int32"), np.array(phrases, "int32")
+        self.words, self.lengths = np.frombuffer(b"".join(words), "<u2"), np.array([len(w) // 2 for w in words], "int32")
+        self.surfaces, self.sizes = np.frombuffer(b"".join(surfaces), "<u2"), np.array([len(f) // 2 for f in surfaces], "int32")
+        self.counts = np.array(counts, "float64").reshape(-1, 2)
+
+    def gradient(self, w: np.ndarray) -> np.ndarray:
+        """Of the logistic loss, summed over all nodes."""
+        n, often = len(self.of), self.counts.sum(1)
+        row, surface = np.repeat(np.arange(n), self.lengths), np.repeat(np.arange(len(self.sizes)), self.sizes)
+        scale, standing = 1 / np.sqrt(np.maximum(1, self.lengths)), np.flatnonzero(self.phrases >= 0)
+        phrases = self.phrases[standing]
+        s = np.bincount(surface, w[self.surfaces], len(self.sizes))[self.of] + scale * np.bincount(row, w[self.words], n)
+        s[standing] += STANDING * w[phrases]
+        d = often / (1 + np.exp(-np.clip(s, -50, 50))) - self.counts[:, 1]
+        g = np.bincount(self.surfaces, np.bincount(self.of, d, len(self.sizes))[surface], DIM) + np.bincount(self.words, (d * scale)[row], DIM)
+        return g + np.bincount(phrases, STANDING * d[standing], DIM)
+
+
+def descend(gradient: Callable[[np.ndarray], np.ndarray], total: float, rounds: int = 400, ridge: float = 1e-6) -> np.ndarray:
+    """The weights by ``rounds`` steps of Adam, from a ``gradient`` that is summed over ``total`` nodes."""
+    w, first, second = np.zeros(DIM), np.zeros(DIM), np.zeros(DIM)
+    for k in range(1, rounds + 1):
+        g = gradient(w) / total + ridge * w
+        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
+        w = w - 0.15 * (1 - k / (rounds + 1)) * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-9)
+    return w
+
+
+def ties_of(pages: Iterable[tuple[Page, list[int]]]) -> Counter:
+    """How often (whether a block, label of its parent, its label) occurs."""
+    return Counter((n.block >= 0, y[n.parent], y[i]) for p, y in pages for i, n in enumerate(p.nodes[1:], 1))
+
+
+def tie(k: Counter, block: bool) -> tuple[tuple[float, float], tuple[float, float]]:
+    """The pointwise mutual information of a parent's label and that of a block or an element."""
+    joint = np.array([[k[block, a, b] + 1.0 for b in (0, 1)] for a in (0, 1)])
+    joint /= joint.sum()
+    return tuple(tuple(float(x) for x in q) for q in np.log(joint / joint.sum(1, keepdims=True) / joint.sum(0, keepdims=True)))
+
+
+def content_measures(p: Page, y: list[int]) -> Measures:
+    """Of a labelled page's content without headings."""
+    own = [n for i in p.leaves if y[i] and (n := p.nodes[i]).tag[0] != "h"]
+    return Measures([(n.tag, n.text, 2 * n.linked > len(n.text)) for n in own])
+
+
 def train(sample: list[tuple[str, str | None]], rounds: int = 400, ridge: float = 1e-6) -> Model:
     """The model from (html, url) of labelled pages; pages without a label are passed over, and at least one must have one."""
-    pages = [p for p in (Page(h, u) for h, u in sample) if any("main" in p.nodes[i].zones for i in p.leaves)]
+    pages = [p for p in (Page(h, u) for h, u in sample) if named(p)]
     if not pages:
         raise NoLabels("no page has its main part named: train on other pages, and hand the model over")
-    labels = labels_of(pages)
+    both = list(zip(pages, labels_of(pages)))
     sites = defaultdict(set)
     for p in pages:
         for i in p.leaves:
             sites[p.phrase(i)].add(p.site)
-    standing = frozenset(t for t, s in sites.items() if len(s) >= 3)
-    # Like nodes (menus, notices) are one row that counts as often as they occur.
-    like: dict[tuple, list[int]] = {}
-    for p, y in zip(pages, labels):
-        for i, n in enumerate(p.nodes):
-            words, phrase = (tuple(p.wording(i)), p.phrase(i)) if n.block >= 0 else ((), None)
-            like.setdefault((p.surface(i), words, phrase if phrase in standing else None), [0, 0])[y[i]] += 1
-    row, col, val = [], [], []
-    for k, (surface, words, phrase) in enumerate(like):
-        f = surface_features(surface)
-        col += [*f, *words]
-        val += [1.0] * len(f) + [1 / math.sqrt(max(1, len(words)))] * len(words)
-        row += [k] * (len(f) + len(words))
-        if phrase is not None:
-            row.append(k)
-            col.append(_h("=" + phrase))
-            val.append(STANDING)
-    r, c, v = np.array(row), np.array(col), np.array(val)
-    counts = np.array(list(like.values()), "float64")
-    often = counts.sum(1)
-    t, often = counts[:, 1] / often, often / often.sum()
-    w, first, second = np.zeros(DIM), np.zeros(DIM), np.zeros(DIM)
-    for k in range(1, rounds + 1):
-        s = np.bincount(r, v * w[c], len(t))
-        g = np.bincount(c, v * (often * (1 / (1 + np.exp(-np.clip(s, -50, 50))) - t))[r], DIM) + ridge * w
-        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
-        w = w - 0.15 * (1 - k / (rounds + 1)) * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-9)
-    ties = {True: Counter(), False: Counter()}
-    for p, y in zip(pages, labels):
-        for i, n in enumerate(p.nodes[1:], 1):
-            ties[n.block >= 0][y[n.parent], y[i]] += 1
-
-    def tie(k: Counter):
-        joint = np.array([[k[a, b] + 1.0 for b in (0, 1)] for a in (0, 1)])
-        joint /= joint.sum()
-        return tuple(tuple(float(x) for x in q) for q in np.log(joint / joint.sum(1, keepdims=True) / joint.sum(0, keepdims=True)))
-
-    content = ([n for i in p.leaves if y[i] and (n := p.nodes[i]).tag[0] != "h"] for p, y in zip(pages, labels))
-    yard = fit_yardstick(Measures([(n.tag, n.text, 2 * n.linked > len(n.text)) for n in own]) for own in content)
-    return Model(w, standing, tie(ties[True]), tie(ties[False]), yard)
+    standing = frozenset(t for t, s in sites.items() if len(s) >= SITES)
+    rows = Rows((k, *n) for k, n in sorted(likes(both, standing).items()))
+    ties = ties_of(both)
+    w = descend(rows.gradient, rows.counts.sum(), rounds, ridge)
+    return Model(w, standing, tie(ties, True), tie(ties, False), fit_yardstick(content_measures(p, y) for p, y in both))

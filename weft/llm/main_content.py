@@ -8,22 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.boilerplate import TRAIN_CHARS, TRAIN_PAGES, Model, NoLabels, Page, train
+from weft.llm.boilerplate import Model, NoLabels, Page
 from weft.llm.spam import is_spam
+from weft.llm.training import fit
 from weft.operators.skew import balanced_join, heavy_hitters
 
 
-def fit(pages: DataFrame, most: int = TRAIN_PAGES) -> Model:
-    """The model of the labelled pages: at most ``most`` of them, of at most TRAIN_CHARS characters, chosen by a hash of doc_id. Without any it raises NoLabels."""
-    labelled = pages.where(F.col("html").rlike("(?i)<main[\\s>]") & (F.length("html") <= TRAIN_CHARS)).select("doc_id", "url", "html")
-    total = labelled.count()
-    # Above the bound only pages below a threshold of the hash are looked at, so that all tasks together return about as many as are taken.
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    sample = labelled if total <= most else labelled.where(place < int((1 << 30) * min(1.0, 1.2 * most / total)))
-    rows = sample.orderBy(place, "doc_id", "url").limit(most).collect()
-    return train([(r["html"], r["url"]) for r in {r["doc_id"]: r for r in rows}.values()])
-
-
 def _judge(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, memo = shared.value, {}
@@ -47,7 +37,7 @@ def judge_pages(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, spam, blocks array<int>, main_text) for each row of ``pages``; the blocks of main content and their text.
 
     Spam pages have no main content. Rows without doc_id or html are left out; an empty page has no blocks. Rows repeated under one
-    doc_id give repeated rows. Without ``model`` one is trained on those of the pages that are labelled; if none is, and there are pages, NoLabels is raised.
+    doc_id give repeated rows. Without ``model`` one is trained on all of the pages that are labelled; if none is, and there are pages, NoLabels is raised.
     """
     rows = pages.where("doc_id is not null and html is not null").select("doc_id", "url", "html")
     try:

@@ -30,6 +30,12 @@ MARKUP, SHAPE, SENTENCE = range(3)
 LEAST_PAGES, MARKERS, SHORT = 100, 40, 4
 #: Words from which a stretch that ends with a mark is a sentence; share of the expected size below which it is redundant in itself.
 SENTENCE_WORDS, LIVE = 4, 0.85
+#: What counts for a fit: words of a page and characters of a sentence, at least. A fit is made TRIMS times, of what lies between these multiples of the last one.
+LEAST_WORDS, LEAST_CHARS, TRIMS, TRIM = 8, 12, 5, (0.85, 1.25)
+#: Ratios to what prose has below which a page is extremely redundant: with markup, in shape, sentence by sentence.
+REDUNDANT = (0.8, 0.8, 0.92)
+#: Share of words in live sentences from which a page is one of sentences.
+SENTENCES = 0.65
 
 
 def squeezed(text: str) -> bytes:
@@ -72,6 +78,30 @@ class Measures:
             if s and not s.isspace():
                 yield len(s), packed_size(squeezed(s)), len(_WORD.findall(s)), bool(_STOP.search(s))
 
+    def points(self) -> Iterator[tuple[int, int, int]]:
+        """(kind, length, compressed size) of what a fit is made of: markup, shape, and the sentences that a mark ends."""
+        for kind, (n, z) in zip((MARKUP, SHAPE), self.whole):
+            yield kind, n, z
+        for n, z, _, ended in self.sentences():
+            if ended and n >= LEAST_CHARS:
+                yield SENTENCE, n, z
+
+
+@dataclass
+class Measured:
+    """Measures that were taken before, for ``Yardstick``."""
+
+    common: Sequence[str]
+    whole: tuple[tuple[int, int], tuple[int, int]]
+    of_sentences: Sequence[tuple[int, int, int, bool]]
+
+    @property
+    def words(self) -> int:
+        return self.whole[1][0]
+
+    def sentences(self) -> Iterator[tuple[int, int, int, bool]]:
+        return iter(self.of_sentences)
+
 
 Fit = tuple[tuple[float, ...], float, float]
 
@@ -97,7 +127,7 @@ class Yardstick:
         """The marker that is commonest in a text, if it has a fit of its own; else ''."""
         return next((w for w in common if w in self.markers and w in self.fits), "")
 
-    def ratios(self, m: Measures) -> tuple[float, float, float]:
+    def ratios(self, m: Measures | Measured) -> tuple[float, float, float]:
         """The three measures over what prose has; 1 is usual. A text without words has 1."""
         if not m.words:
             return 1.0, 1.0, 1.0
@@ -106,7 +136,7 @@ class Yardstick:
         sizes = [(z, n * _expected(f[SENTENCE], n)) for n, z, _, _ in m.sentences()]
         return markup, form, sum(z for z, _ in sizes) / sum(e for _, e in sizes)
 
-    def has_sentences(self, m: Measures, share: float) -> bool:
+    def has_sentences(self, m: Measures | Measured, share: float) -> bool:
         """Whether ``share`` of a text's words stand in sentences: ended by a mark, long enough, and not redundant by themselves."""
         f, live = self.fits[self.language(m.common)][SENTENCE], 0
         for n, z, w, ended in m.sentences():
@@ -116,36 +146,53 @@ class Yardstick:
                     return True
         return False
 
+    def stuffed(self, m: Measures | Measured) -> bool:
+        """Whether a text is extremely redundant in one of the measures, and few of its words stand in sentences."""
+        # Either test alone can acquit; that of sentences ends sooner for honest pages.
+        return m.words > 0 and not self.has_sentences(m, SENTENCES) and any(r < most for r, most in zip(self.ratios(m), REDUNDANT))
 
-def _fitted(points: list[tuple[float, float]]) -> Fit | None:
-    """A parabola through (length, ratio); what lies far from it is left out and the rest fitted again, for some labelled pages are stuffed."""
-    if len(points) < LEAST_PAGES:
-        return None
-    length, y = np.array(points).T
-    x, keep = np.log(length), np.ones(len(points), bool)
-    for _ in range(5):
-        if keep.sum() < LEAST_PAGES or np.ptp(x[keep]) < 0.5:
+
+def _quantile(length: np.ndarray, times: np.ndarray, q: float) -> float:
+    """As numpy's of all lengths, each as often as it occurs."""
+    order = np.argsort(length, kind="stable")
+    upto, at = np.cumsum(times[order]), q * (times.sum() - 1)
+    low, high = (length[order][np.searchsorted(upto, k, "right")] for k in (math.floor(at), math.ceil(at)))
+    return float(low + (high - low) * (at - math.floor(at)))
+
+
+def fitted(length: np.ndarray, size: np.ndarray, times: np.ndarray) -> Fit | None:
+    """A parabola through (length, size / length); what lies far from it is left out and the rest fitted again, for some labelled pages are stuffed."""
+    x, y, keep = np.log(length), size / length, np.ones(len(length), bool)
+    for _ in range(TRIMS):
+        if times[keep].sum() < LEAST_PAGES or np.ptp(x[keep]) < 0.5:
             return None
-        c = np.polyfit(x[keep], y[keep], 2)
+        c = np.polyfit(x[keep], y[keep], 2, w=np.sqrt(times[keep]))
         r = y / np.maximum(np.polyval(c, x), 0.02)
-        keep = (r > 0.85) & (r < 1.25)
-    return tuple(float(v) for v in c), float(np.quantile(length[keep], 0.005)), float(np.quantile(length[keep], 0.995))
+        keep = (r > TRIM[0]) & (r < TRIM[1])
+    if not keep.any():
+        return None
+    return tuple(float(v) for v in c), _quantile(length[keep], times[keep], 0.005), _quantile(length[keep], times[keep], 0.995)
 
 
 def fit_yardstick(pages: Iterable[Measures]) -> Yardstick:
-    """From the main content of labelled pages; measures with too few points keep EXPECTED."""
-    pages = [m for m in pages if m.words >= 8]
-    often = Counter(w for m in pages for w in set(m.common[:3]))
-    markers = [w for w, _ in often.most_common(MARKERS)]
-    groups: dict[str, list[Measures]] = {"": pages}
-    for m in pages:
-        if own := next((w for w in m.common if w in markers), ""):
-            groups.setdefault(own, []).append(m)
+    """From the main content of labelled pages; measures with too few points keep EXPECTED.
+
+    Pages that are stuffed by the fit of all together make no language: of many pages even one kind of stuffing has enough to pass for one, and would be what is usual in it.
+    """
+    pages = [m for m in pages if m.words >= LEAST_WORDS]
 
     def fits(of: list[Measures], other: tuple) -> tuple:
-        whole = [_fitted([(m.whole[k][0], m.whole[k][1] / m.whole[k][0]) for m in of]) for k in (MARKUP, SHAPE)]
-        whole.append(_fitted([(n, z / n) for m in of for n, z, _, ended in m.sentences() if ended and n >= 12]))
-        return tuple(f or o for f, o in zip(whole, other))
+        points = Counter(p for m in of for p in m.points())
+        table = np.array([(*p, t) for p, t in sorted(points.items())], "int64").reshape(-1, 4)
+        return tuple(fitted(*table[table[:, 0] == k, 1:].T) or other[k] for k in (MARKUP, SHAPE, SENTENCE))
 
     pooled = fits(pages, EXPECTED)
-    return Yardstick({"": pooled} | {k: fits(g, pooled) for k, g in groups.items() if k and len(g) >= LEAST_PAGES}, markers)
+    whole = Yardstick({"": pooled})
+    honest = [m for m in pages if not whole.stuffed(m)]
+    often = Counter(w for m in honest for w in set(m.common[:3]))
+    markers = sorted(often, key=lambda w: (-often[w], w))[:MARKERS]
+    groups: dict[str, list[Measures]] = {}
+    for m in honest:
+        if own := next((w for w in m.common if w in markers), ""):
+            groups.setdefault(own, []).append(m)
+    return Yardstick({"": pooled} | {k: fits(g, pooled) for k, g in groups.items() if len(g) >= LEAST_PAGES}, markers)

@@ -13,21 +13,13 @@ from collections.abc import Sequence
 from weft.llm.boilerplate import Page
 from weft.llm.prose import Measures, Yardstick
 
-#: Ratios to what prose has below which a page is extremely redundant: with markup, in shape, sentence by sentence.
-REDUNDANT = (0.8, 0.8, 0.92)
-#: Share of words in live sentences from which a page is one of sentences.
-SENTENCES = 0.65
-
 
 def stuffed(blocks: Sequence[tuple[str, str, bool]], yard: Yardstick | None = None) -> bool:
     """Whether blocks (tag, text, mostly linked) are stuffing rather than sentences: extremely redundant, and confirmed by low density of sentence marks.
 
     A refrain is redundant, but its sentences are sentences; a few lines without a mark that are not redundant are merely short. Blocks without words are no stuffing.
     """
-    yard = yard or Yardstick()
-    m = Measures(blocks)
-    # Either test alone can acquit; that of sentences ends sooner for honest pages.
-    return m.words > 0 and not yard.has_sentences(m, SENTENCES) and any(r < most for r, most in zip(yard.ratios(m), REDUNDANT))
+    return (yard or Yardstick()).stuffed(Measures(blocks))
 
 
 def own_blocks(page: Page, marginals: list[float]) -> list[tuple[str, str, bool]]:
