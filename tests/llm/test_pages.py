@@ -258,3 +258,72 @@ def test_many_stuffed_pages_make_no_language():
     assert "the" in yard.fits and not {"red", "size"} & set(yard.fits)
     pooled = Yardstick({"": yard.fits[""]})
     assert [stuffed(w, yard) for w in wares] == [stuffed(w, pooled) for w in wares] and sum(stuffed(w, yard) for w in wares) > 120
+
+
+def test_work_on_a_page_is_done_once(monkeypatch):
+    """A block's text is masked once, only sentences that can acquit are compressed, and words are held once for all surfaces on which they stand."""
+    from weft.llm import boilerplate, prose
+
+    p = Page("<main><p>The mill by the tide was opened again.</p><p>Cheap lamps, 20 best lamps</p></main>", "http://www.site1.test/")
+    seen = []
+    monkeypatch.setattr(boilerplate, "masked", lambda text, site, old=boilerplate.masked: seen.append(text) or old(text, site))
+    for _ in range(2):
+        boilerplate.main_texts(p)
+        for i in p.leaves:
+            p.phrase(i)
+            p.wording(i)
+    assert sorted(seen) == sorted(p.nodes[i].text for i in p.leaves)
+    packed = []
+    monkeypatch.setattr(prose, "packed_size", lambda raw, old=prose.packed_size: packed.append(raw) or old(raw))
+    Yardstick().has_sentences(Measures([("p", p.nodes[i].text, False) for i in p.leaves]), 0.95)
+    assert packed == [b"The mill by the tide was opened again."]
+    like = boilerplate.likes([(q, labels_of([q])[0]) for q in (Page(f"<main>{a}</main>", None) for a in ("<p>Old mill here", "<li>Old mill here", "<div><h1>Old mill here</h1><p>x"))], set())
+    rows = boilerplate.Rows((k, *n) for k, n in sorted(like.items()))
+    assert len(rows.of) > len(rows.lengths) == 3
+
+
+def test_gradient():
+    """As summed node by node."""
+    import numpy as np
+
+    from weft.llm import boilerplate
+    from weft.llm.boilerplate import DIM, STANDING, Rows, descend, likes
+
+    pages = [Page(h, u) for _, u, h in corpus(12) if "<main>" in h]
+    both = list(zip(pages, labels_of(pages)))
+    standing = {pages[0].phrase(pages[0].leaves[0]), pages[0].phrase(pages[0].leaves[-1])}
+    rows = Rows((k, *n) for k, n in sorted(likes(both, standing).items()))
+    w, want = np.random.default_rng(1).normal(size=DIM), np.zeros(DIM)
+    for p, y in both:
+        for i, n in enumerate(p.nodes):
+            f = [(x, 1.0) for x in boilerplate.surface_features(p.surface(i))]
+            if n.block >= 0:
+                words = p.wording(i)
+                f += [(x, 1 / len(words) ** 0.5) for x in words] + [(boilerplate._h("=" + p.phrase(i)), STANDING)] * (p.phrase(i) in standing)
+            d = 1 / (1 + np.exp(-sum(w[x] * v for x, v in f))) - y[i]
+            for x, v in f:
+                want[x] += d * v
+    assert rows.gradient(w) == pytest.approx(want, abs=1e-9) and rows.counts.sum() == sum(len(p.nodes) for p in pages)
+    assert not Rows([]).gradient(w).any() and len(descend(rows.gradient, rows.counts.sum(), 2)) == DIM
+
+
+def test_pages_survive_pickling():
+    import pickle
+
+    for h in ("", "<p>x", "<<<", "<main><h1>A b</h1><div><p>c <a href=x>d</a></p><li>e</li></div></main>tail", *(h for _, _, h in corpus(8))):
+        p = Page(h, "http://www.site1.test/")
+        q = pickle.loads(pickle.dumps(p, 5))
+        assert (q.nodes, q.site, q.title, q.leaves, q.below) == (p.nodes, p.site, p.title, p.leaves, p.below)
+
+
+def test_stray_signs_of_markup():
+    text = [(n.tag, n.text, n.linked, n.zones) for n in parse("<DIV>a < b<!x <p> y>c<a href=q>1 < 2 &amp; 3</a></div ><table><td>g<tr><td>h<br>i<th>&lt;p&gt;</table></b></p>z <p") if n.block >= 0]
+    assert text == [("div", "a < b y>c1 < 2 & 3", 7, ("div",)), ("td", "g", 0, ("table", "td")), ("td", "h i", 0, ("table", "td", "tr", "td")), ("th", "<p>", 0, ("table", "td", "tr", "td", "th")), ("#root", "z <p", 0, ())]
+
+
+def test_words_and_shapes_do_not_depend_on_the_script():
+    """ASCII is read by a pattern of its own."""
+    from weft.llm.prose import _SIGN, _WORD, words_of
+
+    for s in ("It's 3_a _b 'x' don''t a'b'c\tq\x1f-(Z9)\nOK!", "3_a _b\tq\x1f-(Z9)\nOK!", "", "_", "'"):
+        assert words_of(s) == _WORD.findall(s) and shape(s) + "b" == shape(s + " älter") and len(shape(s)) == len(_SIGN.findall(s))

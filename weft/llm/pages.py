@@ -7,9 +7,10 @@ import re
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|title|noscript|iframe|template|svg|textarea)\b[^>]*>.*?</\1\s*>|<!--.*\Z|<(?:script|style)\b[^>]*>.*\Z", re.S | re.I)
+_HIDDEN = re.compile(r"<(?:!--.*?-->|(script|style|title|noscript|iframe|template|svg|textarea)\b[^>]*>.*?</\1\s*>|!--.*\Z|(?:script|style)\b[^>]*>.*\Z)", re.S | re.I)
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-_PIECE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>|<[!?][^>]*>|([^<]+|<)")
+_TAG = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9]*)|[!?])[^>]*>")
+_WORDS = re.compile(r"[^<]+|<")
 
 #: Tags that stay within a block, and tags that are no elements with content.
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small strike strong sub sup time tt u var wbr".split())
@@ -18,6 +19,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 LEAFISH = frozenset("p li h1 h2 h3 h4 h5 h6 span button dt dd option label caption".split())
 SCOPE = {"td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",)}
 
+_LINK, _INLINE, _VOID, _BREAK, _BLOCK = range(5)
+_KINDS = {None: _INLINE} | dict.fromkeys(INLINE, _INLINE) | dict.fromkeys(VOID, _VOID) | {"a": _LINK, "br": _BREAK, "hr": _BREAK}
+
 
 @dataclass(slots=True)
 class Node:
@@ -50,83 +54,91 @@ def parse(page: str) -> list[Node]:
     inline. ``linked`` counts its characters inside links, ``zones`` holds the open elements' tags. Elements without text
     are left out, and elements with a single child are replaced by it. An empty page has the root alone.
     """
-    nodes = [Node("#root", -1)]
-    stack = [0]
+    tags, parents, texts, links, zones = ["#root"], [-1], [""], [0], [()]
+    stack, open_tags, zone = [0], [], ()
     text: list[str] = []
-    linked = link = blocks = 0
-
-    def flush() -> None:
-        nonlocal linked, blocks
+    linked = link = 0
+
+    # Words, then whether the tag after them closes, and its name.
+    parts = [*_TAG.split(_HIDDEN.sub(" ", page)), "", "#end"]
+    for words, close, tag in zip(parts[::3], parts[1::3], parts[2::3]):
+        if words and (text or not words.isspace()):
+            for t in _WORDS.findall(words) if "<" in words else (words,):
+                if "&" in t:
+                    t = html.unescape(t)
+                text.append(t)
+                if link:
+                    linked += len(t.strip())
+        kind = _KINDS.get(tag)
+        if kind is None:
+            tag = tag.lower()
+            kind = _KINDS.get(tag, _BLOCK)
+        if kind == _LINK:
+            link = 0 if close else 1
+            continue
+        if kind == _INLINE:
+            continue
+        if kind == _BREAK:
+            text.append(" ")
+            continue
+        if kind == _VOID:
+            continue
         if text:
             t = " ".join("".join(text).split())
             if t:
                 top = stack[-1]
-                nodes[top].children.append(len(nodes))
-                nodes.append(Node(nodes[top].tag, top, blocks, t, linked, tuple(nodes[i].tag for i in stack[1:])))
-                blocks += 1
+                tags.append(tags[top])
+                parents.append(top)
+                texts.append(t)
+                links.append(linked)
+                if zone is None:
+                    zone = tuple(open_tags)
+                zones.append(zone)
             text.clear()
-        linked = 0
-
-    for close, tag, words in _PIECE.findall(_HIDDEN.sub(" ", page)):
-        if words:
-            t = html.unescape(words) if "&" in words else words
-            text.append(t)
-            if link:
-                linked += len(t.strip())
-            continue
-        tag = tag.lower()
-        if tag == "a":
-            link = 0 if close else 1
-            continue
-        if not tag or tag in INLINE:
-            continue
-        if tag in VOID:
-            if tag in ("br", "hr"):
-                text.append(" ")
-            continue
-        flush()
-        link = 0
+        linked = link = 0
         if close:
-            for at in range(len(stack) - 1, 0, -1):
-                if nodes[stack[at]].tag == tag:
-                    del stack[at:]
-                    break
+            if tag in open_tags:
+                at = len(open_tags) - 1
+                while open_tags[at] != tag:
+                    at -= 1
+                del stack[at + 1 :], open_tags[at:]
+                zone = None
             continue
-        while len(stack) > 1 and nodes[stack[-1]].tag in LEAFISH:
+        while open_tags and open_tags[-1] in LEAFISH:
             stack.pop()
+            open_tags.pop()
         if tag in SCOPE:
-            for at in range(len(stack) - 1, 0, -1):
-                if nodes[stack[at]].tag == tag:
-                    del stack[at:]
+            for at in range(len(open_tags) - 1, -1, -1):
+                if open_tags[at] == tag:
+                    del stack[at + 1 :], open_tags[at:]
                     break
-                if nodes[stack[at]].tag in SCOPE[tag]:
+                if open_tags[at] in SCOPE[tag]:
                     break
-        nodes[stack[-1]].children.append(len(nodes))
-        nodes.append(Node(tag, stack[-1]))
-        stack.append(len(nodes) - 1)
-    flush()
-    return _compact(nodes)
-
-
-def _compact(nodes: list[Node]) -> list[Node]:
-    keep: list[list[int]] = [[] for _ in nodes]
-    for i in range(len(nodes) - 1, -1, -1):
-        n = nodes[i]
-        own = [i] if n.block >= 0 else sorted(keep[i]) if len(keep[i]) < 2 else [i]
-        if n.block < 0 and len(keep[i]) >= 2:
-            n.children = sorted(keep[i])
-        if n.parent >= 0:
-            keep[n.parent] += own
-    nodes[0].children = sorted(keep[0])
-    out, new = [], {}
-    todo = [(0, -1)]
-    while todo:
-        i, parent = todo.pop()
-        new[i] = len(out)
-        n = nodes[i]
-        out.append(Node(n.tag, parent, n.block, n.text, n.linked, n.zones))
-        if parent >= 0:
-            out[parent].children.append(new[i])
-        if n.block < 0:
-            todo += [(c, new[i]) for c in reversed(n.children)]
+        stack.append(len(tags))
+        open_tags.append(tag)
+        zone = None
+        parents.append(stack[-2])
+        tags.append(tag)
+        texts.append("")
+        links.append(0)
+        zones.append(())
+
+    # A subtree is one run of nodes, so what stays keeps its order.
+    kept = [0] * len(tags)
+    for i in range(len(tags) - 1, 0, -1):
+        if texts[i] or kept[i]:
+            kept[parents[i]] += 1
+    out, new, blocks = [Node("#root", -1)], [0] * len(tags), 0
+    for i in range(1, len(tags)):
+        above = new[parents[i]]
+        if texts[i]:
+            out[above].children.append(len(out))
+            out.append(Node(tags[i], above, blocks, texts[i], links[i], zones[i]))
+            blocks += 1
+        elif kept[i] > 1:
+            new[i] = len(out)
+            out[above].children.append(len(out))
+            out.append(Node(tags[i], above))
+        else:
+            new[i] = above
     return out

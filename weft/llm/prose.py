@@ -21,6 +21,10 @@ import numpy as np
 # Letters of scripts without blanks between words are words by themselves.
 _WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_]+(?:['’][^\W_]+)*")
 _SIGN = re.compile(_WORD.pattern + r"|[^\w\s]|\n")
+# The same for ASCII, where they are faster.
+_ASCII_WORD = re.compile(r"[A-Za-z0-9]+(?:'[A-Za-z0-9]+)*")
+_BLANKS = "".join(chr(c) if chr(c).isalnum() else " " for c in range(128))
+_ASCII_SIGN = re.compile(_ASCII_WORD.pattern + r"|[^A-Za-z0-9_\s]|\n")
 _STOP = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？]+[”’」』）]*")
 _CUT = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|(?<=[。！？])|\n")
 
@@ -48,12 +52,28 @@ def packed_size(raw: bytes) -> int:
     return max(0, len(zlib.compress(raw, 6)) - 8)
 
 
+def words_of(text: str) -> list[str]:
+    if not text.isascii():
+        return _WORD.findall(text)
+    return _ASCII_WORD.findall(text) if "'" in text else text.translate(_BLANKS).split()
+
+
+class _Signs(dict):
+    """The signs of words. Short ones are held, as far as there is room."""
+
+    def __missing__(self, w: str) -> str:
+        sign = w if not w[0].isalnum() else "0" if w.isdigit() else ("A" if len(w) < 4 else "B") if w[0].isupper() else "a" if len(w) < 4 else "b"
+        if len(w) < 24 and len(self) < 100_000:
+            self[w] = sign
+        return sign
+
+
+_SIGNS = _Signs()
+
+
 def shape(text: str) -> str:
     """One sign a word: its case and whether it has more than three letters, or that it is a number; other signs and line ends stay."""
-    out = []
-    for w in _SIGN.findall(text):
-        out.append(w if not w[0].isalnum() else "0" if w.isdigit() else ("A" if len(w) < 4 else "B") if w[0].isupper() else "a" if len(w) < 4 else "b")
-    return "".join(out)
+    return "".join(map(_SIGNS.__getitem__, (_ASCII_SIGN if text.isascii() else _SIGN).findall(text)))
 
 
 class Measures:
@@ -61,10 +81,11 @@ class Measures:
 
     def __init__(self, blocks: Sequence[tuple[str, str, bool]]):
         self.blocks, self.text = blocks, "\n".join(t for _, t, _ in blocks)
-        words = _WORD.findall(self.text)
+        words = words_of(self.text)
         self.words = len(words)
-        #: Its commonest short words.
-        self.common = [w for w, _ in Counter(x.lower() for x in words if len(x) <= SHORT and not x.isdigit()).most_common(8)]
+        #: Its commonest short words, of equally common ones the first.
+        times = Counter([x.lower() for x in words if len(x) <= SHORT and not x.isdigit()])
+        self.common = sorted(times, key=times.__getitem__, reverse=True)[:8]
 
     @cached_property
     def whole(self) -> tuple[tuple[int, int], tuple[int, int]]:
@@ -72,11 +93,13 @@ class Measures:
         markup = squeezed("\n".join(f"<{tag}><a>{t}</a>" if linked else f"<{tag}>{t}" for tag, t, linked in self.blocks))
         return (len(markup), packed_size(markup)), (self.words, packed_size(shape(self.text).encode()))
 
-    def sentences(self) -> Iterator[tuple[int, int, int, bool]]:
-        """(length, compressed size, words, whether a mark ends it) of each stretch between marks or line ends."""
+    def sentences(self, least: int = 0) -> Iterator[tuple[int, int, int, bool]]:
+        """(length, compressed size, words, whether a mark ends it) of each stretch between marks or line ends; with ``least``, of those only that a mark ends and that have so many words."""
         for s in _CUT.split(self.text):
             if s and not s.isspace():
-                yield len(s), packed_size(squeezed(s)), len(_WORD.findall(s)), bool(_STOP.search(s))
+                ended = s[-1] in ".!?…。！？" or bool(_STOP.search(s))
+                if (ended or not least) and (words := len(words_of(s))) >= least:
+                    yield len(s), packed_size(squeezed(s)), words, ended
 
     def points(self) -> Iterator[tuple[int, int, int]]:
         """(kind, length, compressed size) of what a fit is made of: markup, shape, and the sentences that a mark ends."""
@@ -99,8 +122,8 @@ class Measured:
     def words(self) -> int:
         return self.whole[1][0]
 
-    def sentences(self) -> Iterator[tuple[int, int, int, bool]]:
-        return iter(self.of_sentences)
+    def sentences(self, least: int = 0) -> Iterator[tuple[int, int, int, bool]]:
+        return (s for s in self.of_sentences if not least or s[3] and s[2] >= least)
 
 
 Fit = tuple[tuple[float, ...], float, float]
@@ -139,8 +162,8 @@ class Yardstick:
     def has_sentences(self, m: Measures | Measured, share: float) -> bool:
         """Whether ``share`` of a text's words stand in sentences: ended by a mark, long enough, and not redundant by themselves."""
         f, live = self.fits[self.language(m.common)][SENTENCE], 0
-        for n, z, w, ended in m.sentences():
-            if ended and w >= SENTENCE_WORDS and z >= LIVE * n * _expected(f, n):
+        for n, z, w, _ in m.sentences(SENTENCE_WORDS):
+            if z >= LIVE * n * _expected(f, n):
                 live += w
                 if live >= share * m.words:
                     return True
